@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import copies, splits
+from tarnflow.llm import copies, leaks, splits
 from tarnflow.sources.tables import table
 
 PROPORTIONS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
@@ -39,4 +39,12 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapsed(table(spark, d, "entities"), "row_id", ENTITY_FIELDS)
 
 
-QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p5_found": p5_found, "p5_collapsed": p5_collapsed}
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p9_found": p9_found, "p9_leaks": p9_leaks}
