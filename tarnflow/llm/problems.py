@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import copies, leaks, splits
+from tarnflow.llm import copies, leaks, sentences, splits
 from tarnflow.sources.tables import table
 
 PROPORTIONS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
@@ -47,4 +47,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p9_found": p9_found, "p9_leaks": p9_leaks}
+def p10_units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_units(spark, d).select("doc_id", "end_pos")
+
+
+QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_units": p10_units}
