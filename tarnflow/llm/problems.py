@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import copies, leaks, sentences, splits
+from tarnflow.llm import copies, leaks, scans, sentences, splits
 from tarnflow.sources.tables import table
 
 PROPORTIONS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
@@ -39,6 +39,14 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapsed(table(spark, d, "entities"), "row_id", ENTITY_FIELDS)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "contexts"), table(spark, d, "papers"))[0]
+
+
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(scans.repair(table(spark, d, "contexts"), table(spark, d, "papers"))[1])
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -55,4 +63,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_units(spark, d).select("doc_id", "end_pos")
 
 
-QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_units": p10_units}
+QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_units": p10_units}
