@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import copies, leaks, scans, sentences, splits
+from tarnflow.llm import copies, leaks, linkage, packing, scans, sentences, splits
+from tarnflow.operators import units
 from tarnflow.sources.tables import table
 
 PROPORTIONS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
+TOKENIZERS = os.environ.get("TARNFLOW_TOKENIZERS", "/opt/tokenizers")
+CAPACITY = 2048
 ENTITY_FIELDS = {"name": "leaf", "identifiers": "list", "location": "list"}
 
 
@@ -47,6 +52,22 @@ def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scans.paragraphs(scans.repair(table(spark, d, "contexts"), table(spark, d, "papers"))[1])
 
 
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    """(row_id, entity_id, site_no, confidence)"""
+    values = units.to_common_units(table(spark, d, "extraction_values"), table(spark, d, "papers"), table(spark, d, "attribute_catalogue"), ["entity_id"])
+    return linkage.link(table(spark, d, "entities"), values.select("entity_id", "attribute_std", "value_common"), table(spark, d, "raw_pond"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_links(spark, d).select("entity_id", "site_no").distinct()
+
+
+def p8_bins(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, piece, size, bin): documents in containers of CAPACITY tokens."""
+    sizes = packing.token_sizes(table(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(sizes, "doc_id", "tokens", CAPACITY)
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -63,4 +84,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_units(spark, d).select("doc_id", "end_pos")
 
 
-QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_units": p10_units}
+QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_links": p7_links, "p8_bins": p8_bins, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_units": p10_units}
