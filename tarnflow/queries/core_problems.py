@@ -84,3 +84,5 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p1_ecosystems": p1_ecosystems, "p3_found": p3_found, "p3_common": p3_common, "p4_found": p4_found, "p4_wide": p4_wide}
+
+SQL: dict[str, str] = {}
