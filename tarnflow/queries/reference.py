@@ -1,4 +1,589 @@
-"""Queries of the measurement-extraction operators on the driver's tables."""
+"""Queries of the measurement-extraction operators on the driver's tables, each with SQL that gives the same rows.
 
-QUERIES = {}
-SQL = {}
+Ground truth and predictions are made from lineitem: each row gives one measurement per numeric column. Probabilities and labels are
+those of probe_dataset; documents, values and papers are the tables of the same names. Every query reads its whole tables.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnflow.functions import fuzzy, markup, measures
+from tarnflow.operators import curate, dedupe, evaluate, grouping, matching, probes
+from tarnflow.plans import extraction, judging
+from tarnflow.runtime import bounded_rows
+from tarnflow.sources import runs
+from tarnflow.sources.tables import table
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---- markup -------------------------------------------------------------------------------------------------------------------
+
+_SQL_PAGES = r"""
+pages AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)<page number="(\d+)">(.*?)</page>', 1))::INT AS page_number,
+  unnest(regexp_extract_all(text, '(?s)<page number="(\d+)">(.*?)</page>', 2)) AS body, unnest(range(len(regexp_extract_all(text, '(?s)<page number="(\d+)">(.*?)</page>', 1)))) AS pos FROM documents)"""
+_SQL_TABLES = r"""
+tabs AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)<table number="(\d+)">(.*?)</table>', 1))::INT AS table_number,
+  unnest(regexp_extract_all(text, '(?s)<table number="(\d+)">(.*?)</table>', 2)) AS body FROM documents)"""
+
+
+def _pages(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(markup.pages(F.col("text"))).alias("pos", "p")).select("doc_id", "pos", F.col("p.number").alias("page_number"), F.col("p.body").alias("body"))
+
+
+def _tables(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(markup.tables(F.col("text"))).alias("t")).select("doc_id", F.col("t.number").alias("table_number"), F.col("t.body").alias("body"))
+
+
+@query("q01_pages", "WITH " + _SQL_PAGES + r"SELECT doc_id, page_number, arg_min(md5(regexp_replace(body, '^\s+|\s+$', '', 'g')), pos) AS text_md5 FROM pages GROUP BY ALL")
+def q01(spark, d):
+    """Pages of each document; of repeated numbers the first."""
+    return _pages(spark, d).groupBy("doc_id", "page_number").agg(F.min_by(F.md5(markup.stripped(F.col("body"))), "pos").alias("text_md5"))
+
+
+@query("q02_table_cells", "WITH " + _SQL_TABLES + r""", c AS (SELECT doc_id, table_number, list_filter(list_transform(regexp_extract_all(body, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1),
+  lambda x: regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS cells FROM tabs)
+SELECT doc_id, table_number, unnest(cells) AS cell, unnest(range(len(cells)))::INT AS pos FROM c""")
+def q02(spark, d):
+    return _tables(spark, d).select("doc_id", "table_number", F.posexplode(markup.cells(F.col("body"))).alias("pos", "cell"))
+
+
+@query("q03_page_text", r"""SELECT doc_id, md5(CASE WHEN len(p) > 0 THEN array_to_string(p, chr(10) || chr(10)) ELSE text END) AS text_md5
+FROM (SELECT doc_id, text, list_concat(regexp_extract_all(text, '(?s)(<page number="1">.*?</page>)', 1), []) AS p FROM documents WHERE text IS NOT NULL)""")
+def q03(spark, d):
+    """Page 1 with its tags, or the whole document where it has none."""
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.md5(markup.pages_or_whole(F.col("text"), F.array(F.lit(1)))).alias("text_md5"))
+
+
+@query("q04_table_numbering", r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '<table number="\d+">', '<table>', 'g'), '<table>') AS p FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(array_to_string(list_transform(p, lambda x, i: CASE WHEN i = 1 THEN x ELSE '<table number="' || (i - 1)::VARCHAR || '">' || x END), '')) AS text_md5 FROM s""")
+def q04(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.md5(markup.number_tables(F.regexp_replace("text", r'<table number="\d+">', "<table>"))).alias("text_md5"))
+
+
+_SQL_ROWS = _SQL_TABLES + r""", r AS (SELECT doc_id, table_number, unnest(regexp_extract_all(body, '(?s)<tr>(.*?)</tr>', 1)) AS tr, unnest(range(len(regexp_extract_all(body, '(?s)<tr>(.*?)</tr>', 1)))) AS row_no FROM tabs),
+x AS (SELECT *, regexp_extract_all(tr, '(?s)<t[dh]>(.*?)</t[dh]>', 1) AS c FROM r), h AS (SELECT doc_id, table_number, c AS names FROM x WHERE row_no = 0),
+y AS (SELECT x.doc_id, x.table_number, x.row_no, x.c[1] AS row_name, unnest(h.names[2:]) AS column_name, unnest(x.c[2:]) AS cell FROM x JOIN h USING (doc_id, table_number) WHERE x.row_no > 0)"""
+
+
+def _table_rows(spark, d):
+    rows = _tables(spark, d).select("doc_id", "table_number", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<tr>(.*?)</tr>"), F.lit(1))).alias("row_no", "tr"))
+    rows = rows.withColumn("c", F.regexp_extract_all("tr", F.lit(r"(?s)<t[dh]>(.*?)</t[dh]>"), F.lit(1)))
+    head = rows.where("row_no = 0").select("doc_id", "table_number", F.col("c").alias("names"))
+    cells = rows.where("row_no > 0").join(head, ["doc_id", "table_number"])
+    zipped = F.arrays_zip(F.slice("names", 2, 1000).alias("n"), F.slice("c", 2, 1000).alias("v"))
+    out = cells.select("doc_id", "table_number", "row_no", F.get("c", F.lit(0)).alias("row_name"), F.explode(zipped).alias("z"))
+    return out.select("doc_id", "table_number", "row_no", "row_name", F.col("z.n").alias("column_name"), F.col("z.v").alias("cell"))
+
+
+@query("q05_table_rows", "WITH " + _SQL_ROWS + "SELECT doc_id, table_number, row_no::INT AS row_no, row_name, column_name, cell FROM y")
+def q05(spark, d):
+    return _table_rows(spark, d)
+
+
+@query("q06_cell_lookup", "WITH " + _SQL_ROWS + r""", w AS (SELECT doc_id, table_number, min(row_name) AS row_name FROM y GROUP BY ALL)
+SELECT w.doc_id, w.table_number, w.row_name, arg_min(y.cell, y.row_no) AS cell FROM w JOIN y USING (doc_id, table_number, row_name) WHERE y.column_name = 'depth (m)' GROUP BY ALL""")
+def q06(spark, d):
+    """The cell of the least row name under 'depth (m)'; of several rows of a name the first."""
+    rows = _table_rows(spark, d)
+    wanted = rows.groupBy("doc_id", "table_number").agg(F.min("row_name").alias("row_name"))
+    return wanted.join(rows, ["doc_id", "table_number", "row_name"]).where(F.col("column_name") == "depth (m)").groupBy("doc_id", "table_number", "row_name").agg(F.min_by("cell", "row_no").alias("cell"))
+
+
+@query("q07_spread", r"SELECT DISTINCT item_id, regexp_extract(value, '^\s*([0-9.]+)\s*(?:±|\+/-)\s*([0-9.]+)', 1) AS centre, regexp_extract(value, '^\s*([0-9.]+)\s*(?:±|\+/-)\s*([0-9.]+)', 2) AS spread FROM extraction_values WHERE regexp_matches(value, '^\s*[0-9.]+\s*(?:±|\+/-)\s*[0-9.]+')")
+def q07(spark, d):
+    """'a ± b' split into its parts."""
+    pattern = r"^\s*([0-9.]+)\s*(?:±|\+/-)\s*([0-9.]+)"
+    rows = table(spark, d, "extraction_values").where(F.col("value").rlike(pattern))
+    return rows.select("item_id", F.regexp_extract("value", pattern, 1).alias("centre"), F.regexp_extract("value", pattern, 2).alias("spread")).distinct()
+
+
+@query("q08_first_json", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def q08(spark, d):
+    """The first JSON value in a reply with prose around it, read by a schema."""
+    first = F.pandas_udf(lambda s: s.map(extraction.first_json), "string")
+    reply = F.concat(F.lit("The answer is {not json} then "), "props", F.lit(" as asked [1]"))
+    return table(spark, d, "events").select("event_id", F.from_json(first(reply), "k bigint")["k"].alias("k"))
+
+
+@query("q09_judge_prompt", r"""SELECT measurement_id, md5(concat_ws(chr(10) || chr(10),
+ 'Entity: ' || concat_ws(', ', 'name: ' || name, 'identifiers: ' || identifiers, 'location: ' || location, 'ecosystem: ' || ecosystem), 'Attribute: ' || attribute,
+ CASE WHEN concat_ws(', ', 'date: ' || date, 'additional_details: ' || additional_details) <> '' THEN 'Event: ' || concat_ws(', ', 'date: ' || date, 'additional_details: ' || additional_details) END,
+ 'Value: ' || coalesce(value, 'none') || chr(10) || 'Units: ' || coalesce(units, 'not reported'), 'Is this extraction correct? Answer true or false.')) AS prompt_md5 FROM probe_dataset""")
+def q09(spark, d):
+    prompt = judging.judge_query(["name", "identifiers", "location", "ecosystem"], ["date", "additional_details"], "attribute", "value", "units")
+    return table(spark, d, "probe_dataset").select("measurement_id", F.md5(prompt).alias("prompt_md5"))
+
+
+# ---- numbers, units, dates ----------------------------------------------------------------------------------------------------
+
+_SQL_EXP = r"replace(regexp_replace(translate({c}, '⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺', '0123456789-+'), '[×x]\s*10(?:\^\{{?([+-]?\d+)\}}?|([+-]?\d+))', 'e\1\2', 'g'), '−', '-')"
+_SQL_NUM = r"translate(regexp_replace(regexp_replace({e}, '[''\s]+', '', 'g'), '(\d),(\d)', '\1.\2', 'g'), 'Ol', '01')"
+_SQL_FLOAT = r"CASE WHEN regexp_matches({n}, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN try_cast({n} AS DOUBLE) END"
+_V = _SQL_NUM.format(e=_SQL_EXP.format(c=r"regexp_replace(value, '^\s+|\s+$', '', 'g')"))
+
+
+@query("q10_parse_numeric", f"SELECT item_id, round({_SQL_FLOAT.format(n='v')}, 6) AS parsed FROM (SELECT DISTINCT item_id, {_V} AS v FROM extraction_values WHERE NOT regexp_matches(value, '[^ -~×⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺±–]'))")
+def q10(spark, d):
+    rows = table(spark, d, "extraction_values").where("value is not null").where(~F.col("value").rlike("[^ -~×⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺±–]")).select("item_id", "value").distinct()
+    return rows.select("item_id", F.round(measures.parse_numeric(F.col("value")), 6).alias("parsed"))
+
+
+_SQL_TOKENS = r"list_filter(list_transform(regexp_extract_all({e}, '([-−]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?)', 1), lambda x: try_cast(replace(x, ',', '.') AS DOUBLE)), lambda x: x IS NOT NULL)"
+
+
+@query("q11_numeric_score", f"""WITH t AS (SELECT context_id, page_number, {_SQL_TOKENS.format(e=_SQL_EXP.format(c='context'))} AS ns FROM contexts WHERE page_number <> 0 AND context IS NOT NULL),
+m AS (SELECT context_id, list_min(list_transform(ns, lambda n: abs(n - page_number) / abs(page_number))) AS e FROM t)
+SELECT context_id, round(CASE WHEN e IS NULL THEN 0.1 WHEN e <= 1e-4 THEN 1.0 ELSE greatest(0.1, 1 / (1 + e)) END, 6) AS score FROM m""")
+def q11(spark, d):
+    """How well a scan's text holds its own page number."""
+    rows = table(spark, d, "contexts").where("page_number <> 0 and context is not null")
+    return rows.select("context_id", F.round(measures.numeric_score(F.col("page_number").cast("double"), measures.numbers_in(F.col("context"))), 6).alias("score"))
+
+
+@query("q12_table_hits", "WITH " + _SQL_ROWS + r""", v AS (SELECT DISTINCT document_id, item_id, try_cast(value AS DOUBLE) AS v FROM extraction_values WHERE regexp_matches(value, '^[0-9]+\.[0-9]$')),
+c AS (SELECT DISTINCT e.document_id, y.doc_id, y.table_number, try_cast(y.cell AS DOUBLE) AS c FROM y JOIN documents e USING (doc_id) WHERE regexp_matches(y.cell, '^[0-9]+\.[0-9]$'))
+SELECT DISTINCT v.item_id, c.doc_id, c.table_number FROM v JOIN c ON v.document_id = c.document_id AND v.v = c.c""")
+def q12(spark, d):
+    """Tables of a paper's documents in which an extracted value stands."""
+    one = r"^[0-9]+\.[0-9]$"
+    values = table(spark, d, "extraction_values").where(F.col("value").rlike(one)).select("document_id", "item_id", F.col("value").cast("double").alias("v")).distinct()
+    cells = _table_rows(spark, d).where(F.col("cell").rlike(one)).join(table(spark, d, "documents").select("doc_id", "document_id"), "doc_id").select("document_id", "doc_id", "table_number", F.col("cell").cast("double").alias("v")).distinct()
+    return values.join(cells, ["document_id", "v"]).select("item_id", "doc_id", "table_number").distinct()
+
+
+@query("q13_page_attribution", f"""WITH n AS (SELECT c.context_id, c.document_id, c.page_number, {_SQL_TOKENS.format(e=_SQL_EXP.format(c='c.context'))} AS ns FROM contexts c WHERE context IS NOT NULL),
+v AS (SELECT DISTINCT document_id, item_id, value::DOUBLE AS v FROM extraction_values WHERE regexp_matches(value, '^[0-9]+(\\.[0-9]+)?$') AND value::DOUBLE <> 0),
+s AS (SELECT v.item_id, n.page_number, list_min(list_transform(ns, lambda x: abs(x - v.v) / abs(v.v))) AS e FROM v JOIN n USING (document_id)),
+p AS (SELECT item_id, page_number, max(CASE WHEN e IS NULL THEN 0.1 WHEN e <= 1e-4 THEN 1.0 ELSE greatest(0.1, 1 / (1 + e)) END) AS score FROM s GROUP BY ALL),
+b AS (SELECT item_id, max(score) AS best FROM p GROUP BY item_id),
+w AS (SELECT p.item_id, min(p.page_number) AS page_number FROM p JOIN b USING (item_id) WHERE p.score = b.best GROUP BY ALL)
+SELECT p.item_id, w.page_number, count(*) AS n_pages, CASE count(*) WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'ambiguous' END AS tier
+FROM p JOIN b USING (item_id) JOIN w USING (item_id) WHERE p.score >= b.best - 0.05 GROUP BY p.item_id, w.page_number, b.best""")
+def q13(spark, d):
+    """The scan page on which a value stands best, by value alone."""
+    pages = table(spark, d, "contexts").where("context is not null").select("document_id", "page_number", measures.numbers_in(F.col("context")).alias("ns"))
+    values = table(spark, d, "extraction_values").where(F.col("value").rlike(r"^[0-9]+(\.[0-9]+)?$")).select("document_id", "item_id", F.col("value").cast("double").alias("v")).where("v <> 0").distinct()
+    scores = values.join(pages, "document_id").select("item_id", "page_number", measures.numeric_score(F.col("v"), F.col("ns")).alias("score")).groupBy("item_id", "page_number").agg(F.max("score").alias("score"))
+    out = curate.attribute_pages(scores, "item_id", "page_number", "score")
+    return out.select("item_id", "page_number", F.size("pages").cast("bigint").alias("n_pages"), "tier")
+
+
+@query("q14_table_numbers", r"""SELECT document_id, unnest(flatten(list_transform(regexp_extract_all(lower(extraction_location_details), '\btables?\s+([\d\s;,]+)', 1), lambda x: regexp_extract_all(x, '(\d+)', 1))))::INT AS table_number FROM papers""")
+def q14(spark, d):
+    return table(spark, d, "papers").select("document_id", F.explode(measures.table_numbers(F.col("extraction_location_details"))).alias("table_number"))
+
+
+@query("q15_numeric_tokens", r"""SELECT DISTINCT context_id, t AS token FROM (SELECT context_id, unnest(list_transform(regexp_split_to_array(context, '\s+'), lambda x: regexp_replace(x, '^[^0-9A-Za-z]+|[^0-9A-Za-z]+$', '', 'g'))) AS t FROM contexts) WHERE regexp_matches(t, '^[0-9]+(\.[0-9]+)?$')""")
+def q15(spark, d):
+    """Distinct numeric words of each scan."""
+    words = F.transform(F.split("context", r"\s+"), lambda x: F.regexp_replace(x, r"^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", ""))
+    return table(spark, d, "contexts").select("context_id", F.explode(words).alias("token")).where(F.col("token").rlike(r"^[0-9]+(\.[0-9]+)?$")).distinct()
+
+
+_RATES = "concat(case when {k} % 3 = 0 then 'nmol-n' when {k} % 3 = 1 then 'ug-c2h4' else 'mmol-n2' end, case when {k} % 4 = 0 then ' g-1' when {k} % 4 = 1 then ' m-2' when {k} % 4 = 2 then ' l-1' else ' y-4' end, ' h-1')"
+_SQL_UNITS = """concat(CASE p_partkey % 3 WHEN 0 THEN 'nmol N' WHEN 1 THEN 'µg C2H4' ELSE 'mmol N2' END, CASE p_partkey % 4 WHEN 0 THEN ' g⁻¹' WHEN 1 THEN ' m⁻²' WHEN 2 THEN ' L⁻¹' ELSE ' yr-4' END, ' h⁻¹')"""
+
+
+@query("q16_normalized_units", f"SELECT p_partkey, {_SQL_UNITS} AS units FROM part")
+def q16(spark, d):
+    return table(spark, d, "part").select("p_partkey", measures.normalized_units(F.expr(_RATES.format(k="p_partkey"))).alias("units"))
+
+
+@query("q17_rate_kind", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'mass' WHEN 1 THEN 'areal' WHEN 2 THEN 'volumetric' ELSE 'generic' END AS kind FROM part")
+def q17(spark, d):
+    return table(spark, d, "part").select("p_partkey", measures.rate_kind(measures.normalized_units(F.expr(_RATES.format(k="p_partkey")))).alias("kind"))
+
+
+@query("q18_partial_date", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y') WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders""")
+def q18(spark, d):
+    k = F.col("o_orderkey")
+    part = lambda f, n: F.when(k % n != 0, f("o_orderdate"))
+    month = F.when((k % 5 != 0), F.month("o_orderdate"))
+    day = F.when((k % 5 != 0) & (k % 3 != 0), F.dayofmonth("o_orderdate"))
+    return table(spark, d, "orders").select("o_orderkey", measures.partial_date(part(F.year, 7), month, day).alias("date"))
+
+
+@query("q19_text_or_table", "SELECT document_id, extraction_location FROM papers WHERE NOT regexp_matches(lower(extraction_location), 'figure|supplement|archive|author')")
+def q19(spark, d):
+    return table(spark, d, "papers").select("document_id", "extraction_location").where(~F.lower("extraction_location").rlike("figure|supplement|archive|author"))
+
+
+@query("q20_unit_conversion", """SELECT p.measurement_id, round(try_cast(p.value AS DOUBLE) * coalesce(c.factor, 1.0), 6) AS converted FROM probe_dataset p LEFT JOIN (SELECT attribute, unit, factor FROM attribute_catalogue WHERE unit IS NOT NULL) c ON p.attribute = c.attribute AND p.units = c.unit
+WHERE p.value IS NULL OR NOT regexp_matches(p.value, '[_dDfF]')""")
+def q20(spark, d):
+    """Values times their unit's factor, unknown units as they are."""
+    rows = table(spark, d, "probe_dataset").where("value is null or not value rlike '[_dDfF]'")
+    factors = F.broadcast(table(spark, d, "attribute_catalogue").where("unit is not null").select("attribute", F.col("unit").alias("units"), "factor"))  # the fixed catalogue
+    return rows.join(factors, ["attribute", "units"], "left").select("measurement_id", F.round(F.col("value").try_cast("double") * F.coalesce("factor", F.lit(1.0)), 6).alias("converted"))
+
+
+@query("q21_unit_candidates", "SELECT p.measurement_id, count(*) AS n, min(c.unit) AS first_unit FROM probe_dataset p JOIN attribute_catalogue c ON p.attribute = c.attribute WHERE c.unit IS NOT NULL AND lower(c.unit) <> lower(coalesce(p.units, '')) GROUP BY ALL")
+def q21(spark, d):
+    """Other units of the same attribute."""
+    units = F.broadcast(table(spark, d, "attribute_catalogue").where("unit is not null").groupBy("attribute").agg(F.collect_list("unit").alias("all_units")))
+    rows = table(spark, d, "probe_dataset").join(units, "attribute").withColumn("others", F.filter("all_units", lambda u: F.lower(u) != F.lower(F.coalesce("units", F.lit("")))))
+    return rows.where(F.size("others") > 0).select("measurement_id", F.size("others").cast("bigint").alias("n"), F.array_min("others").alias("first_unit"))
+
+
+# ---- joins of provenance ------------------------------------------------------------------------------------------------------
+
+_EAV_SQL = """eav AS (SELECT l_orderkey, l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS entity_id, l_partkey, l_suppkey, attribute, value, l_orderkey::VARCHAR || '-' || l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR || '-' || l_linenumber::VARCHAR || '-' || attribute AS id
+ FROM (SELECT *, unnest(['quantity', 'price', 'discount', 'tax']) AS attribute, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value FROM lineitem))"""
+
+
+def _eav(spark, d) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.expr("stack(4, 'quantity', l_quantity, 'price', l_extendedprice, 'discount', l_discount, 'tax', l_tax) as (attribute, value)"))
+    return rows.select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("entity_id"), "l_partkey", "l_suppkey", "attribute", "value", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "attribute").alias("id"))
+
+
+@query("q22_entity_pages", "WITH " + _SQL_PAGES + ", p AS (SELECT document_id, count(*) AS pages FROM pages JOIN documents USING (doc_id) GROUP BY ALL) SELECT e.entity_id, p.pages FROM entities e JOIN p USING (document_id)")
+def q22(spark, d):
+    """How many pages each entity is to be looked for on: entity by page within the paper, counted before it is multiplied."""
+    pages = _pages(spark, d).join(table(spark, d, "documents").select("doc_id", "document_id"), "doc_id").groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"))
+    return table(spark, d, "entities").join(pages, "document_id").select("entity_id", "pages")
+
+
+_PROV_SQL = """ep AS (SELECT DISTINCT l_orderkey AS document_id, l_partkey AS entity_id, l_linenumber AS page_number, CASE WHEN l_suppkey % 3 = 0 THEN (l_partkey % 5)::INT END AS table_number FROM lineitem),
+ap AS (SELECT DISTINCT l_orderkey AS document_id, l_suppkey AS attribute, l_linenumber AS page_number, CASE WHEN l_partkey % 3 = 0 THEN (l_partkey % 5)::INT END AS table_number FROM lineitem)"""
+
+
+def _prov(spark, d):
+    rows = table(spark, d, "lineitem")
+    e = rows.select(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("entity_id"), F.col("l_linenumber").alias("page_number"), F.when(F.col("l_suppkey") % 3 == 0, (F.col("l_partkey") % 5).cast("int")).alias("table_number"))
+    a = rows.select(F.col("l_orderkey").alias("document_id"), F.col("l_suppkey").alias("attribute"), F.col("l_linenumber").alias("page_number"), F.when(F.col("l_partkey") % 3 == 0, (F.col("l_partkey") % 5).cast("int")).alias("table_number"))
+    return e.distinct(), a.distinct()
+
+
+@query("q23_prose_intersection", "WITH " + _PROV_SQL + " SELECT DISTINCT e.document_id, e.entity_id, a.attribute, e.page_number FROM ep e JOIN ap a ON e.document_id = a.document_id AND e.page_number = a.page_number WHERE e.table_number IS NULL AND a.table_number IS NULL")
+def q23(spark, d):
+    e, a = _prov(spark, d)
+    return extraction.shared_pages(e, a, False).drop("table_number")
+
+
+@query("q24_table_intersection", "WITH " + _PROV_SQL + ", t AS (SELECT document_id, entity_id, table_number, max(page_number) AS page_number FROM ep WHERE table_number IS NOT NULL GROUP BY ALL) SELECT DISTINCT t.document_id, t.entity_id, a.attribute, t.page_number, t.table_number FROM t JOIN ap a ON t.document_id = a.document_id AND t.table_number = a.table_number")
+def q24(spark, d):
+    e, a = _prov(spark, d)
+    return extraction.shared_pages(e, a, True)
+
+
+@query("q25_events_default", "SELECT o.o_orderkey, l.l_linenumber, l.l_shipdate FROM orders o LEFT JOIN (SELECT * FROM lineitem WHERE l_suppkey % 4 = 0) l ON o.o_orderkey = l.l_orderkey")
+def q25(spark, d):
+    """Orders with their events, one of nulls where there is none."""
+    events = table(spark, d, "lineitem").where("l_suppkey % 4 = 0").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_shipdate")
+    return extraction.with_events(table(spark, d, "orders").select("o_orderkey"), events, ["o_orderkey"], ["l_linenumber", "l_shipdate"])
+
+
+# ---- matching and metrics -----------------------------------------------------------------------------------------------------
+
+#: predictions: every seventh part left out, every fifth supplier's values shifted, others within the band
+_PRED_SQL = _EAV_SQL + """, pred AS (SELECT l_orderkey, entity_id, attribute, l_partkey, id, CASE WHEN l_suppkey % 5 = 0 THEN value + 1 ELSE value + 0.0004 END AS value FROM eav WHERE l_partkey % 7 <> 0),
+edges AS (SELECT g.id AS gt_idx, p.id AS ex_idx FROM eav g JOIN pred p ON g.entity_id = p.entity_id AND g.attribute = p.attribute AND abs(g.value - p.value) <= 0.001)"""
+
+
+def _sides(spark, d):
+    gt = _eav(spark, d).withColumn("gt_idx", F.col("id"))
+    value = F.when(F.col("l_suppkey") % 5 == 0, F.col("value") + 1).otherwise(F.col("value") + 0.0004)
+    ex = _eav(spark, d).where("l_partkey % 7 <> 0").withColumn("value", value).withColumn("ex_idx", F.col("id"))
+    return gt, ex, matching.strict_match(gt, ex, ["entity_id", "attribute"], ("value", 1e-3))
+
+
+@query("q26_strict_match", "WITH " + _PRED_SQL + " SELECT gt_idx, ex_idx FROM edges")
+def q26(spark, d):
+    return _sides(spark, d)[2].select("gt_idx", "ex_idx")
+
+
+@query("q27_fuzzy_weight")
+def q27(spark, d):
+    """Names of one paper's entities that are spelt alike: the mean of two similarities, at least a third."""
+    e = table(spark, d, "extraction_values").select("document_id", "entity_id", F.lower(F.trim("name")).alias("name"), "location").distinct()
+    n = table(spark, d, "entities").select("document_id", F.col("entity_id").alias("other_id"), F.col("name").alias("other_name"), F.col("location").alias("other_location"))
+    # within a paper, and only where the first letters agree: the strict part of the match
+    pairs = e.join(n, "document_id").where((F.col("entity_id") != F.col("other_id")) & (F.lower(F.substring(F.trim("other_name"), 1, 3)) == F.substring("name", 1, 3)))
+    return matching.fuzzy_weight(pairs, [("name", "other_name"), ("location", "other_location")], 1 / 3).select("document_id", "entity_id", "other_id", F.round("weight", 6).alias("weight"))
+
+
+@query("q28_best_matching")
+def q28(spark, d):
+    """One-to-one edges of greatest weight between an order's lines and its predictions."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    a = rows.select("l_orderkey", F.col("l_linenumber").alias("gt_idx"), F.col("l_quantity").alias("x")).distinct()
+    b = rows.where("l_linenumber < 5").select("l_orderkey", F.col("l_linenumber").alias("ex_idx"), F.col("l_quantity").alias("y")).distinct()
+    edges = a.join(b, "l_orderkey").withColumn("weight", 1 / (1 + F.abs(F.col("x") - F.col("y")))).where("weight >= 0.1")
+    return matching.best_matching(edges, ["l_orderkey"])
+
+
+_JUDGES_SQL = """j AS (SELECT id, unnest(['a', 'b', 'c']) AS judge, unnest([CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_partkey % 2 = 0 END, CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE l_suppkey % 3 = 0 END, l_linenumber % 2 = 0]) AS vote
+ FROM (SELECT *, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id FROM lineitem))"""
+
+
+def _judges(spark, d):
+    rows = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("id"), "l_partkey", "l_suppkey", "l_linenumber")
+    a, b, c = F.when(F.col("l_partkey") % 11 != 0, F.col("l_partkey") % 2 == 0), F.when(F.col("l_suppkey") % 13 != 0, F.col("l_suppkey") % 3 == 0), F.col("l_linenumber") % 2 == 0
+    return rows.select("id", F.explode(F.array(*(F.struct(F.lit(n).alias("judge"), v.alias("vote")) for n, v in zip("abc", (a, b, c))))).alias("j")).select("id", "j.judge", "j.vote")
+
+
+@query("q29_votes", "WITH " + _JUDGES_SQL + " SELECT id, sum(CASE WHEN vote THEN 1 ELSE 0 END)::BIGINT AS yes, count(DISTINCT judge) AS judges, sum(CASE WHEN vote THEN 1 ELSE 0 END) >= ceil(count(DISTINCT judge) / 2) AS combined FROM j GROUP BY id")
+def q29(spark, d):
+    return evaluate.votes(_judges(spark, d), "id", "judge", "vote")
+
+
+@query("q30_dedupe", "SELECT l_orderkey, l_linenumber, l_quantity AS value, list_sort(list(l_partkey)) AS parts FROM lineitem GROUP BY ALL")
+def q30(spark, d):
+    """Equal quantities of one order line merged, with their parts."""
+    rows = table(spark, d, "lineitem").withColumn("units", F.lit("kg"))
+    out = dedupe.first_fit(rows, ["l_orderkey", "l_linenumber"], "l_quantity", "units", ["l_partkey", "l_suppkey"], ["l_partkey"])
+    return out.select("l_orderkey", "l_linenumber", "value", F.array_sort(F.col("provenance.l_partkey")).alias("parts"))
+
+
+@query("q31_binary_metrics", """SELECT attribute, count(*) AS n, sum((label = 'valid')::INT)::BIGINT AS n_pos, round(avg(((label = 'valid') = (page_score > 0.7))::INT), 6) AS accuracy, round(sum((label = 'valid' AND page_score > 0.7)::INT) / nullif(sum((page_score > 0.7)::INT), 0), 6) AS "precision",
+ round(sum((label = 'valid' AND page_score > 0.7)::INT) / nullif(sum((label = 'valid')::INT), 0), 6) AS recall, round(2 * sum((label = 'valid' AND page_score > 0.7)::INT) / nullif(sum((label = 'valid')::INT) + sum((page_score > 0.7)::INT), 0), 6) AS f1 FROM probe_dataset WHERE page_score IS NOT NULL GROUP BY attribute""")
+def q31(spark, d):
+    rows = table(spark, d, "probe_dataset").where("page_score is not null")
+    m = evaluate.binary_metrics(rows, F.col("label") == "valid", F.col("page_score") > 0.7, ["attribute"])
+    return m.select("attribute", "n", "n_pos", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")))
+
+
+@query("q31_strict_majority", "WITH " + _JUDGES_SQL + " SELECT id, sum(CASE WHEN vote THEN 1 ELSE 0 END) > count(vote) / 2 AS majority FROM j GROUP BY id")
+def q31b(spark, d):
+    return evaluate.strict_majority(_judges(spark, d), "id", "vote")
+
+
+_WILSON_SQL = "round(p, 6) AS {n}, round((p + 1.959963984540054 ** 2 / (2 * n) - 1.959963984540054 * sqrt(p * (1 - p) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n), 6) AS {n}_lo, round((p + 1.959963984540054 ** 2 / (2 * n) + 1.959963984540054 * sqrt(p * (1 - p) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n), 6) AS {n}_hi, n AS {n}_n"
+
+
+@query("q32_recovery_validity", "WITH " + _PRED_SQL + ", r AS (SELECT avg((id IN (SELECT gt_idx FROM edges))::INT) AS p, count(*) AS n FROM eav), v AS (SELECT avg((id IN (SELECT ex_idx FROM edges))::INT) AS p, count(*) AS n FROM pred) SELECT * FROM (SELECT " + _WILSON_SQL.format(n="recovery") + " FROM r), (SELECT " + _WILSON_SQL.format(n="validity") + " FROM v)")
+def q32(spark, d):
+    """Recovery and validity with Wilson intervals."""
+    gt, ex, edges = _sides(spark, d)
+    edges = edges.persist()
+    r = evaluate.rate(evaluate.flagged(gt, "gt_idx", edges, "gt_idx", "hit"), F.col("hit"), "recovery")
+    v = evaluate.rate(evaluate.flagged(ex, "ex_idx", edges, "ex_idx", "hit"), F.col("hit"), "validity")
+    both = r.crossJoin(F.broadcast(v))  # one row each
+    return both.select(*(F.round(c, 6).alias(c) if not c.endswith("_n") else F.col(c) for c in both.columns))
+
+
+@query("q32b_per_paper", "WITH " + _PRED_SQL + """, g AS (SELECT l_orderkey, count(*) AS n_gt, avg((id IN (SELECT gt_idx FROM edges))::INT) AS recovery FROM eav GROUP BY ALL), x AS (SELECT l_orderkey, count(*) AS n_ex, 1 - avg((id IN (SELECT ex_idx FROM edges))::INT) AS hallucination FROM pred GROUP BY ALL)
+SELECT coalesce(g.l_orderkey, x.l_orderkey) AS l_orderkey, coalesce(n_gt, 0) AS n_gt, coalesce(n_ex, 0) AS n_ex, round(recovery, 6) AS recovery, round(coalesce(hallucination, 0), 6) AS hallucination FROM g FULL JOIN x ON g.l_orderkey = x.l_orderkey""")
+def q32b(spark, d):
+    gt, ex, edges = _sides(spark, d)
+    edges = edges.persist()
+    g = evaluate.flagged(gt, "gt_idx", edges, "gt_idx", "hit").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_gt"), F.avg(F.col("hit").cast("int")).alias("recovery"))
+    x = evaluate.flagged(ex, "ex_idx", edges, "ex_idx", "hit").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_ex"), (1 - F.avg(F.col("hit").cast("int"))).alias("hallucination"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return g.join(x, "l_orderkey", "full").select("l_orderkey", zero("n_gt").alias("n_gt"), zero("n_ex").alias("n_ex"), F.round("recovery", 6).alias("recovery"), F.round(F.coalesce("hallucination", F.lit(0.0)), 6).alias("hallucination"))
+
+
+@query("q33_apply_review", """SELECT o.o_orderkey, CASE WHEN o.o_orderkey % 5 = 0 THEN 'corrected' ELSE o.o_orderstatus END AS o_orderstatus, CASE WHEN o.o_orderkey % 5 = 0 AND o.o_orderkey % 2 = 0 THEN 1.5 ELSE o.o_totalprice END AS o_totalprice FROM orders o WHERE NOT (o.o_orderkey % 5 = 0 AND o.o_orderkey % 15 = 0)""")
+def q33(spark, d):
+    """Corrections of a review: exclusions first, then new status and price; a first review of each row is outdated by a second."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    reviewed = orders.where("o_orderkey % 5 = 0")
+    second = reviewed.select("o_orderkey", F.lit(2).alias("line"), (F.col("o_orderkey") % 15 == 0).alias("excluded"), F.lit("corrected").alias("new_status"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("1.5")).alias("new_price"))
+    first = reviewed.select("o_orderkey", F.lit(1).alias("line"), F.lit(True).alias("excluded"), F.lit("old").alias("new_status"), F.lit("9").alias("new_price"))
+    return curate.apply_review(orders, first.unionByName(second), "o_orderkey", "line", [("o_orderstatus", "new_status"), ("o_totalprice", "new_price")], "excluded")
+
+
+@query("q34_review_priority", """WITH p AS (SELECT measurement_id, document_id, (CASE page_confidence WHEN 'ambiguous' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END) * 10 + CASE WHEN len(page_number) > 1 THEN 1 ELSE 0 END AS priority FROM probe_dataset)
+SELECT measurement_id, priority, min(priority) OVER (PARTITION BY document_id) AS document_priority FROM p""")
+def q34(spark, d):
+    rows = curate.review_priority(table(spark, d, "probe_dataset"), "document_id", "page_confidence", "page_number", {"ambiguous": 0, "medium": 1, "high": 2})
+    return rows.select("measurement_id", "priority", "document_priority")
+
+
+@query("q35_probe_donors", """WITH r AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderpriority AS p, o_orderstatus AS s, o_totalprice AS v FROM orders), a AS (SELECT a.id, min((b.id * 7919) % 10007 * 10000000 + b.id) AS k FROM r a JOIN r b ON a.c = b.c AND a.p = b.p WHERE a.v <> b.v GROUP BY ALL),
+b AS (SELECT a.id, min((b.id * 7919) % 10007 * 10000000 + b.id) AS k FROM r a JOIN r b ON a.c = b.c WHERE a.v <> b.v GROUP BY ALL)
+SELECT r.id, CASE WHEN a.k IS NOT NULL THEN 'page' WHEN b.k IS NOT NULL THEN 'paper' END AS tier, coalesce(a.k, b.k) % 10000000 AS donor_id FROM r LEFT JOIN a USING (id) LEFT JOIN b USING (id)""")
+def q35(spark, d):
+    """A donor of another value for each row: of the same page if there is one, else of the same paper; chosen by modulo arithmetic."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("paper"), F.col("o_orderpriority").alias("page"), F.col("o_totalprice").alias("v"))
+    out = curate.pick_donor(rows, "id", [("page", ["paper", "page"]), ("paper", ["paper"])], F.col("a.v") != F.col("b.v"), (F.col("b.id") * 7919) % 10007 * 10000000 + F.col("b.id"), ["v"])
+    return out.select("id", "tier", "donor_id")
+
+
+@query("q36_group_number", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dense_rank() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS entity_no FROM lineitem")
+def q36(spark, d):
+    return grouping.group_number(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey", "l_linenumber"], "entity_no")
+
+
+_NULLS_SQL = """n AS (SELECT l_orderkey, l_partkey, attribute, CASE WHEN (l_partkey + length(attribute)) % 4 = 0 THEN NULL ELSE value END AS value, l_suppkey, id FROM eav)"""
+_WIDE_SQL = _EAV_SQL + ", " + _NULLS_SQL + ", w AS (SELECT l_orderkey, " + ", ".join(f"arg_min(value, id) FILTER (attribute = '{a}' AND value IS NOT NULL) AS {a}" for a in ("discount", "price", "quantity", "tax")) + " FROM n GROUP BY l_orderkey)"
+
+
+def _wide(spark, d):
+    rows = _eav(spark, d).withColumn("value", F.when((F.col("l_partkey") + F.length("attribute")) % 4 != 0, F.col("value")))
+    return grouping.pivot_first(rows, "l_orderkey", "attribute", ["discount", "price", "quantity", "tax"], "value", ["id"])
+
+
+@query("q37_pivot_first", "WITH " + _WIDE_SQL + " SELECT * FROM w")
+def q37(spark, d):
+    return _wide(spark, d)
+
+
+_SCORED_SQL = "s AS (SELECT page_score AS p, (label = 'valid')::INT AS y, measurement_id, attribute FROM probe_dataset WHERE page_score IS NOT NULL)"
+
+
+def _scored(spark, d):
+    return table(spark, d, "probe_dataset").where("page_score is not null").select("measurement_id", "attribute", "document_id", F.col("page_score").alias("p"), (F.col("label") == "valid").cast("int").alias("y"))
+
+
+@query("q38_auroc", "WITH " + _SCORED_SQL + ", c AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY p), r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c) SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auroc FROM r")
+def q38(spark, d):
+    return evaluate.auroc(_scored(spark, d), "p", "y").select(F.round("auroc", 6).alias("auroc"))
+
+
+@query("q38b_pr_curve", "WITH " + _SCORED_SQL + ", c AS (SELECT p, sum(y) AS pos, count(*) AS n FROM s GROUP BY p) SELECT p AS threshold, round(sum(pos) OVER w / sum(n) OVER w, 6) AS \"precision\", round(sum(pos) OVER w / sum(pos) OVER (), 6) AS recall FROM c WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)")
+def q38b(spark, d):
+    return evaluate.pr_curve(_scored(spark, d), "p", "y").select("threshold", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+_BINS_SQL = _SCORED_SQL + ", e AS (SELECT i, i * 0.1::DOUBLE AS lo, (i + 1) * 0.1::DOUBLE AS hi FROM range(10) t(i)), b AS (SELECT s.*, e.i::INT AS bin FROM s JOIN e ON s.p >= e.lo AND (s.p < e.hi OR (e.i = 9 AND s.p <= 1.0)))"
+
+
+@query("q39_ece", "WITH " + _BINS_SQL + ", g AS (SELECT attribute, bin, count(*) AS n, avg(p) AS c, avg(y) AS a FROM b GROUP BY ALL) SELECT attribute, round(sum(n * abs(c - a)) / (SELECT count(*) FROM s WHERE s.attribute = g.attribute), 6) AS ece FROM g GROUP BY attribute")
+def q39(spark, d):
+    return evaluate.ece(_scored(spark, d), "p", "y", 10, ["attribute"]).select("attribute", F.round("ece", 6).alias("ece"))
+
+
+@query("q39b_reliability", "WITH " + _BINS_SQL + " SELECT bin, count(*) AS n, round(avg(p), 6) AS confidence, round(avg(y), 6) AS accuracy, round(sqrt(avg(y) * (1 - avg(y)) / count(*)), 6) AS sem FROM b GROUP BY bin")
+def q39b(spark, d):
+    return evaluate.reliability(_scored(spark, d), "p", "y").select("bin", "n", *(F.round(c, 6).alias(c) for c in ("confidence", "accuracy", "sem")))
+
+
+@query("q40_latest_run", "SELECT o_custkey, strftime(max(o_orderdate), '%Y_%m_%d') AS run_date, max(struct_pack(d := o_orderdate, k := o_orderkey)).k AS o_orderkey FROM orders GROUP BY o_custkey")
+def q40(spark, d):
+    rows = table(spark, d, "orders").withColumn("run_date", F.date_format("o_orderdate", "yyyy_MM_dd"))
+    return runs.latest(rows, ["o_custkey"], "run_date", ["o_orderkey"])
+
+
+@query("q41_holdout", "WITH g AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source), r AS (SELECT *, sum(n) OVER (ORDER BY md5(source)) - n AS before, sum(n) OVER () AS t FROM g) SELECT source, n, CASE WHEN before < round(t * 0.6) THEN 'train' WHEN before < round(t * 0.8) THEN 'calibration' ELSE 'test' END AS split FROM r")
+def q41(spark, d):
+    return grouping.holdout(table(spark, d, "documents").where("source is not null"), "source", F.md5("source"), 0.6, 0.2)
+
+
+@query("q41b_kfold")
+def q41b(spark, d):
+    return grouping.kfold(table(spark, d, "documents").where("source is not null"), "source", 5)
+
+
+@query("q42_intercept", "WITH " + _SCORED_SQL + ", c AS (SELECT measurement_id, least(greatest(p, 1e-12), 1 - 1e-12) AS q FROM s) SELECT measurement_id, round(1 / (1 + exp(-(ln(q / (1 - q)) + ln(0.85 / 0.15) - ln(0.4 / 0.6)))), 6) AS adjusted FROM c")
+def q42(spark, d):
+    return _scored(spark, d).select("measurement_id", F.round(evaluate.shifted_prior(F.col("p"), 0.4, 0.85), 6).alias("adjusted"))
+
+
+@query("q43_em_prior", "WITH RECURSIVE " + _SCORED_SQL + ", e(i, pi) AS (SELECT 0, 0.4::DOUBLE UNION ALL SELECT i + 1, (SELECT avg(p * e.pi / 0.4 / (p * e.pi / 0.4 + (1 - p) * (1 - e.pi) / 0.6)) FROM s) FROM e WHERE i < 20) SELECT round(pi, 6) AS prior FROM e WHERE i = 20")
+def q43(spark, d):
+    prior = evaluate.em_prior(_scored(spark, d), "p", 0.4, rounds=20, tolerance=0.0)
+    return spark.createDataFrame([(round(prior, 6) if prior is not None else None,)], "prior double")
+
+
+@query("q44_probe_calibrated")
+def q44(spark, d):
+    """Out-of-fold, Platt-calibrated probabilities of a linear probe on the embeddings."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y"), (F.col("vec_id") % 5).cast("int").alias("fold"))
+    return probes.calibrated_probabilities(rows, "vec_id", "embedding", "y", "fold", 5).select("vec_id", "y", "fold", F.round("p", 6).alias("p"))
+
+
+@query("q44b_weighted_kmeans")
+def q44b(spark, d):
+    rows = table(spark, d, "embeddings").withColumn("w", 1.0 / (1 + F.col("label")))
+    model = grouping.weighted_kmeans(rows, "embedding", "w", 5)
+    sizes = model.summary.clusterSizes
+    return spark.createDataFrame([(i, int(n), round(float(np.linalg.norm(c)), 4)) for i, (n, c) in enumerate(zip(sizes, model.clusterCenters()))], "cluster int, n bigint, norm double")
+
+
+@query("q45_threshold_sweep", "WITH " + _SCORED_SQL + ", t AS (SELECT i::INT AS step, i * 0.05::DOUBLE AS th FROM range(20) r(i)) SELECT step, round(th, 6) AS threshold, count(*) AS said, sum(y)::BIGINT AS tp, round(sum(y) / (SELECT sum(y) FROM s), 6) AS recovery, round(avg(y), 6) AS validity FROM t JOIN s ON s.p > t.th GROUP BY step, th")
+def q45(spark, d):
+    return evaluate.sweep(_scored(spark, d), "p", "y", 20, 0.05).select("step", F.round("threshold", 6).alias("threshold"), "said", "tp", F.round("recovery", 6).alias("recovery"), F.round("validity", 6).alias("validity"))
+
+
+@query("q46_noise_sensitivity", "WITH " + _SCORED_SQL + ", f AS (SELECT t.trial, s.p, CASE WHEN (measurement_id * 7919 + trial * 104729) % 1000 < 200 THEN 1 - y ELSE y END AS y FROM s, (SELECT i::INT AS trial FROM range(10) r(i)) t), e AS (SELECT i, i * 0.1::DOUBLE AS lo, (i + 1) * 0.1::DOUBLE AS hi FROM range(10) t(i)), g AS (SELECT trial, e.i, count(*) AS n, avg(p) AS c, avg(y) AS a FROM f JOIN e ON f.p >= e.lo AND (f.p < e.hi OR (e.i = 9 AND f.p <= 1.0)) GROUP BY ALL) SELECT trial, round(sum(n * abs(c - a)) / (SELECT count(*) FROM s), 6) AS ece FROM g GROUP BY trial")
+def q46(spark, d):
+    """Calibration error when a fifth of the labels is flipped, ten deterministic trials."""
+    noisy = _scored(spark, d).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    flip = (F.col("measurement_id") * 7919 + F.col("trial") * 104729) % 1000 < 200
+    return evaluate.ece(noisy.withColumn("y", F.when(flip, 1 - F.col("y")).otherwise(F.col("y"))), "p", "y", 10, ["trial"]).select("trial", F.round("ece", 6).alias("ece"))
+
+
+@query("q47_dense_rows", "WITH " + _WIDE_SQL + """, m AS (SELECT l_orderkey, (discount IS NULL)::INT + (price IS NULL)::INT + (quantity IS NULL)::INT + (tax IS NULL)::INT AS nulls FROM w),
+o AS (SELECT *, row_number() OVER (ORDER BY nulls DESC, l_orderkey) - 1 AS dropped, sum(nulls) OVER () AS total, count(*) OVER () AS n, coalesce(sum(nulls) OVER (ORDER BY nulls DESC, l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM m)
+SELECT l_orderkey, nulls FROM o WHERE dropped >= (SELECT min(dropped) FROM o WHERE (total - gone) <= 0.2 * (n - dropped) * 4 OR n - dropped = 1)""")
+def q47(spark, d):
+    return grouping.dense_rows(_wide(spark, d), ["discount", "price", "quantity", "tax"], "l_orderkey").select("l_orderkey", F.col("nulls").cast("int").alias("nulls"))
+
+
+@query("q48_knn_fill")
+def q48(spark, d):
+    """Missing coordinates of embeddings filled from their nearest neighbours."""
+    rows = table(spark, d, "embeddings").select("vec_id", *(F.when((F.col("vec_id") + i) % 7 != 0, F.get("embedding", F.lit(i)).cast("double")).alias(f"x{i}") for i in range(4)))
+    return grouping.knn_fill(rows, "vec_id", [f"x{i}" for i in range(4)])
+
+
+@query("q49_centroid_distance", "SELECT count(DISTINCT label)::INT AS labels, 0.0::DOUBLE AS distance FROM embeddings WHERE label < 5")
+def q49(spark, d):
+    """Distance of the label means to themselves in another order: nothing, under the best assignment."""
+    rows = table(spark, d, "embeddings").where("label < 5").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
+    got = bounded_rows(rows, 8, "the table of centroids")
+    points = np.array([[x.m for x in r.c] for r in sorted(got, key=lambda r: r.label)])
+    distance = grouping.centroid_distance(points, points[::-1]) if len(points) else 0.0
+    return spark.createDataFrame([(len(points), round(distance, 4) + 0.0)], "labels int, distance double")
+
+
+@query("q50_p_true", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(1 / (1 + (exp(l_tax) + exp(l_discount * 2)) / (exp(l_discount) + exp(l_quantity / 50))), 6) AS p FROM lineitem")
+def q50(spark, d):
+    p = evaluate.p_true(F.col("l_discount"), F.col("l_quantity") / 50, F.col("l_tax"), F.col("l_discount") * 2)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(p, 6).alias("p"))
+
+
+@query("q51_central_value", r"""SELECT DISTINCT item_id, regexp_replace(regexp_replace(regexp_replace(value, '\s*(±|\+/-).*$', ''), '\s*\(.*\)\s*$', ''), '^\s*([<>≤≥~]|ca\.|approx\.|below|above)\s*|\s+$', '', 'g') AS central FROM extraction_values WHERE value IS NOT NULL AND NOT regexp_matches(value, '[\x{00A0}\x{202F}]')""")
+def q51(spark, d):
+    rows = table(spark, d, "extraction_values").where("value is not null").where(~F.col("value").rlike(r"[\x{00A0}\x{202F}]"))
+    return rows.select("item_id", measures.central_value(F.col("value")).alias("central")).distinct()
+
+
+def _stub(prompts: list[str]) -> list[str]:
+    """A model that answers from the prompt alone, at times with prose around its JSON."""
+    out = []
+    for p in prompts:
+        n = sum(map(ord, p))
+        out.append(f'Here it is: {{"has_value": {"true" if n % 3 else "false"}, "value": "{n % 97}", "units": "m"}}' if n % 5 else "no idea")
+    return out
+
+
+@query("q52_pipeline")
+def q52(spark, d):
+    """Provenance, events, values and merging, end to end with a stub model."""
+    values = table(spark, d, "extraction_values")
+    entities = table(spark, d, "entities").select("document_id", "entity_id", "name")
+    e = values.select("document_id", "entity_id", "page_number", F.when(F.col("source") == "table", F.col("table_number").cast("int")).alias("table_number")).distinct()
+    a = values.select("document_id", F.col("attribute"), "page_number", F.when(F.col("source") == "table", F.col("table_number").cast("int")).alias("table_number")).join(F.broadcast(table(spark, d, "attribute_catalogue").select("attribute").distinct()), "attribute").distinct()
+    events = values.select("document_id", "entity_id", "attribute", "page_number", "date", "additional_details").distinct()
+    catalogue = F.broadcast(table(spark, d, "attribute_catalogue").groupBy("attribute").agg(F.min("description").alias("description")))
+    found = extraction.run(entities, catalogue, e, a, events, _stub)
+    merged = dedupe.first_fit(found, ["document_id", "entity_id", "attribute", "date", "additional_details"], "value", "units", ["page_number", "source"], ["page_number", "table_number", "source"])
+    return merged.select("document_id", "entity_id", "attribute", "date", "additional_details", "value", "units", F.size("provenance").alias("sources"))
+
+
+@query("q53_partial_ratio")
+def q53(spark, d):
+    """Titles of raw surveys against the papers' titles of the same region."""
+    raw = table(spark, d, "raw_pond").select("title").distinct().withColumn("region", F.regexp_extract("title", "survey of (.*?),", 1))
+    papers = table(spark, d, "papers").select(F.col("title").alias("paper_title")).distinct().withColumn("region", F.regexp_extract("paper_title", r"(?:in|of) ([A-Z][a-z]+(?: [A-Z][a-z]+)?)", 1))
+    pairs = raw.join(papers, "region")
+    return pairs.select("title", "paper_title", F.round(fuzzy.similarity(F.col("title"), F.col("paper_title"), "partial_ratio"), 4).alias("partial"), F.round(fuzzy.similarity(F.col("title"), F.col("paper_title"), "token_set_ratio"), 4).alias("token_set"))
