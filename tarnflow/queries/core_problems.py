@@ -85,4 +85,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p1_ecosystems": p1_ecosystems, "p3_found": p3_found, "p3_common": p3_common, "p4_found": p4_found, "p4_wide": p4_wide}
 
-SQL: dict[str, str] = {}
+
+def _rows(names: dict[str, list[str]]) -> str:
+    return ", ".join("('{}', '{}')".format(k.replace("'", "''"), canonical) for canonical, keys in names.items() for k in keys)
+
+
+#: the same rules in SQL: spellings as a table, one regular expression for the number before a unit
+_KEY = r"""regexp_replace(lower(translate({c}, '⁻⁺⁰¹²³⁴⁵⁶⁷⁸⁹−µμ×°º', '-+0123456789-uuxoo')), '[\s\x{{00A0}}\x{{202F}}·⋅.^*_]+', '', 'g')"""
+for _a, _b in ((r"milligrams?", "mg"), (r"micrograms?|microg", "ug"), (r"millisiemens", "ms"), (r"microsiemens|micros", "us"), (r"(perlitre|perliter|l-1)$", "/l"), (r"(percubicmetre|percubicmeter|m-3)$", "/m3"), (r"(percm|cm-1)$", "/cm"), (r"(permetre|permeter|m-1)$", "/m"), (r"//", "/")):
+    _KEY = f"regexp_replace({_KEY}, '{_a}', '{_b}', 'g')"
+_N = r"(?:[0-9Ol]{1,9}(?:['' ][0-9Ol]{3})+(?:[.,][0-9Ol]*)?|[0-9Ol]+(?:[.,][0-9Ol]*)?)(?: ?[x×] ?10 ?\^? ?[-+]?[0-9]+|[eE][-+]?[0-9]+)?"
+_VALUE_UNIT = r"regexp_extract(translate(trim(regexp_replace(value, '[\s\x{00A0}\x{202F}]+', ' ', 'g')), '⁻⁺⁰¹²³⁴⁵⁶⁷⁸⁹−', '-+0123456789-'), '^(?:<|>|below|above)? ?(?:~|ca\.|approx\.)? ?[-+]?" + _N + r"(?: ?(?:±|\+/-) ?" + _N + r")?(?: ?\( ?" + _N + r" ?(?:to|-|–) ?" + _N + r" ?\))? ?(.*)$', 1)"
+_ATTRIBUTE_KEY = r"trim(regexp_replace(regexp_replace(lower({c}), '[.,]', '', 'g'), '[\s\x{{00A0}}_-]+', ' ', 'g'))"
+_SUFFIX_SQL = r"^(.*?)\s*(?:\(([^()]*(?:\([^()]*\))?)\)|\[([^\[\]]*)\]|\s/\s+(.*)|\sin\s+(.*))$"
+_EMPTY = "value IS NULL OR NOT regexp_matches(value, '[0-9]') OR regexp_matches(trim(value), '^-9{2,}([.,]0+)?$')"
+_ITEMS = f"""names(k, attribute) AS (VALUES {_rows(V.ATTRIBUTE_NAMES)}), unit_names(k, unit) AS (VALUES {_rows(V.UNIT_NAMES)}),
+x AS (SELECT *, ({_EMPTY}) AS missing, {_ATTRIBUTE_KEY.format(c='attribute')} AS whole, regexp_extract(attribute, '{_SUFFIX_SQL}', 1) AS base, concat(regexp_extract(attribute, '{_SUFFIX_SQL}', 2), regexp_extract(attribute, '{_SUFFIX_SQL}', 3), regexp_extract(attribute, '{_SUFFIX_SQL}', 4), regexp_extract(attribute, '{_SUFFIX_SQL}', 5)) AS suffix FROM extraction_values),
+items AS (SELECT x.*, coalesce(a.attribute, b.attribute) AS std, a.attribute IS NULL AND b.attribute IS NOT NULL AS suffixed FROM x LEFT JOIN names a ON a.k = x.whole LEFT JOIN names b ON b.k = {_ATTRIBUTE_KEY.format(c='x.base')})"""
+SQL = {
+    "p1_found": f"""SELECT DISTINCT 'value' AS field, item_id AS row_key FROM extraction_values WHERE {_EMPTY}
+UNION ALL SELECT 'ecosystem', row_id FROM entities WHERE ecosystem IS NULL OR lower(trim(ecosystem)) IN ('', '?', '-', 'na', 'n/a', 'unknown', 'unspecified', 'not given', 'not stated', 'null', 'none')""",
+    "p3_found": f"""WITH {_ITEMS},
+said AS (SELECT i.*, coalesce(u1.unit, u2.unit, u3.unit, u4.unit) AS row_unit FROM items i LEFT JOIN unit_names u1 ON u1.k = {_KEY.format(c='i.units')} LEFT JOIN unit_names u2 ON u2.k = {_KEY.format(c=_VALUE_UNIT.replace('value,', 'i.value,').replace('{', '{').replace('}', '}'))}
+ LEFT JOIN unit_names u3 ON i.suffixed AND u3.k = {_KEY.format(c='i.suffix')} LEFT JOIN unit_names u4 ON u4.k = {_KEY.format(c="regexp_extract(i.additional_details, '(?:given in|reported in|values are|unit:) (.*)$', 1)")}),
+pu AS (SELECT document_id, attribute, min(u.unit) AS unit FROM (SELECT document_id, unnest(json_keys(units)) AS attribute, units FROM papers WHERE json_valid(units)) p JOIN unit_names u ON u.k = {_KEY.format(c="json_extract_string(p.units, '$.' || p.attribute)")} GROUP BY ALL),
+stated AS (SELECT s.item_id, s.std, coalesce(c.unit, pu.unit) AS unit FROM said s LEFT JOIN attribute_catalogue c ON c.attribute = s.std AND c.unit = s.row_unit LEFT JOIN pu ON pu.document_id = s.document_id AND pu.attribute = s.std WHERE NOT s.missing AND s.std IS NOT NULL)
+SELECT DISTINCT s.item_id, s.unit FROM stated s JOIN attribute_catalogue k ON k.attribute = s.std AND k.is_common WHERE s.unit <> k.unit""",
+    "p4_found": f"""WITH {_ITEMS} SELECT entity_id, std AS attribute, arg_max(item_id, struct_pack(a := extracted_at, b := item_id)) AS item_id FROM items WHERE NOT missing AND std IS NOT NULL AND entity_id IS NOT NULL GROUP BY ALL""",
+}
