@@ -423,12 +423,12 @@ def q36(spark, d):
 
 
 _NULLS_SQL = """n AS (SELECT l_orderkey, l_partkey, attribute, CASE WHEN (l_partkey + length(attribute)) % 4 = 0 THEN NULL ELSE value END AS value, l_suppkey, id FROM eav)"""
-_WIDE_SQL = _EAV_SQL + ", " + _NULLS_SQL + ", w AS (SELECT l_orderkey, " + ", ".join(f"arg_min(value, id) FILTER (attribute = '{a}' AND value IS NOT NULL) AS {a}" for a in ("discount", "price", "quantity", "tax")) + " FROM n GROUP BY l_orderkey)"
+_WIDE_SQL = _EAV_SQL + ", " + _NULLS_SQL + ", w AS (SELECT l_orderkey, " + ", ".join(f"arg_min(value, struct_pack(i := id, v := value)) FILTER (attribute = '{a}' AND value IS NOT NULL) AS {a}" for a in ("discount", "price", "quantity", "tax")) + " FROM n GROUP BY l_orderkey)"
 
 
 def _wide(spark, d):
     rows = _eav(spark, d).withColumn("value", F.when((F.col("l_partkey") + F.length("attribute")) % 4 != 0, F.col("value")))
-    return grouping.pivot_first(rows, "l_orderkey", "attribute", ["discount", "price", "quantity", "tax"], "value", ["id"])
+    return grouping.pivot_first(rows, "l_orderkey", "attribute", ["discount", "price", "quantity", "tax"], "value", ["id", "value"])
 
 
 @query("q37_pivot_first", "WITH " + _WIDE_SQL + " SELECT * FROM w")
