@@ -19,16 +19,17 @@ def normal(c: Column) -> Column:
 def strict_match(left: DataFrame, right: DataFrame, keys: Sequence[str], band: tuple[str, float] | None = None, ids: tuple[str, str] = ("gt_idx", "ex_idx")) -> DataFrame:
     """Pairs of ids whose keys are equal without case and outer white space, null equal to null, and whose band column differs by at most band.
 
-    The band is an equi-join too: each left row goes to the buckets of its value and both neighbours, so a group with many values
-    is not compared in full.
+    The band is an equi-join too: values fall into buckets 16 bands wide, and a left row goes to those its band touches, seldom more than one,
+    so a group with many values is not compared in full.
     """
     l, r = left.select(ids[0], *(normal(F.col(k)).alias(f"__l{i}") for i, k in enumerate(keys)), *([F.col(band[0]).alias("__lv")] if band else [])), right.select(ids[1], *(normal(F.col(k)).alias(f"__r{i}") for i, k in enumerate(keys)), *([F.col(band[0]).alias("__rv")] if band else []))
     on = [F.col(f"__l{i}").eqNullSafe(F.col(f"__r{i}")) for i in range(len(keys))]
     if not band:
         return l.join(r, on).select(*ids)
     width = band[1]
-    bucket = lambda c: F.floor(c / width).cast("bigint")
-    near = F.when(F.col("__lv").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array(bucket(F.col("__lv")) - 1, bucket(F.col("__lv")), bucket(F.col("__lv")) + 1))
+    bucket = lambda c: F.floor(c / (16 * width)).cast("bigint")
+    # a little more than the band, for the rounding of the ends; the exact check follows
+    near = F.when(F.col("__lv").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array_distinct(F.array(bucket(F.col("__lv") - 1.001 * width), bucket(F.col("__lv") + 1.001 * width))))
     l = l.withColumn("__lb", F.explode(near))
     r = r.withColumn("__rb", bucket(F.col("__rv")))
     exact = (F.col("__lv").isNull() & F.col("__rv").isNull()) | (F.abs(F.col("__lv") - F.col("__rv")) <= width)
