@@ -30,18 +30,21 @@ def attribute_pages(scores: DataFrame, key: str, page: str, score: str, delta: f
     return out.withColumn("tier", F.when(F.size("pages") == 1, "high").when(F.size("pages") == 2, "medium").otherwise("ambiguous"))
 
 
-def pick_donor(rows: DataFrame, key: str, tiers: Sequence[tuple[str, Sequence[str]]], differs: Column, choice: Column, carry: Sequence[str]) -> DataFrame:
-    """rows with tier and donor fields: of the finest tier (equal tier keys) that has a row for which differs holds, the least by choice.
+def pick_donor(rows: DataFrame, key: str, tiers: Sequence[tuple[str, Sequence[str]]], value: str, choice: Column) -> DataFrame:
+    """rows with tier, donor_<key> and donor_<value>: of the finest tier (equal tier keys) that has a row of another value, the least by choice.
 
-    differs and choice are over a (the row) and b (the candidate). Candidates of a tier are cut to those that could be chosen by
-    an aggregation per tier key and carried value before rows meet them.
+    Two aggregations per tier are enough, however large a group: its least row by choice, and the least among the rows of another value
+    than that one's. A row takes the first unless it has the same value, then the second. Null values neither give nor take.
     """
-    out = rows.alias("a")
+    out = rows
     for name, keys in tiers:
-        pool = rows.select(*(F.col(k) for k in dict.fromkeys([*keys, *carry, key])))
-        pairs = rows.alias("a").join(pool.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).where(differs)
-        got = pairs.groupBy(F.col(f"a.{key}").alias("__k")).agg(F.min(F.struct(choice.alias("c"), *(F.col(f"b.{c}").alias(f"donor_{c}") for c in [key, *carry]))).alias(f"__{name}"))
-        out = out.join(got, F.col(f"a.{key}") == F.col("__k"), "left").drop("__k").alias("a")
+        keys = list(keys)
+        cand = rows.where(F.col(value).isNotNull()).select(*keys, F.struct(choice.alias("c"), F.col(value).alias("v"), F.col(key).alias("k")).alias("s"))
+        best = cand.groupBy(*keys).agg(F.min("s").alias("b1"))
+        second = cand.join(best, keys).where("s.v <> b1.v").groupBy(*keys).agg(F.min("s").alias("b2"))
+        pool = best.join(second, keys, "left").select(*(F.col(k).alias(f"__{k}") for k in keys), "b1", "b2")
+        out = out.join(pool, [F.col(k) == F.col(f"__{k}") for k in keys], "left").drop(*(f"__{k}" for k in keys))
+        out = out.withColumn(f"__{name}", F.when(F.col(value).isNotNull(), F.when(F.col("b1.v") != F.col(value), F.col("b1")).otherwise(F.col("b2")))).drop("b1", "b2")
     tier = F.coalesce(*(F.when(F.col(f"__{n}").isNotNull(), F.lit(n)) for n, _ in tiers))
     chosen = F.coalesce(*(F.col(f"__{n}") for n, _ in tiers))
-    return out.select(*(F.col(f"a.{c}") for c in rows.columns), tier.alias("tier"), *(chosen[f"donor_{c}"].alias(f"donor_{c}") for c in [key, *carry]))
+    return out.select(*rows.columns, tier.alias("tier"), chosen["k"].alias(f"donor_{key}"), chosen["v"].alias(f"donor_{value}"))

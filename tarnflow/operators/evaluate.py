@@ -90,9 +90,14 @@ def auroc(df: DataFrame, p: str, y: str) -> DataFrame:
 def pr_curve(df: DataFrame, p: str, y: str) -> DataFrame:
     """(threshold, precision, recall) at each distinct score, rows at or over it predicted true."""
     per = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).alias("threshold")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)  # over distinct scores, not rows
+    per = per.withColumn("__r", F.floor(F.col("threshold") * 64))
+    ranges = per.groupBy("__r").agg(F.sum("pos").alias("__pos"), F.sum("n").alias("__n"))
+    over = Window.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)  # over ranges of scores
+    above = ranges.select("__r", F.coalesce(F.sum("__pos").over(over), F.lit(0)).alias("__pos"), F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__n"))
+    down = Window.partitionBy("__r").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     total = per.agg(F.sum("pos").alias("__all"))
-    c = per.select("threshold", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("said")).crossJoin(F.broadcast(total))
+    run = per.join(F.broadcast(above), "__r").select("threshold", (F.sum("pos").over(down) + F.col("__pos")).alias("tp"), (F.sum("n").over(down) + F.col("__n")).alias("said"))
+    c = run.crossJoin(F.broadcast(total))  # one row
     return c.select("threshold", F.try_divide(F.col("tp"), F.col("said")).alias("precision"), F.try_divide(F.col("tp"), F.col("__all")).alias("recall"))
 
 

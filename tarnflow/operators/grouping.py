@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.runtime import bounded_rows
+from tarnflow.runtime import bounded_rows, ranked
 
 
 def holdout(df: DataFrame, group: str, order: Column, train: float, calibration: float, max_groups: int = 1_000_000) -> DataFrame:
@@ -41,9 +41,9 @@ def kfold(df: DataFrame, group: str, folds: int, max_groups: int = 1_000_000) ->
 
 
 def group_number(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """df with a dense 0-based number of its keys in sorted order, nulls last; the window runs over distinct keys."""
+    """df with a dense 0-based number of its keys in sorted order, nulls last; distinct keys are numbered range by range."""
     distinct = df.select(*keys).distinct()
-    numbered = distinct.select(*(F.col(k).alias(f"__{k}") for k in keys), (F.row_number().over(Window.orderBy(*(F.col(k).asc_nulls_last() for k in keys))) - 1).alias(name))
+    numbered = ranked(distinct, [F.col(k).asc_nulls_last() for k in keys], name).select(*(F.col(k).alias(f"__{k}") for k in keys), name)
     return df.join(numbered, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*(f"__{k}" for k in keys))
 
 
@@ -77,7 +77,7 @@ def dense_rows(wide: DataFrame, columns: Sequence[str], key: str, most_missing:
         if drop < counts[k]:
             break
     whole = rows.where(F.col("nulls") < limit)
-    edge = rows.where(F.col("nulls") == limit).withColumn("__r", F.row_number().over(Window.orderBy(key))).where(F.col("__r") > partial).drop("__r")
+    edge = ranked(rows.where(F.col("nulls") == limit), [F.col(key)], "__r").where(F.col("__r") >= partial).drop("__r")
     return whole.unionByName(edge)
 
 

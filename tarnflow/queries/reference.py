@@ -311,12 +311,10 @@ def q26(spark, d):
 
 @query("q27_fuzzy_weight")
 def q27(spark, d):
-    """Names of one paper's entities that are spelt alike: the mean of two similarities, at least a third."""
-    e = table(spark, d, "extraction_values").select("document_id", "entity_id", F.lower(F.trim("name")).alias("name"), "location").distinct()
-    n = table(spark, d, "entities").select("document_id", F.col("entity_id").alias("other_id"), F.col("name").alias("other_name"), F.col("location").alias("other_location"))
-    # within a paper, and only where the first letters agree: the strict part of the match
-    pairs = e.join(n, "document_id").where((F.col("entity_id") != F.col("other_id")) & (F.lower(F.substring(F.trim("other_name"), 1, 3)) == F.substring("name", 1, 3)))
-    return matching.fuzzy_weight(pairs, [("name", "other_name"), ("location", "other_location")], 1 / 3).select("document_id", "entity_id", "other_id", F.round("weight", 6).alias("weight"))
+    """How alike an entity's name and place are in its own table and in the values read for it: the mean of two similarities, at least a third."""
+    e = table(spark, d, "extraction_values").select("entity_id", "name", "location").distinct()
+    n = table(spark, d, "entities").select("entity_id", F.col("name").alias("other_name"), F.col("location").alias("other_location"))
+    return matching.fuzzy_weight(e.join(n, "entity_id"), [("name", "other_name"), ("location", "other_location")], 1 / 3).select("entity_id", "name", "location", F.round("weight", 6).alias("weight"))
 
 
 @query("q28_best_matching")
@@ -413,7 +411,7 @@ SELECT r.id, CASE WHEN a.k IS NOT NULL THEN 'page' WHEN b.k IS NOT NULL THEN 'pa
 def q35(spark, d):
     """A donor of another value for each row: of the same page if there is one, else of the same paper; chosen by modulo arithmetic."""
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("paper"), F.col("o_orderpriority").alias("page"), F.col("o_totalprice").alias("v"))
-    out = curate.pick_donor(rows, "id", [("page", ["paper", "page"]), ("paper", ["paper"])], F.col("a.v") != F.col("b.v"), (F.col("b.id") * 7919) % 10007 * 10000000 + F.col("b.id"), ["v"])
+    out = curate.pick_donor(rows, "id", [("page", ["paper", "page"]), ("paper", ["paper"])], "v", (F.col("id") * 7919) % 10007 * 10000000 + F.col("id"))
     return out.select("id", "tier", "donor_id")
 
 

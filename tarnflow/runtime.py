@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -38,3 +40,16 @@ def shuffle_width(df: DataFrame) -> int:
     """Partitions an explicit repartition should use: the session's setting, at least the cluster's parallelism."""
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """df with its 0-based position in order, without sorting it in one task.
+
+    Rows are split by ranges of order and numbered within; only one count per range is summed up in order.
+    """
+    parts = shuffle_width(df)
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = cut(placed.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")  # one row per range
