@@ -459,9 +459,9 @@ def q39(spark, d):
     return evaluate.ece(_scored(spark, d), "p", "y", 10, ["attribute"]).select("attribute", F.round("ece", 6).alias("ece"))
 
 
-@query("q39b_reliability", "WITH " + _BINS_SQL + " SELECT bin, count(*) AS n, round(avg(p), 6) AS confidence, round(avg(y), 6) AS accuracy, round(sqrt(avg(y) * (1 - avg(y)) / count(*)), 6) AS sem FROM b GROUP BY bin")
+@query("q39b_reliability", "WITH " + _BINS_SQL + " SELECT bin, count(*) AS n, round(avg(p) + 1e-9, 6) AS confidence, round(avg(y) + 1e-9, 6) AS accuracy, round(sqrt(avg(y) * (1 - avg(y)) / count(*)) + 1e-9, 6) AS sem FROM b GROUP BY bin")
 def q39b(spark, d):
-    return evaluate.reliability(_scored(spark, d), "p", "y").select("bin", "n", *(F.round(c, 6).alias(c) for c in ("confidence", "accuracy", "sem")))
+    return evaluate.reliability(_scored(spark, d), "p", "y").select("bin", "n", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("confidence", "accuracy", "sem")))  # off the ties of rounding
 
 
 @query("q40_latest_run", "SELECT o_custkey, strftime(max(o_orderdate), '%Y_%m_%d') AS run_date, max(struct_pack(d := o_orderdate, k := o_orderkey)).k AS o_orderkey FROM orders GROUP BY o_custkey")
