@@ -7,9 +7,12 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.functions import markup
+from tarnflow.runtime import cut
+
 Client = Callable[[list[str]], list[str]]
 
 
@@ -25,13 +28,14 @@ def first_json(text: str | None) -> str | None:
     return None
 
 
-def complete(prompts: DataFrame, prompt: str, schema: str, client: Client, required: Sequence[str], retries: int = 2, batch: int = 32) -> DataFrame:
-    """prompts with raw, parsed (struct of schema) and ok; empty or invalid replies are asked for again up to retries times.
+def complete(prompts: DataFrame, prompt: str, schema: str, client: Client, required: Sequence[str], retries: int = 2, batch: int = 32, keep_prompt: bool = True) -> DataFrame:
+    """prompts (without the prompt itself unless keep_prompt) with raw, parsed (struct of schema) and ok; empty or invalid replies are asked for again up to retries times.
 
     A reply is valid if its first JSON value has the required fields. Keep the result by a checkpoint or a written stage: a model may
     answer otherwise when a lost task is computed again.
     """
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + ", raw string, json string"
+    kept = [c for c in prompts.columns if keep_prompt or c != prompt]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.select(*kept).schema) + ", raw string, json string"
 
     def valid(reply: str) -> str | None:
         found = first_json(reply)
@@ -42,7 +46,7 @@ def complete(prompts: DataFrame, prompt: str, schema: str, client: Client, requi
         return found if isinstance(value, dict) and all(value.get(k) is not None for k in required) or isinstance(value, list) and not required else None
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in (whole.iloc[i : i + 1000] for whole in frames for i in range(0, len(whole), 1000)):
             texts = f[prompt].tolist()
             raw, good = [""] * len(texts), [None] * len(texts)
             open_ = list(range(len(texts)))
@@ -54,10 +58,10 @@ def complete(prompts: DataFrame, prompt: str, schema: str, client: Client, requi
                 open_ = [j for j in open_ if good[j] is None]
                 if not open_:
                     break
-            yield f.assign(raw=raw, json=good)
+            yield f[kept].assign(raw=raw, json=good)
 
     asked = prompts.mapInPandas(ask, columns)
-    return asked.select(*prompts.columns, "raw", F.from_json("json", schema).alias("parsed"), F.col("json").isNotNull().alias("ok"))
+    return asked.select(*kept, "raw", F.from_json("json", schema).alias("parsed"), F.col("json").isNotNull().alias("ok"))
 
 
 def shared_pages(entity_prov: DataFrame, attribute_prov: DataFrame, tables: bool) -> DataFrame:
@@ -79,11 +83,101 @@ def with_events(pairs: DataFrame, events: DataFrame, keys: Sequence[str], fields
     return pairs.join(events.select(*keys, *fields), list(keys), "left")
 
 
-def run(entities: DataFrame, attributes: DataFrame, entity_prov: DataFrame, attribute_prov: DataFrame, events: DataFrame, client: Client) -> DataFrame:
-    """Values read by the model for every entity, attribute and event that share a prose page or a table."""
-    pairs = shared_pages(entity_prov, attribute_prov, False).withColumn("source", F.lit("text")).unionByName(shared_pages(entity_prov, attribute_prov, True).withColumn("source", F.lit("table")))
-    asked = with_events(pairs, events, ["document_id", "entity_id", "attribute", "page_number"], ["date", "additional_details"])
-    asked = asked.join(entities.select("document_id", "entity_id", "name"), ["document_id", "entity_id"]).join(attributes, "attribute")
-    prompt = F.concat_ws("\n\n", F.concat(F.lit("Entity: "), F.coalesce("name", F.lit("unnamed"))), F.concat(F.lit("Attribute: "), "description"), F.concat(F.lit("Event: "), F.concat_ws(", ", "date", "additional_details")), F.concat(F.lit("Page: "), F.col("page_number").cast("string")))
-    answered = complete(asked.withColumn("prompt", prompt), "prompt", "struct<has_value:boolean,value:string,units:string>", client, ["has_value"])
-    return answered.where("ok and parsed.has_value and parsed.value is not null").select("document_id", "entity_id", "attribute", "date", "additional_details", F.col("parsed.value").alias("value"), F.col("parsed.units").alias("units"), "page_number", "table_number", "source")
+def paper_texts(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of each paper the pages (document_id, page_number, tables array, text), the tables (document_id, table_number, text) and the whole (document_id, text).
+
+    A document without page marks is page 0. Pages, or tables, of one number in several documents of a paper are put together in the order of doc_id.
+    """
+    rows = documents.where("document_id is not null and text is not null")
+    found = F.filter(markup.pages(F.col("text")), lambda p: p["number"].isNotNull())
+    whole = F.array(F.struct(F.lit(0).alias("number"), F.col("text").alias("body")))
+
+    def joined(parts: DataFrame, *keys: str) -> DataFrame:
+        return parts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "pos", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+
+    def parts(c: Column, name: str) -> DataFrame:
+        return rows.select("document_id", "doc_id", F.posexplode(c).alias("pos", "p")).select("document_id", "doc_id", "pos", F.col("p.number").alias(name), F.col("p.body").alias("text"))
+
+    pages = joined(parts(F.when(F.size(found) > 0, found).otherwise(whole), "page_number"), "document_id", "page_number")
+    on_page = F.array_sort(F.array_distinct(F.filter(F.transform(markup.tables(F.col("text")), lambda t: t["number"]), lambda n: n.isNotNull())))
+    tables = joined(parts(markup.tables(F.col("text")), "table_number").where("table_number is not null"), "document_id", "table_number")
+    return pages.withColumn("tables", on_page), tables, joined(rows.select("document_id", "doc_id", F.lit(0).alias("pos"), "text"), "document_id")
+
+
+def _prompt(task: str, text: Column, *about: tuple[str, Column]) -> Column:
+    """Parts without a value are left out."""
+    return F.concat_ws("\n\n", F.lit(f"Task: {task}"), *(F.concat(F.lit(f"{n}: "), F.nullif(c.cast("string"), F.lit(""))) for n, c in about), F.concat(F.lit("Context: "), text))
+
+
+_ENTITY = ("name", "identifiers", "location", "ecosystem")
+
+
+def _entity() -> Column:
+    return F.coalesce(F.nullif(F.concat_ws(", ", *_ENTITY), F.lit("")), F.lit("unnamed"))
+
+
+def provenance(asked: DataFrame, keys: Sequence[str], about: Sequence[tuple[str, Column]], pages: DataFrame, client: Client) -> DataFrame:
+    """(document_id, keys, page_number, table_number): the pages of its paper on which the model finds what a row of asked names.
+
+    Found in a table, it is one row for each table of the page; else the table is null. An invalid reply gives no row.
+    """
+    rows = asked.join(pages, "document_id").withColumn("prompt", _prompt("provenance", F.col("text"), *about)).select("document_id", *keys, "page_number", "tables", "prompt")
+    got = complete(rows, "prompt", "struct<has_data:boolean,in_table:boolean>", client, ["has_data", "in_table"], keep_prompt=False).where("ok and parsed.has_data")
+    table = F.when(F.col("parsed.in_table"), F.col("tables")).otherwise(F.array(F.lit(None).cast("int")))
+    return got.select("document_id", *keys, "page_number", F.explode(table).alias("table_number"))
+
+
+def detected_attributes(wholes: DataFrame, attributes: DataFrame, client: Client) -> DataFrame:
+    """(document_id, attribute) of the catalogue's attributes the model finds measured in a paper; names outside the catalogue are ignored."""
+    listed = F.broadcast(attributes.agg(F.array_join(F.array_sort(F.collect_list(F.concat("attribute", F.lit(": "), "description"))), "\n").alias("listed")))  # one row
+    rows = wholes.crossJoin(listed).select("document_id", _prompt("attributes", F.col("text"), ("Attributes", F.col("listed"))).alias("prompt"))
+    got = complete(rows, "prompt", "struct<items:array<struct<attribute_name:string,detected:boolean>>>", client, ["items"], retries=4, keep_prompt=False).where("ok")
+    items = got.select("document_id", F.explode("parsed.items").alias("i")).where("i.detected").select("document_id", F.col("i.attribute_name").alias("attribute"))
+    return items.join(F.broadcast(attributes.select("attribute")), "attribute").select("document_id", "attribute").distinct()
+
+
+def run(entities: DataFrame, attributes: DataFrame, documents: DataFrame, entity_known: DataFrame, attribute_known: DataFrame, events_known: DataFrame, client: Client) -> DataFrame:
+    """Values read by the model for every entity, attribute and event that share a prose page or a table, standardised by the model.
+
+    Provenance and events are those known and those the model finds on the pages of documents. Prompts hold the text of the page, or of the
+    table; where the documents of a paper lack it, the whole paper, and no text where no document is there.
+    """
+    pages, tables, wholes = paper_texts(documents)
+    named = entities.groupBy("document_id", "entity_id").agg(F.min(F.struct(*_ENTITY)).alias("e")).select("document_id", "entity_id", "e.*")
+    keys = named.select("document_id", "entity_id").unionByName(entity_known.select("document_id", "entity_id")).distinct()
+    named = keys.join(named, ["document_id", "entity_id"], "left")
+    detected = detected_attributes(wholes, attributes, client).unionByName(attribute_known.select("document_id", "attribute")).distinct()
+    described = F.broadcast(attributes)  # the fixed catalogue
+    columns = ["page_number", "table_number"]
+    e_prov = cut(provenance(named, ["entity_id"], [("Entity", _entity())], pages, client).unionByName(entity_known.select("document_id", "entity_id", *columns)).distinct())
+    a_prov = cut(provenance(detected.join(described, "attribute"), ["attribute"], [("Attribute", F.col("attribute")), ("Description", F.col("description"))], pages, client).unionByName(attribute_known.select("document_id", "attribute", *columns)).distinct())
+    on_text, on_table = shared_pages(e_prov, a_prov, False).withColumn("source", F.lit("text")), shared_pages(e_prov, a_prov, True).withColumn("source", F.lit("table"))
+    page_text, table_text, paper_text = pages.select("document_id", "page_number", F.col("text").alias("page_text")), tables.withColumnRenamed("text", "table_text"), wholes.withColumnRenamed("text", "paper_text")
+
+    def read(rows: DataFrame) -> DataFrame:
+        """rows with what the prompts tell of entity, attribute and text"""
+        told = rows.join(named, ["document_id", "entity_id"], "left").join(described, "attribute")
+        told = told.join(page_text, ["document_id", "page_number"], "left").join(table_text, ["document_id", "table_number"], "left").join(paper_text, "document_id", "left")
+        own = F.when(F.col("source") == "table", F.coalesce("table_text", "page_text")).otherwise(F.col("page_text"))
+        return told.withColumn("text", F.coalesce(own, "paper_text")).drop("page_text", "table_text", "paper_text")
+
+    about = [("Entity", _entity()), ("Attribute", F.col("attribute")), ("Description", F.col("description"))]
+    where = ["document_id", "entity_id", "attribute", "page_number"]
+    event = ["date", "additional_details"]
+    # events are asked once for each page, whatever the tables on it
+    shared = on_text.unionByName(on_table).select(*where).distinct().withColumns({"table_number": F.lit(None).cast("int"), "source": F.lit("text")})
+    found = complete(read(shared).select(*where, _prompt("events", F.col("text"), *about, ("Page", F.col("page_number"))).alias("prompt")), "prompt", "struct<items:array<struct<date:string,additional_details:string>>>", client, ["items"], keep_prompt=False)
+    found = found.where("ok").select(*where, F.explode("parsed.items").alias("i")).select(*where, "i.date", "i.additional_details")
+    events = found.unionByName(events_known.select(*where, *event)).distinct()
+    asked = with_events(on_text.unionByName(on_table), events, where, event)
+    kept = [*where, *event, "table_number", "source"]
+    told = [*about, ("Event", F.concat_ws(", ", *event)), ("Page", F.col("page_number")), ("Table", F.col("table_number"))]
+    answered = complete(read(asked).select(*kept, _prompt("values", F.col("text"), *told).alias("prompt")), "prompt", "struct<has_value:boolean,value:string,units:string>", client, ["has_value"], keep_prompt=False)
+    values = answered.where("ok and parsed.has_value and parsed.value is not null").select(*kept, F.col("parsed.value").alias("value"), F.col("parsed.units").alias("units"))
+    return standardised(read(values).select(*kept, "value", "units", _prompt("standardise", F.col("text"), *told, ("Units to choose from", F.col("unit_options")), ("Value", F.col("value")), ("Units", F.col("units"))).alias("prompt")), client)
+
+
+def standardised(values: DataFrame, client: Client) -> DataFrame:
+    """values with value and units as the model standardises them from prompt, which is dropped; as they were where the reply is invalid."""
+    got = complete(values, "prompt", "struct<value:string,units:string>", client, ["value"], keep_prompt=False)
+    return got.withColumns({c: F.when(F.col("ok"), F.col(f"parsed.{c}")).otherwise(F.col(c)) for c in ("value", "units")}).drop("raw", "parsed", "ok")

@@ -6,11 +6,15 @@ those of probe_dataset; documents, values and papers are the tables of the same
 
 from __future__ import annotations
 
+import json
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.functions import fuzzy, markup, measures
+from tarnflow.functions.values import attribute_struct
 from tarnflow.operators import curate, dedupe, evaluate, grouping, matching, probes
 from tarnflow.plans import extraction, judging
 from tarnflow.runtime import bounded_rows
@@ -556,24 +560,44 @@ def q51(spark, d):
 
 
 def _stub(prompts: list[str]) -> list[str]:
-    """A model that answers from the prompt alone, at times with prose around its JSON."""
+    """A model that answers from the prompt alone, at times with prose around its JSON, at times not at all."""
     out = []
     for p in prompts:
-        n = sum(map(ord, p))
-        out.append(f'Here it is: {{"has_value": {"true" if n % 3 else "false"}, "value": "{n % 97}", "units": "m"}}' if n % 5 else "no idea")
+        n, task = zlib.crc32(p.encode()), p.partition("\n")[0].removeprefix("Task: ")
+        if n % 5 == 0:
+            out.append("no idea")
+            continue
+        if task == "provenance":
+            reply = {"has_data": n % 3 > 0, "in_table": n % 2 > 0}
+        elif task == "attributes":
+            names = [line.partition(":")[0] for line in p.partition("Attributes: ")[2].partition("\n\n")[0].split("\n")]
+            reply = {"items": [{"attribute_name": a, "detected": (n >> i) % 3 == 0} for i, a in enumerate(names)]}
+        elif task == "events":
+            reply = {"items": [{"date": str(1950 + n % 70), "additional_details": None}][: n % 2]}
+        elif task == "standardise":
+            reply = {"value": str(n % 89), "units": "m"}
+        else:
+            reply = {"has_value": n % 3 > 0, "value": str(n % 97), "units": "m"}
+        out.append(f"Here it is: {json.dumps(reply)}")
     return out
 
 
+def _known(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Provenance of entities, of catalogue attributes, and events, of all extraction_values; attributes by what their written names mean."""
+    rows = table(spark, d, "extraction_values").withColumns({"attribute": attribute_struct(F.col("attribute"))["attribute"], "table_number": F.when(F.col("source") == "table", F.col("table_number").cast("int"))})
+    attributes = rows.where("attribute is not null")
+    return (
+        rows.select("document_id", "entity_id", "page_number", "table_number").distinct(),
+        attributes.select("document_id", "attribute", "page_number", "table_number").distinct(),
+        attributes.select("document_id", "entity_id", "attribute", "page_number", "date", "additional_details").distinct(),
+    )
+
+
 @query("q52_pipeline")
 def q52(spark, d):
-    """Provenance, events, values and merging, end to end with a stub model."""
-    values = table(spark, d, "extraction_values")
-    entities = table(spark, d, "entities").select("document_id", "entity_id", "name")
-    e = values.select("document_id", "entity_id", "page_number", F.when(F.col("source") == "table", F.col("table_number").cast("int")).alias("table_number")).distinct()
-    a = values.select("document_id", F.col("attribute"), "page_number", F.when(F.col("source") == "table", F.col("table_number").cast("int")).alias("table_number")).join(F.broadcast(table(spark, d, "attribute_catalogue").select("attribute").distinct()), "attribute").distinct()
-    events = values.select("document_id", "entity_id", "attribute", "page_number", "date", "additional_details").distinct()
-    catalogue = F.broadcast(table(spark, d, "attribute_catalogue").groupBy("attribute").agg(F.min("description").alias("description")))
-    found = extraction.run(entities, catalogue, e, a, events, _stub)
+    """Attributes, provenance, events, values, standardising and merging, end to end with a stub model; the entities are those of their table."""
+    catalogue = table(spark, d, "attribute_catalogue").groupBy("attribute").agg(F.min("description").alias("description"), F.array_join(F.array_sort(F.collect_set("unit")), ", ").alias("unit_options"))
+    found = extraction.run(table(spark, d, "entities"), catalogue, table(spark, d, "documents"), *_known(spark, d), _stub)
     merged = dedupe.first_fit(found, ["document_id", "entity_id", "attribute", "date", "additional_details"], "value", "units", ["page_number", "source"], ["page_number", "table_number", "source"])
     return merged.select("document_id", "entity_id", "attribute", "date", "additional_details", "value", "units", F.size("provenance").alias("sources"))
 
