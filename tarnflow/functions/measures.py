@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 # Superscript digits and signs with their plain forms.
 SUPERSCRIPTS = ("⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789-+")
-POWER = r"[×x]\s*10(?:\^\{?([+-]?\d+)\}?|([+-]?\d+))"
+#: inside brackets: white space, the no-break and narrow blanks between thousands included, which \s leaves out
+BLANKS = r"\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+POWER = rf"[×x][{BLANKS}]*10(?:\^\{{?([+-]?\d+)\}}?|([+-]?\d+))"
 TOKEN = r"([-−]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?)"
 FLOAT = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
@@ -19,7 +21,7 @@ def with_exponents(c: Column) -> Column:
 
 def parse_numeric(c: Column) -> Column:
     """A written number as double, decimal commas and O / l for 0 / 1 allowed; null where it is none."""
-    s = F.regexp_replace(with_exponents(F.regexp_replace(c, r"^\s+|\s+$", "")), r"['\s]+", "")
+    s = F.regexp_replace(with_exponents(F.regexp_replace(c, rf"^[{BLANKS}]+|[{BLANKS}]+$", "")), rf"['{BLANKS}]+", "")
     s = F.translate(F.regexp_replace(s, r"(\d),(\d)", "$1.$2"), "Ol", "01")
     return F.when(s.rlike(FLOAT), s.try_cast("double"))
 
@@ -79,5 +81,5 @@ def page_list(c: Column) -> Column:
 
 def central_value(c: Column) -> Column:
     """The value proper of 'a ± b', 'a (b-c)' and '< a'."""
-    s = F.regexp_replace(F.regexp_replace(c, r"\s*(?:±|\+/-).*$", ""), r"\s*\(.*\)\s*$", "")
-    return F.regexp_replace(s, r"^\s*(?:[<>≤≥~]|ca\.|approx\.|below|above)\s*|\s+$", "")
+    s = F.regexp_replace(F.regexp_replace(c, rf"[{BLANKS}]*(?:±|\+/-).*$", ""), rf"[{BLANKS}]*\(.*\)[{BLANKS}]*$", "")
+    return F.regexp_replace(s, rf"^[{BLANKS}]*(?:[<>≤≥~]|ca\.|approx\.|below|above)[{BLANKS}]*|[{BLANKS}]+$", "")

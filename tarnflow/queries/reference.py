@@ -1,7 +1,8 @@
 """Queries of the measurement-extraction operators on the driver's tables, each with SQL that gives the same rows.
 
 Ground truth and predictions are made from lineitem: each row gives one measurement per numeric column. Probabilities and labels are
-those of probe_dataset; documents, values and papers are the tables of the same names. Every query reads its whole tables.
+those of probe_dataset; documents, values and papers are the tables of the same names. Every query reads its whole tables, but for q10, q12, q13,
+q49 and q51: they keep to the rows for which their SQL is defined, and the query named qNb_..._all answers for the whole table, without SQL.
 """
 
 from __future__ import annotations
@@ -145,10 +146,18 @@ _V = _SQL_NUM.format(e=_SQL_EXP.format(c=r"regexp_replace(value, '^\s+|\s+$', ''
 
 @query("q10_parse_numeric", f"SELECT item_id, round({_SQL_FLOAT.format(n='v')}, 6) AS parsed FROM (SELECT DISTINCT item_id, {_V} AS v FROM extraction_values WHERE NOT regexp_matches(value, '[^ -~×⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺±–]'))")
 def q10(spark, d):
+    """Written numbers of the values in plain characters, on which SQL and Spark have the same white space."""
     rows = table(spark, d, "extraction_values").where("value is not null").where(~F.col("value").rlike("[^ -~×⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺±–]")).select("item_id", "value").distinct()
     return rows.select("item_id", F.round(measures.parse_numeric(F.col("value")), 6).alias("parsed"))
 
 
+@query("q10b_parse_numeric_all")
+def q10b(spark, d):
+    """Written numbers of all values."""
+    rows = table(spark, d, "extraction_values").where("value is not null").select("item_id", "value").distinct()
+    return rows.select("item_id", F.round(measures.parse_numeric(F.col("value")), 6).alias("parsed"))
+
+
 _SQL_TOKENS = r"list_filter(list_transform(regexp_extract_all({e}, '([-−]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?)', 1), lambda x: try_cast(replace(x, ',', '.') AS DOUBLE)), lambda x: x IS NOT NULL)"
 
 
@@ -232,8 +241,8 @@ def q19(spark, d):
 @query("q20_unit_conversion", """SELECT p.measurement_id, round(try_cast(p.value AS DOUBLE) * coalesce(c.factor, 1.0), 6) AS converted FROM probe_dataset p LEFT JOIN (SELECT attribute, unit, factor FROM attribute_catalogue WHERE unit IS NOT NULL) c ON p.attribute = c.attribute AND p.units = c.unit
 WHERE p.value IS NULL OR NOT regexp_matches(p.value, '[_dDfF]')""")
 def q20(spark, d):
-    """Values times their unit's factor, unknown units as they are."""
-    rows = table(spark, d, "probe_dataset").where("value is null or not value rlike '[_dDfF]'")
+    """Values times their unit's factor, unknown units as they are; null where the value is no number, 1d and 1f included."""
+    rows = table(spark, d, "probe_dataset").withColumn("value", F.when(~F.col("value").rlike("[_dDfF]"), F.col("value")))
     factors = F.broadcast(table(spark, d, "attribute_catalogue").where("unit is not null").select("attribute", F.col("unit").alias("units"), "factor"))  # the fixed catalogue
     return rows.join(factors, ["attribute", "units"], "left").select("measurement_id", F.round(F.col("value").try_cast("double") * F.coalesce("factor", F.lit(1.0)), 6).alias("converted"))
 
@@ -555,10 +564,16 @@ def q50(spark, d):
 
 @query("q51_central_value", r"""SELECT DISTINCT item_id, regexp_replace(regexp_replace(regexp_replace(value, '\s*(±|\+/-).*$', ''), '\s*\(.*\)\s*$', ''), '^\s*([<>≤≥~]|ca\.|approx\.|below|above)\s*|\s+$', '', 'g') AS central FROM extraction_values WHERE value IS NOT NULL AND NOT regexp_matches(value, '[\x{00A0}\x{202F}]')""")
 def q51(spark, d):
+    """Central values of those without no-break blanks, which the SQL leaves out."""
     rows = table(spark, d, "extraction_values").where("value is not null").where(~F.col("value").rlike(r"[\x{00A0}\x{202F}]"))
     return rows.select("item_id", measures.central_value(F.col("value")).alias("central")).distinct()
 
 
+@query("q51b_central_value_all")
+def q51b(spark, d):
+    return table(spark, d, "extraction_values").where("value is not null").select("item_id", measures.central_value(F.col("value")).alias("central")).distinct()
+
+
 def _stub(prompts: list[str]) -> list[str]:
     """A model that answers from the prompt alone, at times with prose around its JSON, at times not at all."""
     out = []

@@ -1,9 +1,11 @@
 """Queries and operators over the whole of their input, against brute force or planted rows."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
+from tarnflow.functions import measures
 from tarnflow.functions.values import attribute_struct
 from tarnflow.plans import extraction
 from tarnflow.queries import reference
@@ -37,3 +39,33 @@ def test_pipeline_prompts_hold_the_texts_and_run_every_stage(spark, tmp_path):
     assert {p.split("\n")[0][6:] for p in asked} == {"attributes", "provenance", "events", "values", "standardise"}
     values = {p for p in asked if p.startswith("Task: values")}
     assert len(values) == 2 and all("deep water here" in p or "<td>cell</td>" in p for p in values)
+
+
+def _number(text):
+    """parse_numeric in plain Python, whose white space has every blank"""
+    s = re.sub(r"[×x]\s*10(?:\^\{?([+-]?[0-9]+)\}?|([+-]?[0-9]+))", lambda m: f"e{m[1] or m[2]}", text.strip().translate(str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789-+")))
+    s = re.sub(r"([0-9]),([0-9])", r"\1.\2", re.sub(r"['\s]+", "", s)).translate(str.maketrans("−Ol", "-01"))
+    return float(s) if re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", s) else None
+
+
+def test_numbers_with_every_blank(spark, small):
+    planted = {"1\u00a0234": 1234.0, "1\u202f234,5": 1234.5, "\u00a02\u2009×\u00a010³\u00a0": 2000.0, "5 µg/L": None, "1·2": None}
+    df = spark.createDataFrame([(k,) for k in planted], "v string")
+    assert {r.v: r.n for r in df.select("v", measures.parse_numeric(F.col("v")).alias("n")).collect()} == planted
+    got = {(r.item_id, r.parsed) for r in reference.QUERIES["q10b_parse_numeric_all"](spark, small).collect()}
+    rows = table(spark, small, "extraction_values").where("value is not null").select("item_id", "value").distinct().collect()
+    assert {i for i, _ in got} == {r.item_id for r in rows}
+    assert got == {(r.item_id, None if (n := _number(r.value)) is None else round(n, 6)) for r in rows}
+
+
+def test_central_values_with_every_blank(spark, small):
+    df = spark.createDataFrame([("1\u00a0234\u00a0±\u00a05",), ("<\u202f3\u00a0",), ("5\u00a0(3\u20137)",)], "v string")
+    assert [r[0] for r in df.select(measures.central_value(F.col("v"))).collect()] == ["1\u00a0234", "3", "5"]
+    values = table(spark, small, "extraction_values").where("value is not null")
+    assert reference.QUERIES["q51b_central_value_all"](spark, small).select("item_id").distinct().count() == values.select("item_id").distinct().count()
+
+
+def test_conversion_gives_null_for_what_only_spark_casts(spark, tmp_path):
+    spark.createDataFrame([(1, "1d", "a", "m"), (2, "2_0", "a", "m"), (3, "3", "a", "m"), (4, None, "a", "m")], "measurement_id int, value string, attribute string, units string").write.parquet(str(tmp_path / "probe_dataset.parquet"))
+    spark.createDataFrame([("a", "m", 2.0)], "attribute string, unit string, factor double").write.parquet(str(tmp_path / "attribute_catalogue.parquet"))
+    assert {r.measurement_id: r.converted for r in reference.QUERIES["q20_unit_conversion"](spark, str(tmp_path)).collect()} == {1: None, 2: None, 3: 6.0, 4: None}
