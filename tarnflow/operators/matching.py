@@ -36,6 +36,24 @@ def strict_match(left: DataFrame, right: DataFrame, keys: Sequence[str], band: t
     return l.join(r, [*on, F.col("__lb").eqNullSafe(F.col("__rb"))]).where(exact).select(*ids)
 
 
+def relative_match(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, number: str, rtol: float = 1e-4) -> DataFrame:
+    """left joined to the rows of right with equal keys whose number is within rtol of value; a value of 0 needs a number under 1e-12.
+
+    An equi-join on buckets of the logarithm, 16 tolerances wide, to which the exact check is added: a value falls into the one or two its
+    tolerance touches. Numbers under 1e-12 are also in a bucket of their own, for 0. Null, infinite and nan find nothing.
+    """
+    bucket = lambda c: F.floor(F.log(F.abs(c)) / (16 * rtol)).cast("bigint")
+    zero = F.struct(F.lit(0).alias("sign"), F.lit(0).cast("bigint").alias("b"))
+    at = lambda c, x: F.struct(F.signum(c).cast("int").alias("sign"), bucket(x).alias("b"))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    v, n = F.col(value), F.col(number)
+    # a little more than the tolerance, for the rounding of the ends; the exact check follows
+    l = left.where(finite(v)).withColumn("__at", F.explode(F.when(v == 0, F.array(zero)).otherwise(F.array_distinct(F.array(at(v, v * (1 - 1.001 * rtol)), at(v, v * (1 + 1.001 * rtol)))))))
+    r = right.where(finite(n)).withColumn("__at", F.explode(F.when(n == 0, F.array(zero)).when(F.abs(n) < 1e-12, F.array(zero, at(n, n))).otherwise(F.array(at(n, n)))))
+    exact = F.when(v == 0, F.abs(n) < 1e-12).otherwise(F.abs(n - v) / F.abs(v) <= rtol)
+    return l.join(r, [*keys, "__at"]).where(exact).drop("__at")
+
+
 def fuzzy_weight(pairs: DataFrame, fields: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
     """pairs with weight, the mean similarity (0 to 1) over the fields that both sides have; without such a field, or under threshold, no edge."""
     scores = [similarity(normal(F.col(a)), normal(F.col(b))) / 100 for a, b in fields]

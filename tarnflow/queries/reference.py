@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.functions import fuzzy, markup, measures
-from tarnflow.functions.values import attribute_struct
+from tarnflow.functions.values import attribute_struct, number_struct
 from tarnflow.operators import curate, dedupe, evaluate, grouping, matching, probes
 from tarnflow.plans import extraction, judging
-from tarnflow.runtime import bounded_rows
+from tarnflow.runtime import bounded_rows, cut
 from tarnflow.sources import runs
 from tarnflow.sources.tables import table
 
@@ -174,13 +174,31 @@ def q11(spark, d):
 c AS (SELECT DISTINCT e.document_id, y.doc_id, y.table_number, try_cast(y.cell AS DOUBLE) AS c FROM y JOIN documents e USING (doc_id) WHERE regexp_matches(y.cell, '^[0-9]+\.[0-9]$'))
 SELECT DISTINCT v.item_id, c.doc_id, c.table_number FROM v JOIN c ON v.document_id = c.document_id AND v.v = c.c""")
 def q12(spark, d):
-    """Tables of a paper's documents in which an extracted value stands."""
+    """Tables of a paper's documents in which an extracted value stands: values and cells of one decimal, compared as they are by the SQL."""
     one = r"^[0-9]+\.[0-9]$"
     values = table(spark, d, "extraction_values").where(F.col("value").rlike(one)).select("document_id", "item_id", F.col("value").cast("double").alias("v")).distinct()
     cells = _table_rows(spark, d).where(F.col("cell").rlike(one)).join(table(spark, d, "documents").select("doc_id", "document_id"), "doc_id").select("document_id", "doc_id", "table_number", F.col("cell").cast("double").alias("v")).distinct()
     return values.join(cells, ["document_id", "v"]).select("item_id", "doc_id", "table_number").distinct()
 
 
+def _written_values(spark, d) -> DataFrame:
+    """(document_id, item_id, v) of every value with a number in it: read whole, else without spread, range and bound, else before its unit."""
+    c = F.col("value")
+    v = F.coalesce(measures.parse_numeric(c), measures.parse_numeric(measures.central_value(c)), number_struct(c)["num"])
+    return table(spark, d, "extraction_values").select("document_id", "item_id", v.alias("v")).where("v is not null").distinct()
+
+
+@query("q12b_table_hits_all")
+def q12b(spark, d):
+    """For each extracted value the tables of its paper's documents with a cell that has a number within 1e-4 of it, none included; all written forms on both sides."""
+    docs = table(spark, d, "documents").select("document_id", "doc_id", F.explode(markup.tables(F.col("text"))).alias("t"))
+    cells = docs.select("document_id", "doc_id", F.col("t.number").alias("table_number"), F.explode(markup.cells(F.col("t.body"))).alias("cell"))
+    numbers = cells.select("document_id", "doc_id", "table_number", F.explode(measures.numbers_in(F.col("cell"))).alias("n")).distinct()
+    values = cut(_written_values(spark, d))  # parsed once, for the search and for the values that it doesn't find
+    hits = matching.relative_match(values, numbers, ["document_id"], "v", "n").groupBy("document_id", "item_id", "v").agg(F.array_sort(F.collect_set(F.struct("doc_id", "table_number"))).alias("tables"))
+    return values.join(hits, ["document_id", "item_id", "v"], "left").select("item_id", "v", F.coalesce("tables", F.array().cast("array<struct<doc_id:bigint,table_number:int>>")).alias("tables"))
+
+
 @query("q13_page_attribution", f"""WITH n AS (SELECT c.context_id, c.document_id, c.page_number, {_SQL_TOKENS.format(e=_SQL_EXP.format(c='c.context'))} AS ns FROM contexts c WHERE context IS NOT NULL),
 v AS (SELECT DISTINCT document_id, item_id, value::DOUBLE AS v FROM extraction_values WHERE regexp_matches(value, '^[0-9]+(\\.[0-9]+)?$') AND value::DOUBLE <> 0),
 s AS (SELECT v.item_id, n.page_number, list_min(list_transform(ns, lambda x: abs(x - v.v) / abs(v.v))) AS e FROM v JOIN n USING (document_id)),
@@ -190,7 +208,7 @@ w AS (SELECT p.item_id, min(p.page_number) AS page_number FROM p JOIN b USING (i
 SELECT p.item_id, w.page_number, count(*) AS n_pages, CASE count(*) WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'ambiguous' END AS tier
 FROM p JOIN b USING (item_id) JOIN w USING (item_id) WHERE p.score >= b.best - 0.05 GROUP BY p.item_id, w.page_number, b.best""")
 def q13(spark, d):
-    """The scan page on which a value stands best, by value alone."""
+    """The scan page on which a value stands best, by value alone: plain positive numbers, which the SQL casts."""
     pages = table(spark, d, "contexts").where("context is not null").select("document_id", "page_number", measures.numbers_in(F.col("context")).alias("ns"))
     values = table(spark, d, "extraction_values").where(F.col("value").rlike(r"^[0-9]+(\.[0-9]+)?$")).select("document_id", "item_id", F.col("value").cast("double").alias("v")).where("v <> 0").distinct()
     scores = values.join(pages, "document_id").select("item_id", "page_number", measures.numeric_score(F.col("v"), F.col("ns")).alias("score")).groupBy("item_id", "page_number").agg(F.max("score").alias("score"))
@@ -198,6 +216,15 @@ def q13(spark, d):
     return out.select("item_id", "page_number", F.size("pages").cast("bigint").alias("n_pages"), "tier")
 
 
+@query("q13b_page_attribution_all")
+def q13b(spark, d):
+    """The scan page on which a value stands best, by value alone, of every value with a number in it."""
+    pages = table(spark, d, "contexts").where("context is not null").select("document_id", "page_number", measures.numbers_in(F.col("context")).alias("ns"))
+    scores = _written_values(spark, d).join(pages, "document_id").select("item_id", "page_number", measures.numeric_score(F.col("v"), F.col("ns")).alias("score")).groupBy("item_id", "page_number").agg(F.max("score").alias("score"))
+    out = curate.attribute_pages(scores, "item_id", "page_number", "score")
+    return out.select("item_id", "page_number", F.size("pages").cast("bigint").alias("n_pages"), "tier")
+
+
 @query("q14_table_numbers", r"""SELECT document_id, unnest(flatten(list_transform(regexp_extract_all(lower(extraction_location_details), '\btables?\s+([\d\s;,]+)', 1), lambda x: regexp_extract_all(x, '(\d+)', 1))))::INT AS table_number FROM papers""")
 def q14(spark, d):
     return table(spark, d, "papers").select("document_id", F.explode(measures.table_numbers(F.col("extraction_location_details"))).alias("table_number"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import measures
 from tarnflow.functions.values import attribute_struct
+from tarnflow.operators import matching
 from tarnflow.plans import extraction
 from tarnflow.queries import reference
 from tarnflow.sources.tables import table
@@ -69,3 +70,25 @@ def test_conversion_gives_null_for_what_only_spark_casts(spark, tmp_path):
     spark.createDataFrame([(1, "1d", "a", "m"), (2, "2_0", "a", "m"), (3, "3", "a", "m"), (4, None, "a", "m")], "measurement_id int, value string, attribute string, units string").write.parquet(str(tmp_path / "probe_dataset.parquet"))
     spark.createDataFrame([("a", "m", 2.0)], "attribute string, unit string, factor double").write.parquet(str(tmp_path / "attribute_catalogue.parquet"))
     assert {r.measurement_id: r.converted for r in reference.QUERIES["q20_unit_conversion"](spark, str(tmp_path)).collect()} == {1: None, 2: None, 3: 6.0, 4: None}
+
+
+def test_relative_match_agrees_with_all_pairs(spark):
+    vs = [0.0, 1.0, -1.0, 12.5, 1234.5, 3e-5, 2000.0, float("nan"), None, float("inf")]
+    ns = [0.0, 1e-13, -1e-13, 1.00005, 1.0002, -0.99995, 12.5012, 12.4988, 1234.6, 3.0002e-5, 2000.2, 1999.81, None, float("inf")]
+    left, right = spark.createDataFrame([("a", v) for v in vs], "k string, v double"), spark.createDataFrame([("a", n) for n in ns], "k string, n double")
+    got = sorted((r.v, r.n) for r in matching.relative_match(left, right, ["k"], "v", "n").collect())
+    finite = [v for v in vs if v is not None and abs(v) < float("inf")], [n for n in ns if n is not None and abs(n) < float("inf")]
+    assert got == sorted((v, n) for v in finite[0] for n in finite[1] if (abs(n) < 1e-12 if v == 0 else abs(n - v) / abs(v) <= 1e-4))
+    assert len(got) > 8
+
+
+def test_values_in_every_written_form_are_found_in_tables(spark, tmp_path):
+    values = ["7", "12,34", "1\u00a0234", "2×10³", "5.5 ± 0.2", "<9.25", "80 µg/L", "6.5", "none"]
+    spark.createDataFrame([("W1", i, v) for i, v in enumerate(values)], "document_id string, item_id int, value string").write.parquet(str(tmp_path / "extraction_values.parquet"))
+    cells = ["7 (n = 3)", "12.34", "1234.05", "2e3", "5,5", "9.25 mg", "80", "6.51"]
+    body = "".join(f'<table number="{i}"><tr><td rowspan="2">{c}</td></tr></table>' for i, c in enumerate(cells))
+    spark.createDataFrame([(1, "W1", body), (2, "W2", body)], "doc_id bigint, document_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("W1", 4, "the 1234 and 2000 of 7"), ("W1", 5, "12.34 5.5 9.25 80 6.5")], "document_id string, page_number int, context string").write.parquet(str(tmp_path / "contexts.parquet"))
+    got = {r.item_id: [(x.doc_id, x.table_number) for x in r.tables] for r in reference.QUERIES["q12b_table_hits_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: [(1, i)] if i < 7 else [] for i in range(8)}
+    assert {r.item_id: r.page_number for r in reference.QUERIES["q13b_page_attribution_all"](spark, str(tmp_path)).collect()} == {0: 4, 1: 5, 2: 4, 3: 4, 4: 5, 5: 5, 6: 5, 7: 5}
