@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnflow.operators.matching import assignment
 from tarnflow.runtime import bounded_rows, ranked
 
 
@@ -129,11 +129,12 @@ def knn_fill(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, max_ro
 
 
 def centroid_distance(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean distance of matched centroids under the best assignment; for the few centroids of a clustering (at most 8)."""
+    """Mean distance of the centroids of a to those of b matched to them, under the best one-to-one assignment; b has at least as many."""
+    if len(a) > len(b):
+        raise ValueError("fewer centroids to match than to be matched")
     d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
-    if len(d) > 8:
-        raise ValueError("more than 8 centroids")
-    return min(float(np.mean([d[i, j] for i, j in enumerate(p)])) for p in permutations(range(len(b)), len(a)))
+    to = assignment((d.max() + 1 - d).tolist())  # every weight is over 0, so each row is matched
+    return float(np.mean([d[i, j] for i, j in enumerate(to)]))
 
 
 def weighted_kmeans(df: DataFrame, features: str, weight: str | None, k: int, seed: int = 342):

@@ -583,6 +583,19 @@ def q49(spark, d):
     return spark.createDataFrame([(len(points), round(distance, 4) + 0.0)], "labels int, distance double")
 
 
+@query("q49b_centroid_distance_all")
+def q49b(spark, d):
+    """Mean distance of the label means, of all labels, to the centres of as many fitted clusters, under the best assignment."""
+    rows = table(spark, d, "embeddings").where("label is not null and embedding is not null")
+    means = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
+    got = bounded_rows(means, 1000, "the table of centroids")
+    points = np.array([[x.m for x in r.c] for r in sorted(got, key=lambda r: r.label)])
+    if not len(points):
+        return spark.createDataFrame([(0, None)], "labels int, distance double")
+    centres = np.array(grouping.weighted_kmeans(rows, "embedding", None, len(points)).clusterCenters())  # fewer where points repeat
+    return spark.createDataFrame([(len(points), round(grouping.centroid_distance(*sorted((points, centres), key=len)), 4))], "labels int, distance double")
+
+
 @query("q50_p_true", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(1 / (1 + (exp(l_tax) + exp(l_discount * 2)) / (exp(l_discount) + exp(l_quantity / 50))), 6) AS p FROM lineitem")
 def q50(spark, d):
     p = evaluate.p_true(F.col("l_discount"), F.col("l_quantity") / 50, F.col("l_tax"), F.col("l_discount") * 2)

@@ -2,12 +2,15 @@
 
 import json
 import re
+from itertools import permutations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.functions import measures
 from tarnflow.functions.values import attribute_struct
-from tarnflow.operators import matching
+from tarnflow.operators import grouping, matching
 from tarnflow.plans import extraction
 from tarnflow.queries import reference
 from tarnflow.sources.tables import table
@@ -92,3 +95,19 @@ def test_values_in_every_written_form_are_found_in_tables(spark, tmp_path):
     got = {r.item_id: [(x.doc_id, x.table_number) for x in r.tables] for r in reference.QUERIES["q12b_table_hits_all"](spark, str(tmp_path)).collect()}
     assert got == {i: [(1, i)] if i < 7 else [] for i in range(8)}
     assert {r.item_id: r.page_number for r in reference.QUERIES["q13b_page_attribution_all"](spark, str(tmp_path)).collect()} == {0: 4, 1: 5, 2: 4, 3: 4, 4: 5, 5: 5, 6: 5, 7: 5}
+
+
+def test_centroids_of_any_number_are_matched():
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(5, 3)), rng.normal(size=(6, 3))
+    brute = min(np.mean([np.linalg.norm(a[i] - b[j]) for i, j in enumerate(p)]) for p in permutations(range(6), 5))
+    assert grouping.centroid_distance(a, b) == pytest.approx(brute)
+    many = rng.normal(size=(40, 3))
+    assert grouping.centroid_distance(many, many[rng.permutation(40)]) == 0
+    with pytest.raises(ValueError):
+        grouping.centroid_distance(b, a)
+
+
+def test_centroid_distance_takes_all_labels(spark, small):
+    r = reference.QUERIES["q49b_centroid_distance_all"](spark, small).collect()[0]
+    assert r.labels == table(spark, small, "embeddings").where("label is not null").select("label").distinct().count() and r.distance > 0
