@@ -568,9 +568,11 @@ def q47(spark, d):
 
 @query("q48_knn_fill")
 def q48(spark, d):
-    """Missing coordinates of embeddings filled from their nearest neighbours."""
-    rows = table(spark, d, "embeddings").select("vec_id", *(F.when((F.col("vec_id") + i) % 7 != 0, F.get("embedding", F.lit(i)).cast("double")).alias(f"x{i}") for i in range(4)))
-    return grouping.knn_fill(rows, "vec_id", [f"x{i}" for i in range(4)])
+    """Missing coordinates of embeddings, of all of them, filled from their nearest neighbours."""
+    rows = table(spark, d, "embeddings")
+    n = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    rows = rows.select("vec_id", *(F.when((F.col("vec_id") + i) % 7 != 0, F.get("embedding", F.lit(i)).cast("double")).alias(f"x{i}") for i in range(n)))
+    return grouping.knn_fill(rows, "vec_id", [f"x{i}" for i in range(n)])
 
 
 @query("q49_centroid_distance", "SELECT count(DISTINCT label)::INT AS labels, 0.0::DOUBLE AS distance FROM embeddings WHERE label < 5")

@@ -111,3 +111,10 @@ def test_centroids_of_any_number_are_matched():
 def test_centroid_distance_takes_all_labels(spark, small):
     r = reference.QUERIES["q49b_centroid_distance_all"](spark, small).collect()[0]
     assert r.labels == table(spark, small, "embeddings").where("label is not null").select("label").distinct().count() and r.distance > 0
+
+
+def test_every_coordinate_is_filled(spark, small):
+    size = table(spark, small, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    filled = reference.QUERIES["q48_knn_fill"](spark, small)
+    assert filled.columns == ["vec_id", *(f"x{i}" for i in range(size))]
+    assert filled.where(" or ".join(f"x{i} is null" for i in range(size))).count() == 0
