@@ -1,4 +1,4 @@
-"""Numbers, units and attribute names as they are written in measurement tables.
+"""Numbers and empty cells as they are written in measurement tables.
 
 All functions are Column expressions, so they run inside whole-stage codegen.
 """
@@ -8,48 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spellings of the catalogue's attributes, after attribute_key().
-ATTRIBUTE_NAMES = {
-    "surface_area": ["surface area", "area surface", "surf area", "open water area"],
-    "max_depth": ["max depth", "maximum depth", "depth (max)", "z max", "zmax", "deepest point"],
-    "vegetation_cover": ["vegetation cover", "veg cover", "macrophyte cover", "cover of macrophytes"],
-    "ph": ["ph", "ph (water)", "water ph"],
-    "tn": ["tn", "total nitrogen", "total n", "tot n", "nitrogen total"],
-    "tp": ["tp", "total phosphorus", "total p", "tot p", "phosphorus total"],
-    "chla": ["chla", "chl a", "chlorophyll a"],
-    "water_temp": ["water temp", "water temperature", "t (water)", "temperature of water"],
-    "conductivity": ["conductivity", "cond", "ec", "ec25", "specific conductance"],
-    "secchi_depth": ["secchi", "secchi depth", "secchi disc depth"],
-}
-
-# Spellings of the catalogue's units, after unit_key().
-UNIT_NAMES = {
-    "m^2": ["m2", "sqm", "squaremetres", "squaremeters"],
-    "ha": ["ha", "hectare", "hectares"],
-    "km^2": ["km2", "sqkm", "squarekilometres", "squarekilometers"],
-    "acres": ["ac", "acre", "acres"],
-    "mi^2": ["mi2", "sqmi", "squaremiles"],
-    "x10^-2 km^2": ["x10-2km2", "10-2km2"],
-    "m": ["m", "metre", "metres", "meter", "meters"],
-    "cm": ["cm", "centimetre", "centimetres", "centimeter", "centimeters"],
-    "ft": ["ft", "foot", "feet"],
-    "km": ["km", "kilometre", "kilometres", "kilometer", "kilometers"],
-    "percent": ["percent", "%", "%cover", "pct"],
-    "fraction": ["fraction", "fraction(0-1)", "asafraction", "frac", "proportion"],
-    "µg/L": ["ug/l"],
-    "mg/L": ["mg/l"],
-    "µmol/L": ["umol/l", "um", "micromolar"],
-    "ppm": ["ppm", "partspermillion"],
-    "ppb": ["ppb", "partsperbillion"],
-    "mg/m^3": ["mg/m3"],
-    "deg C": ["oc", "c", "degc", "degreescelsius"],
-    "deg F": ["of", "f", "degf", "degreesfahrenheit"],
-    "K": ["k", "kelvin"],
-    "µS/cm": ["us/cm"],
-    "mS/cm": ["ms/cm"],
-    "mS/m": ["ms/m"],
-}
-
 # Cells that say nothing, after lower() and removal of the outer white space and brackets.
 EMPTY_WORDS = [
     "", "-", "--", "–", "—", "?", "*", "x", ".", "..", "...", "na", "n/a", "n.a.", "nan", "none", "null", "nil", "nd", "n.d.",
@@ -96,62 +54,3 @@ def number_struct(c: Column) -> Column:
         F.nullif(F.lower(part(1)), F.lit("")).alias("bound"),
         F.nullif(F.trim(part(4)), F.lit("")).alias("unit"),
     )
-
-
-def is_missing_number(c: Column, num: Column) -> Column:
-    """True where a numeric cell holds nothing usable: no number in it, or one of the negative all-nines stand-ins."""
-    sentinel = F.translate(squeezed(c), "−–", "--").rlike(r"^-9{2,}(?:[.,]0+)?$")
-    return c.isNull() | num.isNull() | F.coalesce(sentinel, F.lit(False)) | ~F.coalesce(c.rlike(r"[0-9]"), F.lit(False))
-
-
-def unit_key(c: Column) -> Column:
-    """One spelling for each way of writing a unit: case, superscripts, dots, blanks, per-forms and long names."""
-    k = F.lower(F.translate(c, "⁻⁺⁰¹²³⁴⁵⁶⁷⁸⁹−µμ×°º", "-+0123456789-uuxoo"))
-    k = F.regexp_replace(k, r"[\s\x{00A0}\x{202F}·⋅.^*_]+", "")
-    for pattern, to in (
-        (r"milligrams?", "mg"), (r"micrograms?|microg(?=/|per|l)", "ug"), (r"millisiemens", "ms"), (r"microsiemens|micros(?=/|per|cm)", "us"),
-        (r"(?:perlitre|perliter|l-1)$", "/l"), (r"(?:percubicmetre|percubicmeter|m-3)$", "/m3"), (r"(?:percm|cm-1)$", "/cm"), (r"(?:permetre|permeter|m-1)$", "/m"), (r"//", "/"),
-        (r"^percent$|^%$", "percent"),
-    ):
-        k = F.regexp_replace(k, pattern, to)
-    return k
-
-
-def _literal_map(names: dict[str, list[str]]) -> Column:
-    flat = [x for canonical, keys in names.items() for k in keys for x in (F.lit(k), F.lit(canonical))]
-    return F.create_map(*flat)
-
-
-def canonical_unit(c: Column) -> Column:
-    """The catalogue's spelling of a unit, null where the text names none."""
-    return F.try_element_at(_literal_map(UNIT_NAMES), unit_key(c))
-
-
-def attribute_key(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[.,]", ""), r"[\s\x{00A0}_-]+", " "))
-
-
-#: groups: name, unit in one of four forms
-_SUFFIX = r"^(.*?)\s*(?:\(([^()]*(?:\([^()]*\))?)\)|\[([^\[\]]*)\]|\s/\s+(.*)|\sin\s+(.*))$"
-
-
-def attribute_struct(c: Column) -> Column:
-    """struct(attribute, unit text): the catalogue attribute a written name means and the unit written behind it.
-
-    Names that only resemble a catalogue attribute (mean depth, sediment pH) give a null attribute.
-    """
-    names = _literal_map(ATTRIBUTE_NAMES)
-    squeezed_name = squeezed(c)
-    whole = F.try_element_at(names, attribute_key(squeezed_name))
-    split = F.split(F.regexp_replace(squeezed_name, _SUFFIX, "\u0001$1\u0001$2$3$4$5"), "\u0001")
-    two = whole.isNull() & (F.size(split) == 3)
-    return F.struct(
-        F.coalesce(whole, F.when(two, F.try_element_at(names, attribute_key(F.get(split, F.lit(1)))))).alias("attribute"),
-        F.when(two, F.nullif(F.trim(F.get(split, F.lit(2))), F.lit(""))).alias("unit"),
-    )
-
-
-def stated_unit_text(c: Column) -> Column:
-    """The unit named in a remark such as 'given in mg/L', 'reported in ft', 'values are µM', 'unit: cm'."""
-    text = F.regexp_extract(squeezed(c), r"(?i)(?:given in|reported in|expressed in|measured in|values (?:are )?in|values are|units?:)\s*([^;]+)", 1)
-    return F.nullif(F.trim(text), F.lit(""))

@@ -11,10 +11,10 @@ from collections import deque
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.functions import values as V
+from tarnflow.functions.spellings import Lexicon, read
 from tarnflow.runtime import bounded_rows
 
 # Conversions between units of one dimension besides those of the catalogue: (attributes, from, to, factor, shift).
@@ -94,64 +94,60 @@ def conversion_table(catalogue: DataFrame, max_rows: int = 100_000, extra=EXTRA_
     return catalogue.sparkSession.createDataFrame(made, "attribute string, unit string, common_unit string, factor double, shift double, hops int")
 
 
-def paper_units(papers: DataFrame) -> DataFrame:
+def lexicon_of(catalogue: DataFrame, max_rows: int = 100_000) -> Lexicon:
+    """The catalogue's attributes and units with their readings; at most max_rows rows."""
+    has = "description" in catalogue.columns
+    rows = bounded_rows(catalogue.select("attribute", *(["description"] if has else []), "unit", "is_common"), max_rows, "the unit catalogue")
+    return Lexicon.of((r.attribute, r.description if has else None, r.unit, r.is_common) for r in rows)
+
+
+def paper_units(papers: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(document_id, attribute, unit): units a paper states for all its values; unreadable JSON gives none, ties keep the least."""
     units = papers.select("document_id", F.explode(F.from_json("units", "map<string,string>")).alias("name", "said"))
-    named = units.select("document_id", V.attribute_struct(F.col("name"))["attribute"].alias("attribute"), V.canonical_unit(F.col("said")).alias("unit"))
+    none = F.lit(None).cast("string")
+    named = units.select("document_id", read(lexicon, F.col("name"), none, F.col("said"), none).alias("r")).select("document_id", F.col("r.attribute_std").alias("attribute"), F.col("r.row_unit").alias("unit"))
     return named.dropna().groupBy("document_id", "attribute").agg(F.min("unit").alias("unit"))
 
 
-def parsed(items: DataFrame, keep: Iterable[str | Column] = ()) -> DataFrame:
-    """Items with attribute_std, num, missing, row_unit and row_unit_source. Works in the projection; no shuffle.
+def latest_deliveries(items: DataFrame, columns: Iterable[str], key: str = "item_id", order: str = "loaded_at") -> DataFrame:
+    """(key, columns): one row per key, the one delivered last; of rows delivered at one time the greatest by columns.
 
-    A row names its unit in the units column, behind the value, behind the attribute, or in the remarks, taken in this order.
+    Rows with a null key are left out: nothing tells which item they are. A key that is repeated without end costs one row per task.
     """
-    staged = items.select(*keep, F.col("units").alias("__units"), F.col("additional_details").alias("__remarks"), F.col("value").alias("__value"), V.number_struct(F.col("value")).alias("__n"), V.attribute_struct(F.col("attribute")).alias("__a"))
-    said = staged.select(
-        "*",
-        *(V.canonical_unit(c).alias(f"__u{i}") for i, c in enumerate((F.col("__units"), F.col("__n.unit"), F.col("__a.unit"), V.stated_unit_text(F.col("__remarks"))))),
-        V.is_missing_number(F.col("__value"), F.col("__n.num")).alias("missing"),
-    )
-    source = F.when(F.col("__u0").isNotNull(), "units").when(F.col("__u1").isNotNull(), "value").when(F.col("__u2").isNotNull(), "attribute").when(F.col("__u3").isNotNull(), "remark")
-    made = {"attribute_std", "num", "missing", "row_unit", "row_unit_source", "bound"}
-    kept = [c for c in said.columns if not c.startswith("__") and c not in made]
-    return said.select(
-        *kept, "missing", F.col("__a.attribute").alias("attribute_std"), F.when(~F.col("missing"), F.col("__n.num")).alias("num"), F.col("__n.bound").alias("bound"),
-        F.coalesce("__u0", "__u1", "__u2", "__u3").alias("row_unit"), source.alias("row_unit_source"),
-    )
+    packed = F.max(F.struct(F.col(order), *columns)).alias("__p")
+    return items.where(F.col(key).isNotNull()).groupBy(key).agg(packed).select(key, *(f"__p.{c}" for c in columns))
+
+
+MADE = ["attribute_std", "about", "num", "missing", "bound", "unit_stated", "unit_source", "common_unit", "value_common"]
 
 
 def to_common_units(items: DataFrame, papers: DataFrame, catalogue: DataFrame, keep: Iterable[str] = ("item_id", "document_id")) -> DataFrame:
     """Every item with value_common in its attribute's common unit, and where the unit was found.
 
-    Adds attribute_std, num, missing, bound, unit_stated, unit_source ('units', 'value', 'attribute', 'remark', 'paper' or 'none'),
-    common_unit, value_common. Items outside the catalogue, without a value, or with a unit that the catalogue lacks for the attribute
-    keep a null value_common; items with no unit stated anywhere are taken to be in the common unit. Rows are never dropped or
-    doubled; an empty input gives an empty result; columns of these names in items are replaced.
+    Adds attribute_std, about, num, missing, bound, unit_stated, unit_source ('units', 'value', 'attribute', 'remark', 'paper', 'none', or
+    'unknown'), common_unit, value_common. What the row states goes before its paper. A row that states a unit which the catalogue lacks for
+    its attribute is 'unknown' and has a null value_common, whatever its paper states; so have items outside the catalogue or
+    without a value. Items with no unit stated anywhere ('none') are taken to be in the common unit. Rows are never dropped or doubled; an
+    empty input gives an empty result; columns of these names in items are replaced.
     """
-    keep = list(dict.fromkeys([*keep, "document_id"]))
-    rows = parsed(items, keep)
-    table = conversion_table(catalogue)
-    # one row per catalogue unit, its size checked in conversion_table
-    known = F.broadcast(table.select(F.col("attribute").alias("__ka"), F.col("unit").alias("__ku"), F.lit(True).alias("__known")))
-    rows = rows.join(known, (F.col("attribute_std") == F.col("__ka")) & (F.col("row_unit") == F.col("__ku")), "left")
-    rows = rows.withColumn("row_unit", F.when(F.col("__known"), F.col("row_unit"))).drop("__ka", "__ku", "__known")
-    said = paper_units(papers).select(F.col("document_id").alias("__pd"), F.col("attribute").alias("__pa"), F.col("unit").alias("__pu"))
+    keep = [c for c in dict.fromkeys([*keep, "document_id"]) if c not in MADE]
+    lexicon = lexicon_of(catalogue)
+    staged = items.select(*keep, read(lexicon, F.col("attribute"), F.col("value"), F.col("units"), F.col("additional_details")).alias("__r"))
+    rows = staged.select(*keep, "__r.*")
+    said = paper_units(papers, lexicon).select(F.col("document_id").alias("__pd"), F.col("attribute").alias("__pa"), F.col("unit").alias("__pu"))
     rows = rows.join(said, (F.col("document_id") == F.col("__pd")) & (F.col("attribute_std") == F.col("__pa")), "left")
-    rows = rows.withColumn("__stated", F.coalesce("row_unit", "__pu"))
-    common = catalogue.where("is_common").groupBy(F.col("attribute").alias("__ca")).agg(F.first("unit").alias("common_unit"))
-    rows = rows.drop("common_unit", "unit_stated", "unit_source", "value_common").join(F.broadcast(common), F.col("attribute_std") == F.col("__ca"), "left")
-    way = F.broadcast(table.select(F.col("attribute").alias("__ta"), F.col("unit").alias("__tu"), F.col("factor").alias("__factor"), F.col("shift").alias("__shift")))
-    used = F.coalesce("__stated", "common_unit")
+    rows = rows.withColumn("unit_source", F.coalesce("row_unit_source", F.when(F.col("__pu").isNotNull(), "paper"), F.lit("none")))
+    rows = rows.withColumn("unit_stated", F.when(F.col("row_unit_source").isNull(), F.col("__pu")).otherwise(F.col("row_unit")))
+    # one row per catalogue unit, its number checked in conversion_table
+    way = F.broadcast(conversion_table(catalogue).select(F.col("attribute").alias("__ta"), F.col("unit").alias("__tu"), F.col("factor").alias("__factor"), F.col("shift").alias("__shift")))
+    used = F.coalesce("unit_stated", F.when(F.col("unit_source") == "none", F.col("common_unit")))
     rows = rows.join(way, (F.col("attribute_std") == F.col("__ta")) & (used == F.col("__tu")), "left")
-    unitless = F.col("__ca").isNotNull() & F.col("common_unit").isNull()
-    return rows.select(
-        *keep, "attribute_std", "num", "missing", "bound", F.col("__stated").alias("unit_stated"),
-        F.when(F.col("row_unit").isNotNull(), F.col("row_unit_source")).when(F.col("__pu").isNotNull(), "paper").otherwise("none").alias("unit_source"), "common_unit",
-        F.when(unitless, F.col("num")).otherwise(F.col("num") * F.col("__factor") + F.col("__shift")).alias("value_common"),
-    )
+    unitless = F.coalesce(F.col("attribute_std").isin(sorted(lexicon.unitless)), F.lit(False)) if lexicon.unitless else F.lit(False)
+    value = F.when(unitless, F.col("num")).otherwise(F.col("num") * F.col("__factor") + F.col("__shift"))
+    return rows.select(*keep, *(value.alias(c) if c == "value_common" else c for c in MADE))
 
 
 def other_units(converted: DataFrame) -> DataFrame:
-    """(item_id, unit): each item with a value whose stated unit isn't the common one, once."""
-    return converted.where(~F.col("missing") & F.col("common_unit").isNotNull() & (F.col("unit_stated") != F.col("common_unit"))).select("item_id", F.col("unit_stated").alias("unit")).distinct()
+    """(item_id, unit): each item whose value was converted from a stated unit that isn't the common one, once."""
+    other = F.col("value_common").isNotNull() & F.col("common_unit").isNotNull() & (F.col("unit_stated") != F.col("common_unit"))
+    return converted.where(other).select("item_id", F.col("unit_stated").alias("unit")).distinct()

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.functions import fuzzy, markup, measures
-from tarnflow.functions.values import attribute_struct, number_struct
+from tarnflow.functions.spellings import read
+from tarnflow.functions.values import number_struct
 from tarnflow.operators import curate, dedupe, evaluate, grouping, matching, probes
+from tarnflow.operators.units import lexicon_of
 from tarnflow.plans import extraction, judging
 from tarnflow.runtime import bounded_rows, cut
 from tarnflow.sources import runs
@@ -641,7 +643,8 @@ def _stub(prompts: list[str]) -> list[str]:
 
 def _known(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Provenance of entities, of catalogue attributes, and events, of all extraction_values; attributes by what their written names mean."""
-    rows = table(spark, d, "extraction_values").withColumns({"attribute": attribute_struct(F.col("attribute"))["attribute"], "table_number": F.when(F.col("source") == "table", F.col("table_number").cast("int"))})
+    none, lexicon = F.lit(None).cast("string"), lexicon_of(table(spark, d, "attribute_catalogue"))
+    rows = table(spark, d, "extraction_values").withColumns({"attribute": read(lexicon, F.col("attribute"), none, none, none)["attribute_std"], "table_number": F.when(F.col("source") == "table", F.col("table_number").cast("int"))})
     attributes = rows.where("attribute is not null")
     return (
         rows.select("document_id", "entity_id", "page_number", "table_number").distinct(),

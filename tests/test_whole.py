@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.functions import measures
-from tarnflow.functions.values import attribute_struct
+from tarnflow.functions.spellings import read
 from tarnflow.operators import grouping, matching
+from tarnflow.operators.units import lexicon_of
 from tarnflow.plans import extraction
 from tarnflow.queries import reference
 from tarnflow.sources.tables import table
@@ -18,7 +19,7 @@ from tarnflow.sources.tables import table
 
 def test_pipeline_takes_every_catalogue_attribute(spark, small):
     _, attributes, _ = reference._known(spark, small)
-    rows = table(spark, small, "extraction_values").withColumn("a", attribute_struct(F.col("attribute"))["attribute"]).where("a is not null")
+    rows = table(spark, small, "extraction_values").withColumn("a", read(lexicon_of(table(spark, small, "attribute_catalogue")), F.col("attribute"), *[F.lit(None).cast("string")] * 3)["attribute_std"]).where("a is not null")
     assert rows.where("attribute <> a").count() > 0
     assert attributes.count() == rows.select("document_id", "a", "page_number", F.when(F.col("source") == "table", F.col("table_number"))).distinct().count()
 
