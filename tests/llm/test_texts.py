@@ -33,7 +33,7 @@ def test_leaks_whole_partial_changed_and_not(spark):
     docs = [(1, text[2]), (2, "Other words. " * 50 + half), (3, third), (4, changed), (5, names), (6, spread), (7, None), (8, ""), (9, "filler " * 100_000 + text[8] + " filler" * 1000), (1, text[2])]
     got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "'clash' as item_id"), spark.createDataFrame(items, "item_id bigint, text string"))
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 2), (1, 2), (2, 3), (4, 5), (6, 7), (9, 8)]
-    blocks = leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), settings=leaks.Settings(block_chars=900))
+    blocks = leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), settings=leaks.Settings(broadcast_chars=0))
     assert sorted((r.doc_id, r.item_id) for r in blocks.collect()) == [(1, 2), (1, 2), (2, 3), (4, 5), (6, 7), (9, 8)]
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), none).count() == 0
