@@ -114,12 +114,16 @@ def test_scans_are_repaired(spark):
 
 
 def test_names_and_places_are_parsed():
-    assert linkage.parse_name("Old Vrefoslim Pd")[:3] == ("vrefoslim", "pond", "old")
-    assert linkage.parse_name("Láke  Brèplibom")[:2] == ("breplibom", "lake")
-    assert linkage.parse_name("Drarhywes Mill Pond (DR17)") == ("drarhywes", "pond", "mill", "", "dr17")
-    assert linkage.parse_name("KO37") == (None, "", "", "", "ko37")
-    assert linkage.parse_name("Little Lelusnim Lake 2")[3] == "2" and linkage.parse_name(None)[0] is None
+    generic = {w: w for w in ("old", "lake", "pond", "pd", "mill", "little", "ponds")}
+    assert linkage.split_name("Old Vrefoslim Pd", generic) == ("vrefoslim", ["old", "pd"])
+    assert linkage.split_name("Láke  Brèplibom", generic) == ("breplibom", ["lake"])
+    assert linkage.split_name("Drarhywes Mill Pnod (DR17)", generic) == ("drarhywes", ["mill", "pond"]) and linkage.name_code("Drarhywes Mill Pond (DR17)") == "dr17"
+    assert linkage.only_code("KO37") and linkage.only_code(' "ko 37", ') and not linkage.only_code("Lake 37") and not linkage.only_code(None)
+    assert linkage.split_name("Little Lelusnim Lake 2", generic) == ("lelusnim", ["#2", "lake", "little"]) and linkage.split_name(None, generic) == (None, [])
+    assert linkage.split_name("Old Mill Pond", generic) == ("oldmillpond", [])
+    assert linkage.near("pnod", "pond") and linkage.near("upper", "upper") and linkage.near("uppe", "upper") and not linkage.near("lakes", "lake") and not linkage.near("fen", "bog")
     assert linkage.parse_places("near Kesmoor; northern Town / X district") == ["kesmoor", "town", "x"]
+    assert "kesmoor" in linkage.title_places("Water survey of Kesmoor, part 1") and linkage.title_places(None) == []
     for a, b in (("tarn", "trn"), ("tarn", "taarn"), ("tarn", "tran"), ("tarn", "tern")):
         assert set(linkage.spelling_keys(a + "abc")) & set(linkage.spelling_keys(b + "abc"))
 
