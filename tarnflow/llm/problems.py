@@ -81,7 +81,7 @@ def p10_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_units(spark, d).select("doc_id", "end_pos")
+    return sentences.split_sentences(table(spark, d, "documents").select("doc_id", "text"), with_text=False).select("doc_id", "end_pos")
 
 
 QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_links": p7_links, "p8_bins": p8_bins, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_units": p10_units}

@@ -1,25 +1,33 @@
 """Sentence boundaries across languages and scripts by a hidden-event n-gram language model.
 
-A text is laid out into blocks: markup and tables belong to none, headings and list entries are units. Inside a block, boundaries may
-stand only at sites: behind closing punctuation outside of matched quotation marks and brackets, or, in scripts that mark no sentence
-ends, at white space. The model has a hidden event, boundary or none, at every site between the words around it; words with too few
-occurrences are represented by their shape. It is trained on the corpus itself: ends and starts of blocks are observed
-boundaries, the events at all other sites are hidden and re-estimated by expectation-maximisation over counts of all documents.
-Posteriors of the events are then found by the forward-backward algorithm over the sites of each block.
+A text is laid out into blocks: markup and tables belong to none, headings and list entries are units. Inside a block the hidden event,
+boundary or none, may stand at sites: behind closing punctuation outside of matched quotation marks and brackets; in scripts that part
+sentences by blanks, at white space; and in a block without any mark, between all of its words. The model is an n-gram model over
+words and events: an event depends on the two words before it, or on one word and the event before that; a word depends on the
+event before it, or if there is none on the word before. Longer histories are smoothed by shorter ones and by the shape of the word.
+
+Counts are kept in tables of a fixed number of buckets, by hash of the n-gram, so the model has one size whatever the corpus. It is
+trained on the corpus itself: ends and starts of blocks are observed boundaries, the events at all other sites are hidden and
+re-estimated by expectation-maximisation, each round one aggregation over all sites. Texts are laid out once, for training and for
+splitting. Posteriors of the events are found by the forward-backward algorithm over the sites of each block.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.runtime import cut
+
 TABLE = r"<table\b.*?</table\s*>"
 SEAM = re.compile(rf"(?:\s*(?:{TABLE}|</?[A-Za-z][^<>\n]*>)\s*)+|[^\S\n]*\n(?:[^\S\n]*\n)+\s*", re.S)
 BULLET = re.compile(r"\s*(?:[-*•‣◦–—·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\([ivx]+\))[^\S\n]+\S")
@@ -178,12 +186,14 @@ def _right(text: str, at: int, end: int) -> tuple[str, str]:
 @dataclass
 class Site:
     end: int
+    before: str  # the word before the left one, '' where there is none
     left: tuple[str, str]
     right: tuple[str, str]
     first: int  # 2: only one word since the block's start, 1: only one word since the site before, else 0
 
 
 def sites(text: str, a: int, b: int) -> list[Site]:
+    """The sites of a block that has marks, or blanks in a script that parts sentences by them."""
     unmarked = _is_unmarked(text, a, b)
     greek = _GREEK.search(text, a, b) is not None
     held, closes = _inside(text, a, b)
@@ -212,16 +222,20 @@ def sites(text: str, a: int, b: int) -> list[Site]:
         word = LEFT_WORD.search(text, before, start).group() if start - before < 200 else LEFT_WORD.search(text, start - 200, start).group()
         script = "Thai" if unmarked else ("Hani" if any(c in FULL_STOPS for c in mark) or script_of(after) == "Hani" else "Latn")
         alone = not re.search(r"\S\s+\S", text[before:start].strip() + "x") if start - before < 40 else False
-        around = text[end : min(b, end + 60)]
-        if around.islower() or around.isupper():  # set in one case: read as if written in the usual one
+        if _one_case(text, max(a, end - 60), min(b, end + 60)) or end + 150 <= b and _one_case(text, end, end + 150):  # read as if written in the usual one
             left, right = _left(word.capitalize() + mark, script), _right(_capital(text[end : min(b, end + 60)]), 0, min(b - end, 60))
         else:
             left, right = _left(word + mark, script), _right(text, end, b)
-        found.append(Site(end, left, right, (2 if before == a else 1) if alone else 0))
+        found.append(Site(end, "" if alone else _word_before(text, before, start - len(word)), left, right, (2 if before == a else 1) if alone else 0))
         before = end
     return found
 
 
+def _one_case(text: str, a: int, b: int) -> bool:
+    part = text[a:b]
+    return part.islower() or part.isupper()
+
+
 def _capital(text: str) -> str:
     """Lower case but for the first letter; as long as text."""
     low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
@@ -258,231 +272,418 @@ def _words(text: str, a: int, b: int, known: dict[str, tuple[str, str]]) -> Iter
                     yield (g, "<Hani>")
 
 
-def contexts(text: str, known: dict[str, tuple[str, str]]) -> Iterator[tuple[str, str, str, str, int]]:
-    """(left form, left shape, right form, right shape, kind) of sites; kind 0 to 2 as Site.first, 3 a block's start, 4 a block's end.
+def _word_before(text: str, a: int, at: int) -> str:
+    """The word that ends before at, in lower case; '' if none begins behind a."""
+    near = text[max(a, at - 60) : at].rstrip()
+    found = LEFT_WORD.search(near).group() if near else ""
+    return found[-20:].lower()
 
-    Kind 5 has every word that begins behind white space, sites included; known keeps forms and shapes already worked out.
-    """
-    for a, b, kind in blocks(text):
-        if kind != "text":
-            continue
-        for s in sites(text, a, b):
-            yield (*s.left, *s.right, s.first)
-        yield ("", "", *_right(text, a, b), 3)
-        word = LEFT_WORD.search(text, max(a, b - 200), b).group()
-        tail = text[max(a, b - 4) : b]
-        script = "Thai" if _is_unmarked(text, a, b) else "Hani" if any(c in FULL_STOPS for c in tail) or _HAN.search(tail) else "Latn"
-        trailing = re.search(r"[^\S\n][»›]$", text[a:b])
-        if trailing:
-            word = LEFT_WORD.search(text, a, b - 2).group() + text[b - 1]
-        yield (*_left(word, script), "", "", 4)
-        for pair in _words(text, a, b, known):
-            yield ("", "", *pair, 5)
 
+_TOKEN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\s\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
+
+
+def _tokens(text: str, a: int, b: int) -> list[tuple[int, int, str]]:
+    """(start, end, what begins there) of the words of a block: without marks and in lower case; of scripts without blanks every character
+    is a word, and what begins there are two characters."""
+    out = []
+    for m in _TOKEN.finditer(text, a, b):
+        if _HAN.match(m.group()):
+            two = text[m.start() : min(b, m.start() + 2)]
+            out.append((m.start(), m.end(), two if _HAN.match(two[-1]) else two[0]))
+        elif word := _bare(m.group()):
+            out.append((m.start(), m.end(), word))
+    return out
 
-@dataclass
-class Model:
-    """Counts turned into probabilities; every table is keyed by word forms or, for words that are too rare, by shapes."""
 
-    lefts: set[str] = field(default_factory=set)
-    rights: set[str] = field(default_factory=set)
-    boundary: dict[str, float] = field(default_factory=dict)  # P(event | left)
-    opening: dict[str, float] = field(default_factory=dict)  # P(event | left, which opens its sentence)
-    after: dict[str, float] = field(default_factory=dict)  # P(right | event)
-    base: dict[str, float] = field(default_factory=dict)  # P(right | no event)
-    floor: float = 1e-6
-    usual: float = 0.5
+def _first_word(text: str, at: int, b: int) -> str:
+    found = next(iter(_tokens(text, at, min(b, at + 60))), None)
+    return found[2] if found else ""
 
-    def left(self, pair: tuple[str, str]) -> str:
-        return pair[0] if pair[0] in self.lefts else pair[1]
 
-    def right(self, pair: tuple[str, str]) -> str:
-        return pair[0] if pair[0] in self.rights else pair[1]
+def _open_sites(text: str, a: int, b: int) -> list[tuple[int, int, str, str]]:
+    """(end, begin of the next word, word before, word behind) of the places between all words of a block without marks."""
+    tokens = _tokens(text, a, b)
+    return [(e0, s1, _last_word(text, a, e0), right) for (_, e0, _), (s1, _, right) in zip(tokens, tokens[1:])]
 
-    def weights(self, right: str) -> tuple[float, float]:
-        """(P(right | no event), P(right | event))"""
-        return self.base.get(right, self.floor), self.after.get(right, self.floor)
 
-    def posteriors(self, found: list[Site]) -> list[float]:
+_STRIPPED = "".join(sorted(set(TERMINATORS + OPENERS + CLOSERS + "\"',"))) + "¿¡—–-"
+_MARKED = "".join(sorted(set(TERMINATORS + CLOSERS + "\"',"))) + " \n\t\u00a0\u202f"
+
+
+def _bare(word: str) -> str:
+    return word.strip(_STRIPPED).lower()
+
+
+#: buckets of the tables: words and shapes, n-grams of two
+ONE, TWO, SHAPES = 1 << 19, 1 << 21, 1 << 14
+WIDTH = 12  # numbers kept of a site
+END, NEXT, LEFT, LEFT_SHAPE, PAIR, RIGHT, RIGHT_SHAPE, BIGRAM, BIGRAM_SHAPE, WORD, FOLDED, FIRST = range(WIDTH)
+#: the tables and their sizes; a site adds to all, by its columns
+SIZES = {LEFT: ONE, LEFT_SHAPE: SHAPES, PAIR: TWO, RIGHT: ONE, RIGHT_SHAPE: SHAPES, BIGRAM: TWO, BIGRAM_SHAPE: TWO, WORD: ONE, FOLDED: ONE}
+TEXT, HEADING, ENTRY, OPEN = range(4)
+SITE_COUNT, START, STOP, SEEN, EVENT = range(5)
+
+
+def _hash(*parts: str) -> int:
+    """A hash of 32 bits, as a signed number: its rest by the size of a table is the bucket, the quotient tells n-grams of a bucket apart."""
+    h = zlib.crc32("\u0001".join(parts).encode("utf-8", "surrogatepass"))
+    return h - (1 << 32) if h >= 1 << 31 else h
+
+
+def layout(text: str, tally: dict[tuple[int, int, int], int]) -> np.ndarray:
+    """Blocks and sites of a text as numbers: for each block its start, end, kind and number of sites, and WIDTH numbers for each site.
+
+    tally takes what is counted beside the sites: (column, hash, START, STOP or SEEN).
+    """
+    out: list[int] = []
+    known: dict[str, tuple[str, str]] = {}
+    for a, b, kind in blocks(text):
+        if kind != "text":
+            out += (a, b, HEADING if kind == "heading" else ENTRY, 0)
+            continue
+        if not SITE.search(text, a, b) and not _is_unmarked(text, a, b):
+            places = _open_sites(text, a, b)
+            out += (a, b, OPEN, len(places))
+            for end, begin, left, right in places:
+                out += (end, begin, 0, 0, 0, 0, 0, 0, 0, _hash(left), _hash(right), 0)
+            continue
+        found = sites(text, a, b)
+        out += (a, b, TEXT, len(found))
+        for s in found:
+            begin = s.end + len(text[s.end : b]) - len(text[s.end : b].lstrip())
+            left, right = s.left[0], s.right[0]
+            word = _last_word(text, a, s.end)
+            out += (
+                s.end, begin, _hash(left), _hash(s.left[1]), _hash("<s>" if s.first == 2 else s.before, left), _hash(right), _hash(s.right[1]),
+                _hash(left, right), _hash(left, s.right[1]), _hash(word), _hash(_first_word(text, begin, b)), s.first,
+            )
+        form, shape = _right(text, a, b)
+        for key in ((RIGHT, _hash(form)), (RIGHT_SHAPE, _hash(shape)), (FOLDED, _hash(_first_word(text, a, b)))):
+            tally[(*key, START)] += 1
+        form, shape = _block_end(text, a, b)
+        for key in ((LEFT, _hash(form)), (LEFT_SHAPE, _hash(shape)), (WORD, _hash(_last_word(text, a, b)))):
+            tally[(*key, STOP)] += 1
+        for _, _, word in _tokens(text, a, b):
+            tally[FOLDED, _cached(word), SEEN] += 1
+        for form, shape in _words(text, a, b, known):
+            tally[RIGHT, _cached(form), SEEN] += 1
+            tally[RIGHT_SHAPE, _cached(shape), SEEN] += 1
+    return np.array(out, np.int32)
+
+
+_hashes: dict[str, int] = {}
+
+
+def _cached(form: str) -> int:
+    got = _hashes.get(form)
+    if got is None:
+        if len(_hashes) > 500_000:
+            _hashes.clear()
+        got = _hashes[form] = _hash(form)
+    return got
+
+
+def _last_word(text: str, a: int, end: int) -> str:
+    """The word before end without its marks, in lower case; of scripts without blanks the last two characters."""
+    near = text[max(a, end - 60) : end].rstrip(_MARKED)
+    if near and _HAN.match(near[-1]):
+        return near[-2:] if len(near) > 1 and _HAN.match(near[-2]) else near[-1]
+    tail = re.split(r"[\s\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]", near)[-1]
+    return _bare(tail)
+
+
+def _block_end(text: str, a: int, b: int) -> tuple[str, str]:
+    """(form, shape) of the word at the end of a block, as of the one before a site."""
+    tail = text[max(a, b - 4) : b]
+    script = "Thai" if _is_unmarked(text, a, b) else "Hani" if any(c in FULL_STOPS for c in tail) or _HAN.search(tail) else "Latn"
+    if re.search(r"[^\S\n][»›]$", text[max(a, b - 2) : b]):
+        return _left(LEFT_WORD.search(text, max(a, b - 200), b - 2).group() + text[b - 1], script)
+    return _left(LEFT_WORD.search(text, max(a, b - 200), b).group(), script)
+
+
+def read_layout(numbers: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(start, end, kind, sites) of each block of a layout."""
+    at = 0
+    while at < len(numbers):
+        a, b, kind, n = numbers[at : at + 4].tolist()
+        yield a, b, kind, numbers[at + 4 : at + 4 + n * WIDTH].reshape(n, WIDTH)
+        at += 4 + n * WIDTH
+
+
+def _bucket(c: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, what tells its n-grams apart, from 1) of hashes."""
+    h = hashes.astype(np.int64) & 0xFFFFFFFF
+    return h % SIZES[c], (h // SIZES[c] + 1).astype(np.int32)
+
+
+class Counts:
+    """Dense tables of counts: at sites, at starts and ends of blocks, of all words, and the events expected at sites.
+
+    A bucket belongs to its most frequent n-gram, and only that is counted; the others of the bucket count as unknown and are judged by
+    shorter histories and by their shape.
+    """
+
+    def __init__(self):
+        wide = {START: (RIGHT, RIGHT_SHAPE, FOLDED), SEEN: (RIGHT, RIGHT_SHAPE, FOLDED), STOP: (LEFT, LEFT_SHAPE, WORD), SITE_COUNT: tuple(SIZES), EVENT: tuple(SIZES)}
+        self.tables = {(c, kind): np.zeros(SIZES[c], np.float32) for kind, cs in wide.items() for c in cs}
+        self.owner = {c: np.zeros(n, np.int32) for c, n in SIZES.items()}
+        self.shape_of = np.zeros(ONE, np.int32)  # of each left word's bucket, the bucket of its shape
+
+    def put(self, rows: pd.DataFrame) -> None:
+        """rows: c, h of the bucket's n-gram, shape and a column for each kind of count."""
+        for c, g in rows.groupby("c"):
+            at, mark = _bucket(c, g["h"].to_numpy())
+            self.owner[c][at] = mark
+            for kind in (SITE_COUNT, START, STOP, SEEN):
+                if (c, kind) in self.tables:
+                    self.tables[c, kind][at] = g[f"n{kind}"].to_numpy()
+            if c == LEFT:
+                self.shape_of[at] = _bucket(LEFT_SHAPE, g["shape"].fillna(0).to_numpy())[0]
+
+    def put_events(self, rows: pd.DataFrame) -> None:
+        for c in SIZES:
+            self.tables[c, EVENT][:] = 0
+        for c, g in rows.groupby("c"):
+            self.tables[c, EVENT][g["slot"].to_numpy()] = g["n"].to_numpy()
+
+
+class Model:
+    """Probabilities of events and words from counts; arrays by slot."""
+
+    def __init__(self, counts: Counts, anchor: float = 3.0, known: float = 2.0, pair: float = 20.0):
+        t, self.owner = counts.tables, counts.owner
+        small = np.float32(1e-6)
+
+        n, e, got = t[LEFT, SITE_COUNT], t[LEFT, STOP], t[LEFT, EVENT]
+        self.has_events = bool(got.any())
+        ends = float(e.sum())
+        share = ends / ((ends + float(n[e > 0.1 * n].sum())) or 1.0)  # of the boundaries, those that end a block
+
+        def chance(n: np.ndarray, e: np.ndarray, got: np.ndarray, prior) -> np.ndarray:
+            """P(event | word) from sites, block ends and expected events, held near what the ends of blocks show."""
+            hidden = np.minimum(e * (1 - share) / max(share, 1e-3), n)
+            k = known * known / (known + n)  # what is expected of the shape fades with the word's own sites
+            first = (hidden + k * prior) / (n + k)
+            now = (got + k * prior) / (n + k) if self.has_events else first
+            odds, held = now / np.maximum(1 - now, small), first / np.maximum(1 - first, small)
+            odds = np.clip(odds, held / anchor, held * anchor)
+            return (odds / (1 + odds)).astype(np.float32)
+
+        # a word that is rare is judged by the rare words of its shape, and by all of the shape, each counted once
+        often = np.flatnonzero((n + e >= 5) & (n > 0))
+        of = lambda at, w=None: np.bincount(counts.shape_of[at], weights=None if w is None else w[at], minlength=SHAPES)
+        n_rare, e_rare, got_rare = (np.maximum(t[LEFT_SHAPE, kind] - of(often, x), 0) for kind, x in ((SITE_COUNT, n), (STOP, e), (EVENT, got)))
+        by_rare = chance(n_rare, e_rare, got_rare, 0.3)
+        kinds = of(often)
+        means = of(often, chance(n, e, got, 0.3)) / np.maximum(kinds, 1)
+        weight = 50.0 * (kinds > 0)
+        self.by_shape = ((n_rare * by_rare + weight * means + 0.15) / (n_rare + weight + 0.5)).astype(np.float32)
+        self.left = chance(n, e, got, self.by_shape[counts.shape_of])
+        self.left_n = n
+        self.pair_n, self.pair_s, self.pair = t[PAIR, SITE_COUNT], t[PAIR, EVENT], pair
+
+        def ratio(c: int, prior) -> tuple[np.ndarray, float]:
+            """P(word | event) / P(word | none) by the odds of beginning a sentence."""
+            started, found = t[c, START], t[c, EVENT]
+            event = started + np.minimum(found, (anchor - 1) * started)
+            none = np.maximum(t[c, SEEN] - found, 0)
+            rho = (event + known * prior) / (event + none + known)
+            base = float(none.sum() / max(event.sum(), 1.0))
+            return (rho / np.maximum(1 - rho, small) * base).astype(np.float32), float(event.sum() / max(event.sum() + none.sum(), 1.0))
+
+        start = t[RIGHT, START].sum() / max(t[RIGHT, SEEN].sum() + t[RIGHT, START].sum(), 1.0)
+        self.right_shape, _ = ratio(RIGHT_SHAPE, start)
+        self.event_r = t[RIGHT, START] + np.minimum(t[RIGHT, EVENT], (anchor - 1) * t[RIGHT, START])
+        self.none_r = np.maximum(t[RIGHT, SEEN] - t[RIGHT, EVENT], 0)
+        self.base = float(self.none_r.sum() / max(self.event_r.sum(), 1.0))
+        self.known = known
+        self.none_all = max(float(self.none_r.sum()), 1.0)
+        self.none_shape = np.maximum(t[RIGHT_SHAPE, SEEN] - t[RIGHT_SHAPE, EVENT], 0)
+        self.none_b = np.maximum(t[BIGRAM, SITE_COUNT] - t[BIGRAM, EVENT], 0)
+        self.none_bs = np.maximum(t[BIGRAM_SHAPE, SITE_COUNT] - t[BIGRAM_SHAPE, EVENT], 0)
+        self.none_l = np.maximum(n - t[LEFT, EVENT], 0)
+        # blocks without marks: the words that end and begin sentences once marks are left out
+        words = t[FOLDED, SEEN] + t[FOLDED, START]
+        ended = t[WORD, EVENT] + t[WORD, STOP]
+        self.rate = rate = float(ended.sum() / max(words.sum(), 1.0)) or 1e-3
+        self.ending = ((ended + known * rate) / (np.maximum(words, ended) + known)).astype(np.float32)
+        began = t[FOLDED, START] + t[FOLDED, EVENT]
+        rho = (began + known * rate) / (np.maximum(words, began) + known)
+        self.beginning = (rho / np.maximum(1 - rho, small) * (1 - rate) / rate).astype(np.float32)
+        self.single = 0.02  # of the sentences, those of one word
+
+    def at(self, x: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, 1.0 where it belongs to the n-gram) in column c of sites x."""
+        slot, mark = _bucket(c, x[:, c])
+        return slot, (self.owner[c][slot] == mark).astype(np.float32)
+
+    def steps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(P(event) after no event, P(event) after an event, P(right | event) / P(right | none, left)) of the sites x of marked blocks."""
+        (left, own_l), (shape, _), (pair, own_p), (right, own_r), (right_shape, _) = (self.at(x, c) for c in (LEFT, LEFT_SHAPE, PAIR, RIGHT, RIGHT_SHAPE))
+        n = self.left_n[left] * own_l
+        k = self.known * self.known / (self.known + n)
+        one = (n * self.left[left] + k * self.by_shape[shape]) / (n + k)
+        two = (self.pair_s[pair] * own_p + self.pair * one) / (self.pair_n[pair] * own_p + self.pair) if self.has_events else one
+        odds, alone = two / np.maximum(1 - two, 1e-6), one / np.maximum(1 - one, 1e-6)
+        odds = np.clip(odds, alone / 10, alone * 10)  # the longer history moves the shorter one, within a factor
+        two = odds / (1 + odds)
+        # a word's own place is one of its places
+        e, none = self.event_r[right] * own_r, np.maximum(self.none_r[right] * own_r - 1, 0)
+        shaped = self.right_shape[right_shape] / self.base
+        prior = shaped / (1 + shaped)
+        rho = (e + self.known * prior) / (e + none + self.known)
+        weight = rho / np.maximum(1 - rho, 1e-6) * self.base
+        # P(right | none, left) / P(right | none): the pair itself and the pair with the shape of the right word
+        (bigram, own_b), (shaped_pair, own_s) = self.at(x, BIGRAM), self.at(x, BIGRAM_SHAPE)
+        calm = self.none_l[left] * own_l
+        p = (none + 0.5) / self.none_all
+        ps = np.maximum((self.none_shape[right_shape] + 0.5) / self.none_all, p)
+        shape_given = (self.none_bs[shaped_pair] * own_s + 20 * ps) / (calm + 20)
+        word_given = 0.3 * self.none_b[bigram] * own_b / np.maximum(calm, 1) + 0.7 * shape_given * p / ps
+        trust = calm / (calm + 20) if self.has_events else 0.0
+        weight = weight / np.clip(1 - trust + trust * word_given / p, 0.5, 4.0)
+        opened = np.where(x[:, FIRST] == 2, two, np.minimum(two, one))
+        return two, opened, weight
+
+    def open_steps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same between the words of a block without marks."""
+        (word, own_w), (folded, own_f) = self.at(x, WORD), self.at(x, FOLDED)
+        p = np.where(own_w > 0, self.ending[word], self.rate)
+        return p, p * self.single, np.where(own_f > 0, self.beginning[folded], 1.0)
+
+    def posteriors(self, x: np.ndarray, kind: int) -> list[float]:
         """P(boundary at each site | block), by forward-backward; the state is the event at the site."""
-        if not found:
+        if not len(x):
             return []
-        steps, weigh = [], []
-        for s in found:
-            left, right = self.left(s.left), self.right(s.right)
-            usual = self.boundary.get(left, self.usual)
-            opened = self.opening.get(left, usual)
-            # P(event) after no event and after an event at the site before
-            steps.append((opened if s.first == 2 else usual, opened if s.first else usual))
-            weigh.append(self.weights(right))
+        zero, one, weight = (v.tolist() for v in (self.open_steps(x) if kind == OPEN else self.steps(x)))
+        first = x[:, FIRST].tolist()
+        # the event before reaches into the history of two only where a single word lies between
+        steps = list(zip(zero, one if kind == OPEN else [o if f else z for z, o, f in zip(zero, one, first)]))
         forward, now = [], None
-        for (p0, p1), (w0, w1) in zip(steps, weigh):
+        for (p0, p1), w in zip(steps, weight):
             n0, n1 = (1 - p0, p0) if now is None else (now[0] * (1 - p0) + now[1] * (1 - p1), now[0] * p0 + now[1] * p1)
-            n0, n1 = n0 * w0, n1 * w1
+            n1 *= w
             total = n0 + n1 or 1.0
             now = (n0 / total, n1 / total)
             forward.append(now)
-        back, out = (1.0, 1.0), [0.0] * len(found)
-        for i in range(len(found) - 1, -1, -1):
+        back, out = (1.0, 1.0), [0.0] * len(steps)
+        for i in range(len(steps) - 1, -1, -1):
             a, b = forward[i][0] * back[0], forward[i][1] * back[1]
             out[i] = b / (a + b) if a + b else 0.0
-            (p0, p1), (w0, w1) = steps[i], weigh[i]
-            back = ((1 - p0) * w0 * back[0] + p0 * w1 * back[1], (1 - p1) * w0 * back[0] + p1 * w1 * back[1])
+            (p0, p1), w = steps[i], weight[i]
+            back = ((1 - p0) * back[0] + p0 * w * back[1], (1 - p1) * back[0] + p1 * w * back[1])
             total = back[0] + back[1] or 1.0
             back = (back[0] / total, back[1] / total)
         return out
 
 
-def estimate(rows: list[tuple[str, str, int, int]], rounds: int = 6, anchor: float = 3.0) -> Model:
-    """A model from (left, right, kind, count) rows of contexts(); rows of kind 3 and 4 are observed boundaries.
-
-    Words inside sentences show what follows where no event is; the starts of blocks show what follows an event. Both are counted over
-    the same languages, so that their ratio is comparable for words of all of them. The events at sites are hidden; each round takes
-    their expected counts under the last model. Without labels these could drift to any split of the data that makes it likely, so they stay
-    anchored: the odds of an event behind a word within a factor of what the ends of blocks show, and what follows an event
-    within a factor of what the starts of blocks show.
-    """
-    inner: dict[tuple[str, str], float] = defaultdict(float)
-    opened: dict[tuple[str, str], float] = defaultdict(float)
-    start: dict[str, float] = defaultdict(float)
-    stop: dict[str, float] = defaultdict(float)
-    words: dict[str, float] = defaultdict(float)
-    for left, right, kind, n in rows:
-        if kind == 3:
-            start[right] += n
-        elif kind == 4:
-            stop[left] += n
-        elif kind == 5:
-            words[right] += n
-        else:
-            inner[left, right] += n
-            if kind == 2:
-                opened[left, right] += n
-    total: dict[str, float] = defaultdict(float)
-    at_sites: dict[str, float] = defaultdict(float)
-    for (left, right), n in inner.items():
-        total[left] += n
-        at_sites[right] += n
-    # of the boundaries behind marks that often end blocks, this share ends a block
-    ends = sum(stop.values())
-    share = ends / (ends + sum(n for left, n in total.items() if stop.get(left, 0) > 0.1 * n) or 1)
-    odds = {}
-    for left, n in total.items():
-        e = stop.get(left, 0.0)
-        hidden = min(e * (1 - share) / max(share, 1e-3), n)
-        odds[left] = (hidden + 0.02) / (n - hidden + 0.5)
-    chance = {left: o / (1 + o) for left, o in odds.items()}
-    seen = set(start) | set(at_sites) | set(words)
-    calm = {r: max(words.get(r, 0.0) - at_sites.get(r, 0.0), 0.0) for r in seen}
-    observed = {r: start.get(r, 0.0) for r in seen}
-    event = observed
-    held = {(left, right): n * (1 - chance[left]) for (left, right), n in inner.items()}
-    little = 0.05
-    after: dict[str, float] = {}
-    base: dict[str, float] = {}
-    gained: dict[tuple[str, str], float] = {}
-    for _ in range(rounds):
-        none = dict(calm)
-        for (_, right), n in held.items():
-            none[right] += n
-        norm_event, norm_none = sum(event.values()) + little * len(seen) or 1.0, sum(none.values()) + little * len(seen) or 1.0
-        after = {r: (event[r] + little) / norm_event for r in seen}
-        base = {r: (none[r] + little) / norm_none for r in seen}
-        gain: dict[str, float] = defaultdict(float)
-        found: dict[str, float] = defaultdict(float)
-        for (left, right), n in inner.items():
-            a, b = chance[left] * after[right], (1 - chance[left]) * base[right]
-            g = a / (a + b) if a + b else 0.0
-            gained[left, right] = g
-            gain[left] += g * n
-            found[right] += g * n
-            held[left, right] = (1 - g) * n
-        event = {r: n + min(found[r], (anchor - 1) * n) for r, n in observed.items()}
-        for left, n in total.items():
-            o = (gain[left] + 0.02) / (n - gain[left] + 0.5)
-            o = min(max(o, odds[left] / anchor), odds[left] * anchor)
-            chance[left] = o / (1 + o)
-    # a word never seen at a site is judged by the words of its shape, each counted once, not by the few that were too rare to keep
-    types: dict[str, list[float]] = defaultdict(list)
-    for left, p in chance.items():
-        core = left.rstrip("".join(set(TERMINATORS + CLOSERS + "\"'")))
-        if core and core[0].isalpha() and script_of(core[0]) not in UNMARKED:
-            for case in (core, core.capitalize()):
-                types[_shape(case) + left[len(core) :]].append(p)
-    for shape, ps in types.items():
-        n = total.get(shape, 0.0)
-        chance[shape] = (n * chance.get(shape, 0.0) + 50 * sum(ps) / len(ps)) / (n + 50)
-    first: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for (left, right), n in opened.items():
-        first[left][0] += gained[left, right] * n
-        first[left][1] += n
-    opening = {left: ((first[left][0] if left in first else 0.0) + 4 * p) / ((first[left][1] if left in first else 0.0) + 4) for left, p in chance.items()}
-    floor = 0.5 / (sum(words.values()) + sum(start.values()) + 1)
-    return Model(set(total) | set(stop), seen, chance, opening, after, base, floor)
-
-
-def train(documents: DataFrame, text: str = "text", least: int = 5, most_contexts: int = 1_000_000) -> Model:
-    """A model from all documents. Word forms with fewer than least occurrences at sites are counted by their shapes.
-
-    The model is a table of counts by (left, right); should it have more than most_contexts rows, least is doubled until it fits.
-    """
+def lay_out(documents: DataFrame, doc_id: str, text: str, keep_text: bool) -> DataFrame:
+    """One row per document with its layout, and rows of counts; materialised, as training and splitting read it."""
+    kind = documents.schema[doc_id].dataType.simpleString()
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            tally: dict[tuple, int] = defaultdict(int)
-            known: dict[str, tuple[str, str]] = {}
-            for t in frame["__text"]:
-                for c in contexts(t, known):
-                    tally[c] += 1
-            yield pd.DataFrame([(*k, n) for k, n in tally.items()], columns=["lf", "ls", "rf", "rs", "kind", "n"])
-
-    usable = documents.where(F.length(text) > 0).select(F.col(text).alias("__text"))
-    counted = usable.mapInPandas(scan, "lf string, ls string, rf string, rs string, kind int, n bigint").groupBy("lf", "ls", "rf", "rs", "kind").agg(F.sum("n").alias("n")).persist()
-    try:
-        while True:
-            lefts = counted.groupBy("lf").agg(F.sum("n").alias("nl")).where(F.col("nl") >= least).select("lf", F.lit(True).alias("kl"))
-            rights = counted.groupBy("rf").agg(F.sum("n").alias("nr")).where(F.col("nr") >= least).select("rf", F.lit(True).alias("kr"))
-            known = counted.join(lefts, "lf", "left").join(rights, "rf", "left")
-            table = known.groupBy(F.when(F.col("kl"), F.col("lf")).otherwise(F.col("ls")).alias("l"), F.when(F.col("kr"), F.col("rf")).otherwise(F.col("rs")).alias("r"), "kind").agg(F.sum("n").alias("n"))
-            rows = table.limit(most_contexts + 1).collect()
-            if len(rows) <= most_contexts:
-                break
-            least *= 2
-    finally:
-        counted.unpersist()
-    return estimate(sorted((r.l, r.r, r.kind, r.n) for r in rows))
-
+        tally: dict[tuple[int, int, int], int] = defaultdict(int)
+        for f in frames:
+            made = [layout(t, tally).tobytes() for t in f["__text"]]
+            yield pd.DataFrame({"doc": f["__doc"], "text": f["__text"] if keep_text else None, "layout": made, "c": -1, "h": -1, "kind": -1, "n": 0})
+            if len(tally) > 1_000_000:
+                yield _counted(tally)
+                tally.clear()
+        if tally:
+            yield _counted(tally)
 
-def units(text: str, model: Model, threshold: float = 0.5) -> list[tuple[int, int]]:
-    """(start, end) of each unit, in order; every character of a block that isn't white space lies in exactly one."""
+    usable = documents.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
+    return cut(usable.mapInPandas(scan, f"doc {kind}, text string, layout binary, c int, h int, kind int, n bigint"))
+
+
+def _counted(tally: dict[tuple[int, int, int], int]) -> pd.DataFrame:
+    c, h, kind = (np.array([k[i] for k in tally], np.int32) for i in range(3))
+    return pd.DataFrame({"doc": None, "text": None, "layout": None, "c": c, "h": h, "kind": kind, "n": np.fromiter(tally.values(), np.int64, len(tally))})
+
+
+def train(laid: DataFrame, rounds: int = 5) -> Model:
+    """A model from laid-out documents. What reaches the driver are sums by bucket, whose number doesn't depend on the documents."""
+    spark = laid.sparkSession
+    texts, counted = laid.where("layout is not null").select("layout"), laid.where("layout is null")
+
+    def marked(frame: pd.DataFrame) -> np.ndarray:
+        parts = [x for raw in frame["layout"] for _, _, kind, x in read_layout(np.frombuffer(raw, np.int32)) if kind == TEXT and len(x)]
+        return np.concatenate(parts) if parts else np.empty((0, WIDTH), np.int32)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x = marked(f)
+            for c in SIZES if len(x) else ():
+                h, first, n = np.unique(x[:, c], return_index=True, return_counts=True)
+                yield pd.DataFrame({"c": c, "h": h, "kind": SITE_COUNT, "n": n, "shape": x[first, LEFT_SHAPE] if c == LEFT else 0})
+
+    kinds = (SITE_COUNT, START, STOP, SEEN)
+    sums = texts.mapInPandas(count, "c int, h int, kind int, n bigint, shape int").unionByName(counted.select("c", "h", "kind", "n", F.lit(None).cast("int").alias("shape")))
+    each = sums.groupBy("c", "h").agg(F.max("shape").alias("shape"), F.sum("n").alias("total"), *(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in kinds))
+    size = F.element_at(F.create_map(*(F.lit(x) for pair in SIZES.items() for x in pair)), F.col("c"))
+    slot = F.pmod(F.col("h").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), size)
+    owners = each.groupBy("c", slot.alias("slot")).agg(F.max(F.struct("total", "h", "shape", *(f"n{k}" for k in kinds))).alias("o")).select("c", "o.*")
+    counts = Counts()
+    counts.put(owners.toPandas())  # at most as many rows as the tables have buckets
+    for _ in range(rounds):
+        known = spark.sparkContext.broadcast(Model(counts))
+
+        def expect(frames: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
+            model = known.value
+            for f in frames:
+                x = marked(f)
+                if not len(x):
+                    continue
+                p, _, w = model.steps(x)
+                g = p * w / (p * w + 1 - p)
+                for c in SIZES:
+                    at, own = model.at(x, c)
+                    slots, back = np.unique(at, return_inverse=True)
+                    yield pd.DataFrame({"c": c, "slot": slots, "n": np.bincount(back, weights=g * own)})
+
+        counts.put_events(texts.mapInPandas(expect, "c int, slot int, n double").groupBy("c", "slot").agg(F.sum("n").alias("n")).toPandas())
+        known.destroy()
+    return Model(counts)
+
+
+def units_of(numbers: np.ndarray, model: Model, threshold: float = 0.5) -> list[tuple[int, int]]:
+    """(start, end) of each unit of a laid-out text, in order; every character of a block that isn't white space lies in exactly one."""
     out = []
-    for a, b, kind in blocks(text):
+    for a, b, kind, x in read_layout(numbers):
         at = a
-        if kind == "text":
-            found = sites(text, a, b)
-            for s, p in zip(found, model.posteriors(found)):
+        if kind in (TEXT, OPEN):
+            for end, begin, p in zip(x[:, END].tolist(), x[:, NEXT].tolist(), model.posteriors(x, kind)):
                 if p > threshold:
-                    out.append((at, s.end))
-                    at = s.end + len(text[s.end : b]) - len(text[s.end : b].lstrip())
+                    out.append((at, end))
+                    at = begin
         if at < b:
             out.append((at, b))
     return out
 
 
-def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
+def units(text: str, model: Model, threshold: float = 0.5) -> list[tuple[int, int]]:
+    """units_of a text."""
+    return units_of(layout(text, defaultdict(int)), model, threshold)
+
+
+def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, with_text: bool = True) -> DataFrame:
     """(doc_id, unit_no, start_pos, end_pos, sentence): one row per unit, positions in code points, end_pos behind the last character.
 
-    Null, empty and blank texts have no units; a text without any mark is one unit per block. Each document row is split by itself, so
-    repeated rows give repeated units. Whole texts are read, however long. An empty table trains an empty model and gives no rows.
-    Other columns play no part. Without a model, one is trained on the documents.
+    Null, empty and blank texts have no units; a text without any mark is split where the model finds boundaries between its words.
+    Each document row is split by itself, so repeated rows give repeated units. Whole texts are read, however long. An empty table trains
+    an empty model and gives no rows. Other columns play no part. Without a model, one is trained on the documents. with_text=False leaves
+    the column sentence out.
     """
-    model = model or train(documents, text)
-    known = documents.sparkSession.sparkContext.broadcast(model)
+    laid = lay_out(documents, doc_id, text, with_text)
+    known = documents.sparkSession.sparkContext.broadcast(model or train(laid))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(d, i, a, b, t[a:b]) for d, t in zip(frame["__doc"], frame["__text"]) for i, (a, b) in enumerate(units(t, known.value))]
-            yield pd.DataFrame(rows, columns=[doc_id, "unit_no", "start_pos", "end_pos", "sentence"])
-
-    usable = documents.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
-    return usable.mapInPandas(scan, f"{doc_id} {documents.schema[doc_id].dataType.simpleString()}, unit_no int, start_pos bigint, end_pos bigint, sentence string")
+        for f in frames:
+            for d, t, raw in zip(f["doc"], f["text"], f["layout"]):
+                found = units_of(np.frombuffer(raw, np.int32), known.value)
+                rows = pd.DataFrame({doc_id: [d] * len(found), "unit_no": range(len(found)), "start_pos": [a for a, _ in found], "end_pos": [b for _, b in found]})
+                yield rows.assign(sentence=[t[a:b] for a, b in found]) if with_text else rows
+
+    kind = documents.schema[doc_id].dataType.simpleString()
+    columns = f"{doc_id} {kind}, unit_no int, start_pos bigint, end_pos bigint" + (", sentence string" if with_text else "")
+    return laid.where("layout is not null").select("doc", "text", "layout").mapInPandas(scan, columns)

@@ -1,5 +1,7 @@
 import random
 
+import pandas as pd
+
 from tarnflow.llm import leaks, linkage, scans, sentences
 
 NAMES = ["Stobrex", "Vandrith", "Kelmoor", "Drasnick", "Pologwen", "Hythrand", "Zemlukar", "Wystrell"]
@@ -47,7 +49,13 @@ def test_blocks_leave_out_markup_and_part_lists():
 
 def test_sentences_of_many_scripts(spark, small):
     docs = spark.read.parquet(small.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text")
-    model = sentences.train(docs)
+    model = sentences.train(sentences.lay_out(docs, "doc_id", "text", False))
+    # without marks, in one case, and in a script without blanks
+    plain = ["plankton was highest before ice cover formed", "total conductivity peaked despite repeated dredging", "we sampled the eastern shore of the pond in may", "no relation between oxygen and nitrogen was found"]
+    text = " ".join(plain)
+    assert [text[a:b] for a, b in sentences.units(text, model)] == plain
+    plain = ["浮游植物在枯水期间上升了七倍而沉积物保持不变", "水生植物在清淤以后覆盖了约八成的水面", "记录中写道水很清"]
+    assert len(sentences.units("".join(plain * 2), model)) > 2  # longer than a heading
     cases = [
         ["According to Brevik et al. (1999), it rose.", "Mean depth was 4.5 m, i.e. less than all.", "“Why is it so?” asked Mrs. Tarn when plankton peaked."],
         ["Am 1. Mai 1983 wurden im Beflovemweiher 20 Proben entnommen, z. B. am Zulauf.", "Warum blieb das Wasser von Dyklidwem bei Niedrigwasser so klar?"],
@@ -62,6 +70,18 @@ def test_sentences_of_many_scripts(spark, small):
         assert [text[a:b] for a, b in sentences.units(text, model)] == want
 
 
+def test_buckets_belong_to_their_most_frequent_word(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, " ".join(passage(rng) for _ in range(3))) for i in range(60)], "doc_id int, text string")
+    whole = sorted((r.doc_id, r.end_pos) for r in sentences.split_sentences(df).collect())
+    assert len(whole) == 540
+    parts = df.where("doc_id < 30").unionByName(df.where("doc_id >= 30").repartition(7))
+    assert sorted((r.doc_id, r.end_pos) for r in sentences.split_sentences(parts, with_text=False).collect()) == whole
+    counts = sentences.Counts()
+    counts.put(pd.DataFrame({"c": [sentences.LEFT] * 2, "h": [5, 7], "shape": [3, 4], **{f"n{k}": [2.0, 3.0] for k in range(4)}}))
+    assert counts.tables[sentences.LEFT, sentences.SITE_COUNT][5] == 2 and counts.owner[sentences.LEFT][5] == 1 and counts.owner[sentences.LEFT][6] == 0
+
+
 def test_units_cover_the_text_and_empty_tables(spark):
     rng = random.Random(3)
     texts = [" ".join(passage(rng) for _ in range(rng.randint(1, 4))) for _ in range(30)]
@@ -114,7 +134,7 @@ def test_scans_are_repaired(spark):
 
 
 def test_names_and_places_are_parsed():
-    generic = {w: w for w in ("old", "lake", "pond", "pd", "mill", "little", "ponds")}
+    generic = linkage.Generic(["old", "lake", "pond", "pd", "mill", "little", "ponds"])
     assert linkage.split_name("Old Vrefoslim Pd", generic) == ("vrefoslim", ["old", "pd"])
     assert linkage.split_name("Láke  Brèplibom", generic) == ("breplibom", ["lake"])
     assert linkage.split_name("Drarhywes Mill Pnod (DR17)", generic) == ("drarhywes", ["mill", "pond"]) and linkage.name_code("Drarhywes Mill Pond (DR17)") == "dr17"
