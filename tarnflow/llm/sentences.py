@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,28 +127,44 @@ _UNMARKED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
 _GREEK = re.compile("[\u0370-\u03ff\u1f00-\u1fff]")
 _HAN = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _BLANKS = re.compile(r"\s+")
-LEFT_WORD = re.compile(r"[^\s" + re.escape(OPENERS + "\"") + r"]*$")
+_OPENERS = OPENERS + '"'
 RIGHT_WORD = re.compile(r"\s*([" + re.escape(OPENERS) + r"\"¿¡—–-]*)\s*([^\W_]+(?:[.'’-][^\W_]+)*\.?|\S)")
 
 
+def _ending(text: str, a: int, b: int) -> str:
+    """What stands between the last blank or opening mark of text[a:b] and its end."""
+    part = text[a:b]
+    if not part or part[-1].isspace():
+        return ""
+    word = part.split()[-1] if len(part) < 40 else part[-40:].split()[-1]
+    if len(word) >= 40:  # the blank lies further back
+        word = part.split()[-1]
+    at = max(word.rfind(c) for c in _OPENERS)
+    return word[at + 1 :]
+
+
 def _shape(word: str) -> str:
     if word.isdigit():
         return f"<{min(len(word), 5)}d>"
     if word[:1].isdigit():
         return "<num>"
-    letters = [c for c in word if c.isalpha()]
-    if not letters:
+    first = next((c for c in word if c.isalpha()), None)
+    if first is None:
         return "<mark>"
-    s = script_of(letters[0])
-    if len(letters) == 1 and letters[0].isupper():
+    s = script_of(first)
+    if first.isupper() and (len(word) == 1 or sum(c.isalpha() for c in word) == 1):
         return f"<{s} initial>"
-    return f"<{s} {'Upper' if letters[0].isupper() else 'lower'}>"
+    return f"<{s} {'Upper' if first.isupper() else 'lower'}>"
+
+
+_ENDS = "".join(sorted(set(TERMINATORS + CLOSERS + "\"'"))) + " "
+_PIECE = re.compile(r"[^\W_]*(?:[.'’-][^\W_]+)*$")
 
 
 def _left(word: str, script: str) -> tuple[str, str]:
     """(form, shape) of the word that ends before a site."""
-    core = word.rstrip("".join(set(TERMINATORS + CLOSERS + "\"'")) + " ")
-    tail = re.sub(r"\s+", "", word[len(core) :])
+    core = word.rstrip(_ENDS)
+    tail = "".join(word[len(core) :].split())
     if script in ("Hani", *UNMARKED):
         letter = core[-1:]
         if script == "Hani" or not letter:
@@ -157,7 +173,7 @@ def _left(word: str, script: str) -> tuple[str, str]:
             return core[-6:] + tail, f"<{script}>{tail}"
         piece = re.search(r"[^\W_]*(?:\.\d+)?$", core).group() or core[-1:]
         return _shape(piece) + tail, _shape(piece) + tail
-    piece = re.search(r"[^\W_]*(?:[.'’-][^\W_]+)*$", core).group()
+    piece = core if core.isalpha() else _PIECE.search(core).group()
     if not piece:
         return f"<mark>{tail}", f"<mark>{tail}"
     shape = _shape(piece) + tail
@@ -219,7 +235,7 @@ def sites(text: str, a: int, b: int) -> list[Site]:
                 continue
         if mark and set(mark) <= {";"} and not greek:
             continue
-        word = LEFT_WORD.search(text, before, start).group() if start - before < 200 else LEFT_WORD.search(text, start - 200, start).group()
+        word = _ending(text, max(before, start - 200), start)
         script = "Thai" if unmarked else ("Hani" if any(c in FULL_STOPS for c in mark) or script_of(after) == "Hani" else "Latn")
         alone = not re.search(r"\S\s+\S", text[before:start].strip() + "x") if start - before < 40 else False
         if _one_case(text, max(a, end - 60), min(b, end + 60)) or end + 150 <= b and _one_case(text, end, end + 150):  # read as if written in the usual one
@@ -250,33 +266,27 @@ def _is_unmarked(text: str, a: int, b: int) -> bool:
     return sum(1 for _ in _UNMARKED.finditer(text, a, b)) > 0.3 * (b - a)
 
 
-def _words(text: str, a: int, b: int, known: dict[str, tuple[str, str]]) -> Iterator[tuple[str, str]]:
-    """What begins behind each white space of a block, and at every place between two characters of unspaced scripts."""
-    for m in _BLANKS.finditer(text, a, b):
-        at = m.end()
-        key = text[at : min(at + 24, b)].split(None, 1)[0]
-        if len(key) > 16 or key[0] in OPENERS:
-            yield _right(text, at, b)
-            continue
-        pair = known.get(key)
-        if pair is None:
-            pair = known[key] = _right(key, 0, len(key))
-        yield pair
-    if _HAN.search(text, a, b):
-        for m in re.finditer(r"[^\W\d_](?=([^\W\d_a-zA-Z]{1,2}|[a-zA-Z]+))", text[a:b]):
-            if _HAN.match(m.group()):
-                g = m.group(1)
-                if g[0].isascii():
-                    yield (_shape(g), _shape(g))
-                elif _HAN.match(g):
-                    yield (g, "<Hani>")
+_SPACED_OPENER = re.compile(r"([" + re.escape(OPENERS) + r"\"¿¡—–-]+)\s+")
+_HAN_PLACE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff](?=([^\W\d_a-zA-Z]{1,2}|[a-zA-Z]+))")
+
+
+def _words_of(token: str) -> list[tuple[str, str]]:
+    """(form, shape) of what begins with a word between blanks, and of what begins inside it in scripts without blanks."""
+    out = [_right(token, 0, len(token))]
+    if _HAN.search(token):
+        for m in _HAN_PLACE.finditer(token):
+            g = m.group(1)
+            if g[0].isascii():
+                out.append((_shape(g), _shape(g)))
+            elif _HAN.match(g):
+                out.append((g, "<Hani>"))
+    return out
 
 
 def _word_before(text: str, a: int, at: int) -> str:
     """The word that ends before at, in lower case; '' if none begins behind a."""
     near = text[max(a, at - 60) : at].rstrip()
-    found = LEFT_WORD.search(near).group() if near else ""
-    return found[-20:].lower()
+    return _ending(near, 0, len(near))[-20:].lower()
 
 
 _TOKEN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\s\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
@@ -296,8 +306,13 @@ def _tokens(text: str, a: int, b: int) -> list[tuple[int, int, str]]:
 
 
 def _first_word(text: str, at: int, b: int) -> str:
-    found = next(iter(_tokens(text, at, min(b, at + 60))), None)
-    return found[2] if found else ""
+    for m in _TOKEN.finditer(text, at, min(b, at + 60)):
+        if _HAN.match(m.group()):
+            two = text[m.start() : min(b, m.start() + 2)]
+            return two if _HAN.match(two[-1]) else two[0]
+        if word := _bare(m.group()):
+            return word
+    return ""
 
 
 def _open_sites(text: str, a: int, b: int) -> list[tuple[int, int, str, str]]:
@@ -315,7 +330,7 @@ def _bare(word: str) -> str:
 
 
 #: buckets of the tables: words and shapes, n-grams of two
-ONE, TWO, SHAPES = 1 << 19, 1 << 21, 1 << 14
+ONE, TWO, SHAPES = 1 << 18, 1 << 19, 1 << 14
 WIDTH = 12  # numbers kept of a site
 END, NEXT, LEFT, LEFT_SHAPE, PAIR, RIGHT, RIGHT_SHAPE, BIGRAM, BIGRAM_SHAPE, WORD, FOLDED, FIRST = range(WIDTH)
 #: the tables and their sizes; a site adds to all, by its columns
@@ -330,13 +345,12 @@ def _hash(*parts: str) -> int:
     return h - (1 << 32) if h >= 1 << 31 else h
 
 
-def layout(text: str, tally: dict[tuple[int, int, int], int]) -> np.ndarray:
+def layout(text: str, tally: dict[tuple[int, int, int], int], words: Counter) -> np.ndarray:
     """Blocks and sites of a text as numbers: for each block its start, end, kind and number of sites, and WIDTH numbers for each site.
 
-    tally takes what is counted beside the sites: (column, hash, START, STOP or SEEN).
+    tally takes what is counted beside the sites: (column, hash, START or STOP); words takes all words between blanks as they are written.
     """
     out: list[int] = []
-    known: dict[str, tuple[str, str]] = {}
     for a, b, kind in blocks(text):
         if kind != "text":
             out += (a, b, HEADING if kind == "heading" else ENTRY, 0)
@@ -363,14 +377,24 @@ def layout(text: str, tally: dict[tuple[int, int, int], int]) -> np.ndarray:
         form, shape = _block_end(text, a, b)
         for key in ((LEFT, _hash(form)), (LEFT_SHAPE, _hash(shape)), (WORD, _hash(_last_word(text, a, b)))):
             tally[(*key, STOP)] += 1
-        for _, _, word in _tokens(text, a, b):
+        tokens = _SPACED_OPENER.sub(r"\1", text[a:b]).split()
+        words.update(tokens[1:])
+        for _, _, word in _tokens(tokens[0], 0, len(tokens[0])):
             tally[FOLDED, _cached(word), SEEN] += 1
-        for form, shape in _words(text, a, b, known):
-            tally[RIGHT, _cached(form), SEEN] += 1
-            tally[RIGHT_SHAPE, _cached(shape), SEEN] += 1
     return np.array(out, np.int32)
 
 
+def count_words(words: Counter, tally: dict[tuple[int, int, int], int]) -> None:
+    """Adds words, each form looked at once, to tally, and empties them."""
+    for token, n in words.items():
+        for form, shape in _words_of(token):
+            tally[RIGHT, _cached(form), SEEN] += n
+            tally[RIGHT_SHAPE, _cached(shape), SEEN] += n
+        for _, _, word in _tokens(token, 0, len(token)):
+            tally[FOLDED, _cached(word), SEEN] += n
+    words.clear()
+
+
 _hashes: dict[str, int] = {}
 
 
@@ -397,8 +421,8 @@ def _block_end(text: str, a: int, b: int) -> tuple[str, str]:
     tail = text[max(a, b - 4) : b]
     script = "Thai" if _is_unmarked(text, a, b) else "Hani" if any(c in FULL_STOPS for c in tail) or _HAN.search(tail) else "Latn"
     if re.search(r"[^\S\n][»›]$", text[max(a, b - 2) : b]):
-        return _left(LEFT_WORD.search(text, max(a, b - 200), b - 2).group() + text[b - 1], script)
-    return _left(LEFT_WORD.search(text, max(a, b - 200), b).group(), script)
+        return _left(_ending(text, max(a, b - 200), b - 2) + text[b - 1], script)
+    return _left(_ending(text, max(a, b - 200), b), script)
 
 
 def read_layout(numbers: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -583,12 +607,18 @@ def lay_out(documents: DataFrame, doc_id: str, text: str, keep_text: bool) -> Da
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally: dict[tuple[int, int, int], int] = defaultdict(int)
+        words: Counter = Counter()
         for f in frames:
-            made = [layout(t, tally).tobytes() for t in f["__text"]]
+            made = []
+            for t in f["__text"]:
+                made.append(layout(t, tally, words).tobytes())
+                if len(words) > 200_000:
+                    count_words(words, tally)
             yield pd.DataFrame({"doc": f["__doc"], "text": f["__text"] if keep_text else None, "layout": made, "c": -1, "h": -1, "kind": -1, "n": 0})
             if len(tally) > 1_000_000:
                 yield _counted(tally)
                 tally.clear()
+        count_words(words, tally)
         if tally:
             yield _counted(tally)
 
@@ -601,8 +631,11 @@ def _counted(tally: dict[tuple[int, int, int], int]) -> pd.DataFrame:
     return pd.DataFrame({"doc": None, "text": None, "layout": None, "c": c, "h": h, "kind": kind, "n": np.fromiter(tally.values(), np.int64, len(tally))})
 
 
-def train(laid: DataFrame, rounds: int = 5) -> Model:
-    """A model from laid-out documents. What reaches the driver are sums by bucket, whose number doesn't depend on the documents."""
+def train(laid: DataFrame, rounds: int = 5, least: int = 2) -> Model:
+    """A model from laid-out documents. What reaches the driver are sums by bucket, whose number doesn't depend on the documents.
+
+    n-grams that occur less than least times in all documents are left to shorter histories and shapes.
+    """
     spark = laid.sparkSession
     texts, counted = laid.where("layout is not null").select("layout"), laid.where("layout is null")
 
@@ -619,7 +652,8 @@ def train(laid: DataFrame, rounds: int = 5) -> Model:
 
     kinds = (SITE_COUNT, START, STOP, SEEN)
     sums = texts.mapInPandas(count, "c int, h int, kind int, n bigint, shape int").unionByName(counted.select("c", "h", "kind", "n", F.lit(None).cast("int").alias("shape")))
-    each = sums.groupBy("c", "h").agg(F.max("shape").alias("shape"), F.sum("n").alias("total"), *(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in kinds))
+    rare = F.col("total") < F.when(F.col("c").isin(LEFT_SHAPE, RIGHT_SHAPE), 0).otherwise(least)
+    each = sums.groupBy("c", "h").agg(F.max("shape").alias("shape"), F.sum("n").alias("total"), *(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in kinds)).where(~rare)
     size = F.element_at(F.create_map(*(F.lit(x) for pair in SIZES.items() for x in pair)), F.col("c"))
     slot = F.pmod(F.col("h").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), size)
     owners = each.groupBy("c", slot.alias("slot")).agg(F.max(F.struct("total", "h", "shape", *(f"n{k}" for k in kinds))).alias("o")).select("c", "o.*")
@@ -663,7 +697,7 @@ def units_of(numbers: np.ndarray, model: Model, threshold: float = 0.5) -> list[
 
 def units(text: str, model: Model, threshold: float = 0.5) -> list[tuple[int, int]]:
     """units_of a text."""
-    return units_of(layout(text, defaultdict(int)), model, threshold)
+    return units_of(layout(text, defaultdict(int), Counter()), model, threshold)
 
 
 def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, with_text: bool = True) -> DataFrame:
