@@ -614,7 +614,7 @@ def lay_out(documents: DataFrame, doc_id: str, text: str, keep_text: bool) -> Da
                 made.append(layout(t, tally, words).tobytes())
                 if len(words) > 200_000:
                     count_words(words, tally)
-            yield pd.DataFrame({"doc": f["__doc"], "text": f["__text"] if keep_text else None, "layout": made, "c": -1, "h": -1, "kind": -1, "n": 0})
+            yield pd.DataFrame({"doc": f["__doc"], "text": f["__text"].astype(object) if keep_text else None, "layout": pd.Series(made, dtype=object), "c": -1, "h": -1, "kind": -1, "n": 0})
             if len(tally) > 1_000_000:
                 yield _counted(tally)
                 tally.clear()
@@ -716,7 +716,7 @@ def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
             for d, t, raw in zip(f["doc"], f["text"], f["layout"]):
                 found = units_of(np.frombuffer(raw, np.int32), known.value)
                 rows = pd.DataFrame({doc_id: [d] * len(found), "unit_no": range(len(found)), "start_pos": [a for a, _ in found], "end_pos": [b for _, b in found]})
-                yield rows.assign(sentence=[t[a:b] for a, b in found]) if with_text else rows
+                yield rows.assign(sentence=pd.Series([t[a:b] for a, b in found], dtype=object)) if with_text else rows
 
     kind = documents.schema[doc_id].dataType.simpleString()
     columns = f"{doc_id} {kind}, unit_no int, start_pos bigint, end_pos bigint" + (", sentence string" if with_text else "")
