@@ -3,11 +3,12 @@
 Items are cut where they alone exceed the capacity. Whole bins of the pieces that fill one are set aside; the rest is packed, size classes
 descending, by best fit: a segment tree over remaining capacities finds the tightest open bin that still holds an item, in logarithmic
 time. Tasks pack shares of the items that a hash deals out evenly, so that no source or size class meets in one task; the bins a task
-leaves under-filled give their items to a last round, over far fewer items. Memory per task is bounded by its share.
+leaves under-filled give their items to the next round, over far fewer items. A task holds one share at a time.
 """
 
 from __future__ import annotations
 
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -80,30 +81,27 @@ PACKED = "id {kind}, piece int, size bigint, bin string, kept boolean"
 
 
 def _pack_shares(pieces: DataFrame, kind: str, capacity: int, shares: int, tag: str, full: float | None) -> DataFrame:
-    """Best-fit decreasing within each of shares; bins filled under full are not kept."""
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [f for f in frames if len(f)]
-        if not got:
-            return
-        f = pd.concat(got, ignore_index=True)
-        for share, g in f.groupby("share", sort=True):
-            g = g.sort_values(["size", "order", "piece"], ascending=[False, True, True])
-            where, left = best_fit_decreasing(g["size"].tolist(), capacity)
-            kept = [full is None or capacity - left[b] >= full * capacity for b in where]
-            yield pd.DataFrame({"id": g["id"].array, "piece": g["piece"].array, "size": g["size"].array, "bin": [f"{tag}-{share}-{b}" for b in where], "kept": kept})
+    """Best-fit decreasing within each of shares; bins filled under full are not kept. A task holds one share at a time."""
+
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        share = int(g["share"].iloc[0])
+        g = g.sort_values(["size", "order", "piece"], ascending=[False, True, True])
+        where, left = best_fit_decreasing(g["size"].tolist(), capacity)
+        kept = [full is None or capacity - left[b] >= full * capacity for b in where]
+        return pd.DataFrame({"id": g["id"].array, "piece": g["piece"].array, "size": g["size"].array, "bin": [f"{tag}-{share}-{b}" for b in where], "kept": kept})
 
     # the share is a hash of the piece, so shares are even and a retried task packs the same items in the same order
     placed = pieces.withColumn("order", F.xxhash64("id", "piece")).withColumn("share", F.pmod("order", F.lit(shares)))
-    return placed.repartition(shares, "share").mapInPandas(pack, PACKED.format(kind=kind))
+    return placed.groupBy("share").applyInPandas(pack, PACKED.format(kind=kind))
 
 
-def pack(items: DataFrame, item_id: str, size: str, capacity: int, share_rows: int = 200_000, full: float = 0.99) -> DataFrame:
+def pack(items: DataFrame, item_id: str, size: str, capacity: int, share_rows: int = 20_000, full: float = 0.99) -> DataFrame:
     """(item_id, piece, size, bin): every item in a bin of at most capacity; only items over the capacity are split.
 
     An item over the capacity gives pieces of the whole capacity and a rest. Null ids are left out; null and negative sizes count as 0, and an item of
     size 0 takes a place in a bin without using it. Repeated ids are items of their own. An empty table gives no bins. share_rows is the number
-    of pieces a task packs at a time; it bounds memory, and all pieces are packed at any value.
+    of pieces a task packs at a time, at every size of the table; the bins a share leaves under-filled are opened again and packed in
+    the next round, with as many shares as their pieces need, until one share holds them or a round frees little.
     """
     if capacity <= 0:
         raise ValueError("capacity must be positive")
@@ -143,6 +141,7 @@ def token_sizes(documents: DataFrame, doc_id: str, text: str, tokenizer: str) ->
     kind = documents.schema[doc_id].dataType.simpleString()
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(tokenizer)

@@ -658,7 +658,7 @@ def train(laid: DataFrame, rounds: int = 5, least: int = 2) -> Model:
     slot = F.pmod(F.col("h").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), size)
     owners = each.groupBy("c", slot.alias("slot")).agg(F.max(F.struct("total", "h", "shape", *(f"n{k}" for k in kinds))).alias("o")).select("c", "o.*")
     counts = Counts()
-    counts.put(owners.toPandas())  # at most as many rows as the tables have buckets
+    counts.put(owners.toArrow().to_pandas())  # at most as many rows as the tables have buckets
     for _ in range(rounds):
         known = spark.sparkContext.broadcast(Model(counts))
 
@@ -675,7 +675,7 @@ def train(laid: DataFrame, rounds: int = 5, least: int = 2) -> Model:
                     slots, back = np.unique(at, return_inverse=True)
                     yield pd.DataFrame({"c": c, "slot": slots, "n": np.bincount(back, weights=g * own)})
 
-        counts.put_events(texts.mapInPandas(expect, "c int, slot int, n double").groupBy("c", "slot").agg(F.sum("n").alias("n")).toPandas())
+        counts.put_events(texts.mapInPandas(expect, "c int, slot int, n double").groupBy("c", "slot").agg(F.sum("n").alias("n")).toArrow().to_pandas())
         known.destroy()
     return Model(counts)
 

@@ -118,6 +118,18 @@ def test_open_bins_find_the_tightest():
             plain.append((left, n))
 
 
+def test_documents_fill_their_containers(spark, small):
+    from tarnflow.llm import problems
+    from tarnflow.sources.tables import table
+
+    got = problems.p8_bins(spark, small.replace("sf0.001", "sf0.01")).collect()
+    load = {}
+    for r in got:
+        load[r.bin] = load.get(r.bin, 0) + r.size
+    assert max(load.values()) <= problems.CAPACITY and sum(load.values()) / len(load) / problems.CAPACITY > 0.99
+    assert {r.doc_id for r in got} == {r.doc_id for r in table(spark, small.replace("sf0.001", "sf0.01"), "documents").select("doc_id").collect()}
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(9)
     rows = [(i, rng.choice([0, 1, 5, 30, 60, 61, 99, 100, 101, 250, None, -3])) for i in range(700)] + [(None, 5), (3, 40), (3, 40)]
