@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 SUPERSCRIPTS = ("⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789-+")
 #: inside brackets: white space, the no-break and narrow blanks between thousands included, which \s leaves out
 BLANKS = r"\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-POWER = rf"[×x][{BLANKS}]*10(?:\^\{{?([+-]?\d+)\}}?|([+-]?\d+))"
-TOKEN = r"([-−]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?)"
+#: a power of ten behind its sign of multiplication, the exponent bare, raised, or in braces
+POWER = rf"[×x][{BLANKS}]*10\^?\{{?([-+]?[0-9]+)\}}?"
+#: a number within a text: a sign, digits, one part behind a point or comma, an exponent
+IN_TEXT = r"[-−]?[0-9]+(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?"
 FLOAT = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
 def with_exponents(c: Column) -> Column:
     """Powers of ten as e-notation, superscripts and the minus sign as plain characters."""
-    return F.translate(F.regexp_replace(F.translate(c, *SUPERSCRIPTS), POWER, "e$1$2"), "−", "-")
+    return F.translate(F.regexp_replace(F.translate(c, *SUPERSCRIPTS), POWER, "e$1"), "−", "-")
 
 
 def parse_numeric(c: Column) -> Column:
@@ -27,7 +29,7 @@ def parse_numeric(c: Column) -> Column:
 
 
 def numbers_in(text: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(with_exponents(text), F.lit(TOKEN), F.lit(1)), parse_numeric), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.regexp_extract_all(with_exponents(text), F.lit(IN_TEXT), F.lit(0)), parse_numeric), lambda x: x.isNotNull())
 
 
 def numeric_score(value: Column, numbers: Column, rtol: float = 1e-4) -> Column:
@@ -40,31 +42,49 @@ def numeric_score(value: Column, numbers: Column, rtol: float = 1e-4) -> Column:
 
 def table_numbers(detail: Column) -> Column:
     """Numbers of the tables a location names; null if it names none."""
-    runs = F.regexp_extract_all(F.lower(detail), F.lit(r"\btables?\s+([\d\s;,]+)"), F.lit(1))
-    numbers = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(r"(\d+)"), F.lit(1))))
+    lists = F.regexp_extract_all(F.lower(detail), F.lit(r"\btables?\s((?:[\s;,]*[0-9]+)+)"), F.lit(1))
+    numbers = F.filter(F.split(F.array_join(lists, ";"), "[^0-9]+"), lambda n: n != "")
     return F.when(F.size(numbers) > 0, F.transform(numbers, lambda n: n.try_cast("int")))
 
 
+# Units written in small letters, and the powers that are raised.
+SMALL_UNITS = {"l": "L", "ml": "mL", "y": "yr"}
+RAISED = ("123", "¹²³")
+
+
+def _parts(c: Column) -> Column:
+    """array of struct(unit, power, element) of the words of a unit: 'm-2' has a power, 'nmol-n' an element, others only a unit."""
+
+    def part(word: Column) -> Column:
+        unit, behind = F.substring_index(word, "-", 1), F.when(word.contains("-"), F.substring(word, F.instr(word, "-") + 1, F.length(word)))
+        power = F.when(behind.rlike("^[0-9]"), behind)
+        return F.struct(unit.alias("unit"), power.alias("power"), F.when(power.isNull(), behind).alias("element"))
+
+    return F.transform(F.filter(F.split(c, r"\s+"), lambda w: w != ""), part)
+
+
 def normalized_units(c: Column) -> Column:
-    """'nmol-n g-1 h-1' as 'nmol N g⁻¹ h⁻¹': one rule for amount-element tokens, one for denominator-exponent tokens."""
+    """'nmol-n g-1 h-1' as 'nmol N g⁻¹ h⁻¹': powers of 1 to 3 raised, elements as words of their own, micro as µ."""
+    small = F.create_map(*(F.lit(x) for pair in SMALL_UNITS.items() for x in pair))
+
+    def written(p: Column) -> Column:
+        raised = F.when(p["power"].isin(*RAISED[0]), F.concat(F.lit("⁻"), F.translate(p["power"], *RAISED))).otherwise(F.concat(F.lit("-"), p["power"]))
+        below = F.concat(F.coalesce(F.try_element_at(small, F.lower(p["unit"])), p["unit"]), raised)
+        amount = F.concat_ws(" ", F.regexp_replace(p["unit"], "^[uU](?=.)", "µ"), F.upper(p["element"]))
+        return F.coalesce(below, F.when(p["element"].isNotNull(), amount), p["unit"])
+
+    return F.when(c.isNotNull(), F.array_join(F.transform(_parts(c), written), " "))
 
-    def token(t: Column) -> Column:
-        before, after = F.regexp_extract(t, r"^([^-]*)-", 1), F.regexp_extract(t, r"^[^-]*-(.*)$", 1)
-        low = F.lower(before)
-        denominator = F.when(low == "l", "L").when(low == "ml", "mL").when(low == "y", "yr").otherwise(before)
-        power = F.when(after == "1", "⁻¹").when(after == "2", "⁻²").when(after == "3", "⁻³").otherwise(F.concat(F.lit("-"), after))
-        amount = F.when(low.startswith("u") & (F.length(before) > 1), F.concat(F.lit("µ"), F.substring(before, 2, 1000))).otherwise(before)
-        element = F.upper(after)
-        return F.when(~t.contains("-"), t).when(after.rlike(r"^\d"), F.concat(denominator, power)).otherwise(F.concat(amount, F.lit(" "), element))
 
-    return F.array_join(F.transform(F.split(F.trim(c), r"\s+"), token), " ")
+# What a rate is taken over, by the denominators that tell it, the first kind that matches.
+DENOMINATORS = {"mass": ["g⁻¹", "kg⁻¹"], "areal": ["m⁻²", "cm⁻²"], "volumetric": ["l⁻¹", "m⁻³", "ml⁻¹", "cm⁻³"]}
 
 
 def rate_kind(units: Column) -> Column:
     """mass, areal, volumetric or generic, by the denominators of a normalised unit, in this order."""
-    padded = F.concat(F.lit(" "), F.lower(units), F.lit(" "))
-    has = lambda *tokens: padded.rlike("|".join(f" {t} " for t in tokens))
-    return F.when(has("g⁻¹", "kg⁻¹"), "mass").when(has("m⁻²", "cm⁻²"), "areal").when(has("l⁻¹", "m⁻³", "ml⁻¹", "cm⁻³"), "volumetric").otherwise("generic")
+    words = F.split(F.lower(units), " ")
+    kinds = F.array(*(F.when(F.arrays_overlap(words, F.array(*map(F.lit, ds))), F.lit(k)) for k, ds in DENOMINATORS.items()))
+    return F.coalesce(F.get(F.filter(kinds, lambda k: k.isNotNull()), F.lit(0)), F.lit("generic"))
 
 
 def partial_date(year: Column, month: Column, day: Column) -> Column:

@@ -94,7 +94,7 @@ def _table_rows(spark, d):
     rows = rows.withColumn("c", F.regexp_extract_all("tr", F.lit(r"(?s)<t[dh]>(.*?)</t[dh]>"), F.lit(1)))
     head = rows.where("row_no = 0").select("doc_id", "table_number", F.col("c").alias("names"))
     cells = rows.where("row_no > 0").join(head, ["doc_id", "table_number"])
-    zipped = F.arrays_zip(F.slice("names", 2, 1000).alias("n"), F.slice("c", 2, 1000).alias("v"))
+    zipped = F.arrays_zip(F.slice("names", F.lit(2), F.greatest(F.size("names"), F.lit(1))).alias("n"), F.slice("c", F.lit(2), F.greatest(F.size("c"), F.lit(1))).alias("v"))
     out = cells.select("doc_id", "table_number", "row_no", F.get("c", F.lit(0)).alias("row_name"), F.explode(zipped).alias("z"))
     return out.select("doc_id", "table_number", "row_no", "row_name", F.col("z.n").alias("column_name"), F.col("z.v").alias("cell"))
 
@@ -140,7 +140,7 @@ def q09(spark, d):
 
 # ---- numbers, units, dates ----------------------------------------------------------------------------------------------------
 
-_SQL_EXP = r"replace(regexp_replace(translate({c}, '⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺', '0123456789-+'), '[×x]\s*10(?:\^\{{?([+-]?\d+)\}}?|([+-]?\d+))', 'e\1\2', 'g'), '−', '-')"
+_SQL_EXP = r"replace(regexp_replace(translate({c}, '⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺', '0123456789-+'), '[×x]\s*10\^?\{{?([-+]?[0-9]+)\}}?', 'e\1', 'g'), '−', '-')"
 _SQL_NUM = r"translate(regexp_replace(regexp_replace({e}, '[''\s]+', '', 'g'), '(\d),(\d)', '\1.\2', 'g'), 'Ol', '01')"
 _SQL_FLOAT = r"CASE WHEN regexp_matches({n}, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN try_cast({n} AS DOUBLE) END"
 _V = _SQL_NUM.format(e=_SQL_EXP.format(c=r"regexp_replace(value, '^\s+|\s+$', '', 'g')"))
@@ -160,7 +160,7 @@ def q10b(spark, d):
     return rows.select("item_id", F.round(measures.parse_numeric(F.col("value")), 6).alias("parsed"))
 
 
-_SQL_TOKENS = r"list_filter(list_transform(regexp_extract_all({e}, '([-−]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?)', 1), lambda x: try_cast(replace(x, ',', '.') AS DOUBLE)), lambda x: x IS NOT NULL)"
+_SQL_TOKENS = r"list_filter(list_transform(regexp_extract_all({e}, '[-−]?[0-9]+(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?', 0), lambda x: try_cast(replace(x, ',', '.') AS DOUBLE)), lambda x: x IS NOT NULL)"
 
 
 @query("q11_numeric_score", f"""WITH t AS (SELECT context_id, page_number, {_SQL_TOKENS.format(e=_SQL_EXP.format(c='context'))} AS ns FROM contexts WHERE page_number <> 0 AND context IS NOT NULL),
@@ -227,7 +227,7 @@ def q13b(spark, d):
     return out.select("item_id", "page_number", F.size("pages").cast("bigint").alias("n_pages"), "tier")
 
 
-@query("q14_table_numbers", r"""SELECT document_id, unnest(flatten(list_transform(regexp_extract_all(lower(extraction_location_details), '\btables?\s+([\d\s;,]+)', 1), lambda x: regexp_extract_all(x, '(\d+)', 1))))::INT AS table_number FROM papers""")
+@query("q14_table_numbers", r"""SELECT document_id, unnest(flatten(list_transform(regexp_extract_all(lower(extraction_location_details), '\btables?\s((?:[\s;,]*[0-9]+)+)', 1), lambda x: regexp_extract_all(x, '(\d+)', 1))))::INT AS table_number FROM papers""")
 def q14(spark, d):
     return table(spark, d, "papers").select("document_id", F.explode(measures.table_numbers(F.col("extraction_location_details"))).alias("table_number"))
 
