@@ -575,30 +575,34 @@ class Model:
         p = np.where(own_w > 0, self.ending[word], self.rate)
         return p, p * self.single, np.where(own_f > 0, self.beginning[folded], 1.0)
 
-    def posteriors(self, x: np.ndarray, kind: int) -> list[float]:
-        """P(boundary at each site | block), by forward-backward; the state is the event at the site."""
-        if not len(x):
-            return []
-        zero, one, weight = (v.tolist() for v in (self.open_steps(x) if kind == OPEN else self.steps(x)))
-        first = x[:, FIRST].tolist()
+    def transitions(self, x: np.ndarray, kind: int) -> tuple[list[float], list[float], list[float]]:
+        """(P(event) after no event, after an event, weight of an event) at each of the sites x, which may be those of many blocks."""
+        zero, one, weight = self.open_steps(x) if kind == OPEN else self.steps(x)
         # the event before reaches into the history of two only where a single word lies between
-        steps = list(zip(zero, one if kind == OPEN else [o if f else z for z, o, f in zip(zero, one, first)]))
-        forward, now = [], None
-        for (p0, p1), w in zip(steps, weight):
-            n0, n1 = (1 - p0, p0) if now is None else (now[0] * (1 - p0) + now[1] * (1 - p1), now[0] * p0 + now[1] * p1)
-            n1 *= w
-            total = n0 + n1 or 1.0
-            now = (n0 / total, n1 / total)
-            forward.append(now)
-        back, out = (1.0, 1.0), [0.0] * len(steps)
-        for i in range(len(steps) - 1, -1, -1):
-            a, b = forward[i][0] * back[0], forward[i][1] * back[1]
-            out[i] = b / (a + b) if a + b else 0.0
-            (p0, p1), w = steps[i], weight[i]
-            back = ((1 - p0) * back[0] + p0 * w * back[1], (1 - p1) * back[0] + p1 * w * back[1])
-            total = back[0] + back[1] or 1.0
-            back = (back[0] / total, back[1] / total)
-        return out
+        return zero.tolist(), (one if kind == OPEN else np.where(x[:, FIRST] > 0, one, zero)).tolist(), weight.tolist()
+
+    def posteriors(self, x: np.ndarray, kind: int) -> list[float]:
+        return forward_backward(*self.transitions(x, kind)) if len(x) else []
+
+
+def forward_backward(zero: list[float], one: list[float], weight: list[float]) -> list[float]:
+    """P(boundary at each site | block); the state is the event at the site."""
+    forward, now = [], None
+    for p0, p1, w in zip(zero, one, weight):
+        n0, n1 = (1 - p0, p0) if now is None else (now[0] * (1 - p0) + now[1] * (1 - p1), now[0] * p0 + now[1] * p1)
+        n1 *= w
+        total = n0 + n1 or 1.0
+        now = (n0 / total, n1 / total)
+        forward.append(now)
+    back, out = (1.0, 1.0), [0.0] * len(zero)
+    for i in range(len(zero) - 1, -1, -1):
+        a, b = forward[i][0] * back[0], forward[i][1] * back[1]
+        out[i] = b / (a + b) if a + b else 0.0
+        p0, p1, w = zero[i], one[i], weight[i]
+        back = ((1 - p0) * back[0] + p0 * w * back[1], (1 - p1) * back[0] + p1 * w * back[1])
+        total = back[0] + back[1] or 1.0
+        back = (back[0] / total, back[1] / total)
+    return out
 
 
 def lay_out(documents: DataFrame, doc_id: str, text: str, keep_text: bool) -> DataFrame:
@@ -680,24 +684,39 @@ def train(laid: DataFrame, rounds: int = 5, least: int = 2) -> Model:
     return Model(counts)
 
 
-def units_of(numbers: np.ndarray, model: Model, threshold: float = 0.5) -> list[tuple[int, int]]:
-    """(start, end) of each unit of a laid-out text, in order; every character of a block that isn't white space lies in exactly one."""
-    out = []
-    for a, b, kind, x in read_layout(numbers):
-        at = a
-        if kind in (TEXT, OPEN):
-            for end, begin, p in zip(x[:, END].tolist(), x[:, NEXT].tolist(), model.posteriors(x, kind)):
-                if p > threshold:
-                    out.append((at, end))
-                    at = begin
-        if at < b:
-            out.append((at, b))
-    return out
+def units_of(layouts: list[np.ndarray], model: Model, threshold: float = 0.5) -> Iterator[list[tuple[int, int]]]:
+    """(start, end) of each unit of each laid-out text, in order; every character of a block that isn't white space lies in exactly one.
+
+    The model is applied to the sites of all texts at once, and then block by block.
+    """
+    read = [list(read_layout(numbers)) for numbers in layouts]
+    ready = {}
+    for kind in (TEXT, OPEN):
+        parts = [x for blocks in read for _, _, k, x in blocks if k == kind and len(x)]
+        if parts:
+            x = np.concatenate(parts)
+            ready[kind] = (*model.transitions(x, kind), x[:, END].tolist(), x[:, NEXT].tolist())
+    done = {TEXT: 0, OPEN: 0}
+    for blocks in read:
+        out = []
+        for a, b, kind, x in blocks:
+            at = a
+            if len(x):
+                start = done[kind]
+                done[kind] = stop = start + len(x)
+                zero, one, weight, ends, begins = (v[start:stop] for v in ready[kind])
+                for end, begin, p in zip(ends, begins, forward_backward(zero, one, weight)):
+                    if p > threshold:
+                        out.append((at, end))
+                        at = begin
+            if at < b:
+                out.append((at, b))
+        yield out
 
 
 def units(text: str, model: Model, threshold: float = 0.5) -> list[tuple[int, int]]:
     """units_of a text."""
-    return units_of(layout(text, defaultdict(int), Counter()), model, threshold)
+    return next(units_of([layout(text, defaultdict(int), Counter())], model, threshold))
 
 
 def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, with_text: bool = True) -> DataFrame:
@@ -712,11 +731,14 @@ def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     known = documents.sparkSession.sparkContext.broadcast(model or train(laid))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for d, t, raw in zip(f["doc"], f["text"], f["layout"]):
-                found = units_of(np.frombuffer(raw, np.int32), known.value)
-                rows = pd.DataFrame({doc_id: [d] * len(found), "unit_no": range(len(found)), "start_pos": [a for a, _ in found], "end_pos": [b for _, b in found]})
-                yield rows.assign(sentence=pd.Series([t[a:b] for a, b in found], dtype=object)) if with_text else rows
+        for whole in frames:
+            for f in (whole.iloc[i : i + 500] for i in range(0, len(whole), 500)):  # texts may be long
+                found = list(units_of([np.frombuffer(raw, np.int32) for raw in f["layout"]], known.value))
+                rows = [(d, n, a, b) for d, spans in zip(f["doc"], found) for n, (a, b) in enumerate(spans)]
+                out = pd.DataFrame(rows, columns=[doc_id, "unit_no", "start_pos", "end_pos"])
+                if with_text:
+                    out["sentence"] = pd.Series([t[a:b] for t, spans in zip(f["text"], found) for a, b in spans], dtype=object)
+                yield out
 
     kind = documents.schema[doc_id].dataType.simpleString()
     columns = f"{doc_id} {kind}, unit_no int, start_pos bigint, end_pos bigint" + (", sentence string" if with_text else "")
