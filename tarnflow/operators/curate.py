@@ -15,6 +15,18 @@ def review_priority(df: DataFrame, document: str, confidence: str, pages: str, r
     return df.withColumn("priority", p).withColumn("document_priority", F.min("priority").over(Window.partitionBy(document)))
 
 
+def review_table(rows: DataFrame, old: DataFrame | None, key: str, document: str, confidence: str, pages: str, ranks: dict[str, int], corrections: Sequence[str]) -> DataFrame:
+    """review_priority with empty correction columns, carried over from an old review of the same key, sorted by document priority, document
+    and priority: the table to be written for reviewers."""
+    ready = review_priority(rows, document, confidence, pages, ranks)
+    if old is None:
+        filled = ready.withColumns({c: F.lit(None).cast("string") for c in corrections})
+    else:
+        last = old.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(*(F.max(c).alias(c) for c in corrections))
+        filled = ready.join(last, F.col(key) == F.col("__k"), "left").drop("__k")
+    return filled.orderBy("document_priority", document, "priority", key)
+
+
 def apply_review(rows: DataFrame, review: DataFrame, key: str, order: str, fields: Sequence[tuple[str, str]], excluded: str) -> DataFrame:
     """rows without the excluded ones, each field replaced by its correction where one is given; of several reviews of a row the last stands."""
     last = review.groupBy(F.col(key).alias("__k")).agg(F.max(F.struct(order, excluded, *(c for _, c in fields))).alias("__r"))
@@ -41,9 +53,13 @@ def pick_donor(rows: DataFrame, key: str, tiers: Sequence[tuple[str, Sequence[st
         keys = list(keys)
         cand = rows.where(F.col(value).isNotNull()).select(*keys, F.struct(choice.alias("c"), F.col(value).alias("v"), F.col(key).alias("k")).alias("s"))
         best = cand.groupBy(*keys).agg(F.min("s").alias("b1"))
-        second = cand.join(best, keys).where("s.v <> b1.v").groupBy(*keys).agg(F.min("s").alias("b2"))
-        pool = best.join(second, keys, "left").select(*(F.col(k).alias(f"__{k}") for k in keys), "b1", "b2")
-        out = out.join(pool, [F.col(k) == F.col(f"__{k}") for k in keys], "left").drop(*(f"__{k}" for k in keys))
+        if keys:
+            second = cand.join(best, keys).where("s.v <> b1.v").groupBy(*keys).agg(F.min("s").alias("b2"))
+            pool = best.join(second, keys, "left").select(*(F.col(k).alias(f"__{k}") for k in keys), "b1", "b2")
+            out = out.join(pool, [F.col(k) == F.col(f"__{k}") for k in keys], "left").drop(*(f"__{k}" for k in keys))
+        else:  # one row for all
+            second = cand.crossJoin(F.broadcast(best)).where("s.v <> b1.v").agg(F.min("s").alias("b2"))
+            out = out.crossJoin(F.broadcast(best.crossJoin(F.broadcast(second))))
         out = out.withColumn(f"__{name}", F.when(F.col(value).isNotNull(), F.when(F.col("b1.v") != F.col(value), F.col("b1")).otherwise(F.col("b2")))).drop("b1", "b2")
     tier = F.coalesce(*(F.when(F.col(f"__{n}").isNotNull(), F.lit(n)) for n, _ in tiers))
     chosen = F.coalesce(*(F.col(f"__{n}") for n, _ in tiers))

@@ -126,7 +126,7 @@ def shifted_prior(p: Column, pi_tr: Column | float, pi_te: Column | float, eps:
     return 1 / (1 + F.exp(-z))
 
 
-def em_prior(df: DataFrame, p: str, pi_tr: float, rounds: int = 1000, tolerance: float = 1e-8) -> float:
+def em_prior(df: DataFrame, p: str, pi_tr: float, rounds: int = 1000, tolerance: float = 1e-8) -> float | None:
     """The prior of df by EM: one average a round, over a persisted column; stops when it moves less than tolerance."""
     scores = df.select(F.col(p).alias("__p")).where("__p is not null").persist()
     try:
@@ -150,3 +150,155 @@ def p_true(upper_true: Column, lower_true: Column, upper_false: Column, lower_fa
         return top + F.ln(F.exp(a - top) + F.exp(b - top))
 
     return 1 / (1 + F.exp(lse(upper_false, lower_false) - lse(upper_true, lower_true)))
+
+
+def missing_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, distinct, missing_rate) of each of columns, over all rows in one pass."""
+    one = df.agg(F.count(F.lit(1)).alias("__n"), *(x for c in columns for x in (F.count_distinct(c).alias(f"__d_{c}"), F.sum(F.col(c).isNull().cast("int")).alias(f"__m_{c}"))))
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"__d_{c}").alias("distinct"), F.try_divide(F.col(f"__m_{c}"), F.col("__n")).alias("missing_rate")) for c in columns))
+    return one.select(F.explode(cells).alias("c")).select("c.*")
+
+
+def recovery_from_labels(truth: DataFrame, edges: DataFrame, predicted: DataFrame, ids: tuple[str, str], label: str, name: str = "recovery") -> DataFrame:
+    """rate() of the truth rows that have an edge to a row predicted valid; ids are the columns of truth and of predicted in edges."""
+    gt, ex = ids
+    good = edges.join(predicted.where(F.col(label)).select(ex).distinct(), ex, "left_semi")
+    return rate(flagged(truth, gt, good, gt, "__found"), F.col("__found"), name)
+
+
+def validity_from_labels(df: DataFrame, truth: Column, predicted: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, validity): the share of the predicted rows that are true, 0 where none is predicted."""
+    said = F.sum((truth & predicted).cast("int")), F.sum(predicted.cast("int"))
+    return df.groupBy(*by).agg(F.coalesce(F.try_divide(*said), F.lit(0.0)).alias("validity"))
+
+
+def validity_or_judged(extracted: DataFrame, edges: DataFrame, key: str, judged: Column, name: str = "validity") -> DataFrame:
+    """rate() of the extracted rows that have an edge or were judged true; a null judgement is no vote."""
+    return rate(flagged(extracted, key, edges, key, "__edge"), F.col("__edge") | F.coalesce(judged, F.lit(False)), name)
+
+
+def probe_metrics(df: DataFrame, p: str, y: str, by: Sequence[str] = (), threshold: float = 0.5, bins: int = 10) -> DataFrame:
+    """(by, n, n_pos, accuracy, precision, recall, f1, auroc, ece, brier, brier_skill) of probabilities p for labels y of 0 and 1.
+
+    The skill compares with the rate of positives; it is null where all labels are alike. Rows without a probability or label are left out.
+    """
+    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    keys = list(by)
+    base = binary_metrics(rows, F.col(y) == 1, F.col(p) > threshold, keys)
+    scores = rows.groupBy(*keys).agg(F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"), F.avg(F.col(y).cast("double")).alias("__rate"))
+    scores = scores.withColumn("brier_skill", 1 - F.try_divide(F.col("brier"), F.col("__rate") * (1 - F.col("__rate")))).drop("__rate")
+    out = base
+    for other in (auroc_by(rows, p, y, keys), ece(rows, p, y, bins, keys), scores):
+        out = out.join(other, keys) if keys else out.crossJoin(F.broadcast(other))  # one row each
+    return out
+
+
+def auroc_by(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, auroc) of each group, by the rank sum over its distinct scores; ties count half, groups of one label give null.
+
+    Scores are counted first; ranks run within ranges of scores, which start from the negatives of the ranges below.
+    """
+    keys = list(by)
+    if not keys:
+        return auroc(df, p, y)
+    per = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(p).alias("__p")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("neg", F.col("n") - F.col("pos")).withColumn("__r", F.floor(F.col("__p") * 64))
+    ranges = per.groupBy(*keys, "__r").agg(F.sum("neg").alias("__neg"))
+    before = ranges.withColumn("__before", F.coalesce(F.sum("__neg").over(Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__neg")
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys, "__r").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__before")
+    ranked = per.join(before, [*keys, "__r"]).withColumn("__below", below)
+    return ranked.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * (F.col("__below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auroc"))
+
+
+def reliability_diagram(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
+    """(bin, centre, n, confidence, accuracy, sem) of every bin; bins without rows have n = 0 and nulls."""
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), ((F.col("id") + 0.5) / bins).alias("centre"))
+    # bins rows on both sides
+    return grid.join(F.broadcast(reliability(df, p, y, bins)), "bin", "left").select("bin", "centre", F.coalesce("n", F.lit(0)).alias("n"), "confidence", "accuracy", "sem")
+
+
+def mean_and_deviation(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, mean, std, n) with the deviation of the whole population."""
+    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
+
+
+def row_product(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, product) of the values of each key that aren't null; 1 where all are."""
+    return df.groupBy(key).agg(F.coalesce(F.product(F.col(value)), F.lit(1.0)).alias("product"))
+
+
+def edge_sweep(extracted: DataFrame, edges: DataFrame, key: str, weight: str, label: Column, steps: int = 101) -> DataFrame:
+    """(step, threshold, n, n_pos, accuracy, precision, recall, f1): an extracted row is predicted true if its greatest edge weight is over
+    the threshold, for thresholds from 0 to 1. Rows are counted by the last step they exceed first, so each adds one row to the sweep."""
+    best = edges.groupBy(key).agg(F.max(weight).alias("__w"))
+    width = 1.0 / (steps - 1)
+    rows = extracted.withColumn("__y", label).join(best, key, "left").where(F.col("__y").isNotNull())
+    over = F.when(F.col("__w") > 0, F.least(F.lit(steps - 1), F.ceil(F.round(F.col("__w") / width, 9)).cast("int") - 1)).otherwise(-1)
+    per = rows.groupBy(over.alias("__at")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("__y").cast("bigint")).alias("pos"))
+    total = per.agg(F.sum("c").alias("n"), F.sum("pos").alias("n_pos"))
+    grid = df_range(extracted, steps)
+    # steps is a small constant, so the triangle of steps is too
+    up = grid.join(F.broadcast(per), F.col("__at") >= F.col("step"), "left").groupBy("step").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("said"), F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"))
+    c = up.crossJoin(F.broadcast(total))
+    right = F.col("tp") + (F.col("n") - F.col("said")) - (F.col("n_pos") - F.col("tp"))
+    return c.select(
+        "step", (F.col("step") * F.lit(width)).alias("threshold"), "n", "n_pos", F.try_divide(right, F.col("n")).alias("accuracy"), F.try_divide(F.col("tp"), F.col("said")).alias("precision"),
+        F.try_divide(F.col("tp"), F.col("n_pos")).alias("recall"), F.try_divide(2 * F.col("tp"), F.col("said") + F.col("n_pos")).alias("f1"),
+    )
+
+
+def df_range(like: DataFrame, n: int) -> DataFrame:
+    return like.sparkSession.range(n).select(F.col("id").cast("int").alias("step"))
+
+
+def random_baseline(df: DataFrame, y: str, key: str, steps: int, width: float, draws: int = 50, seed: int = 342) -> DataFrame:
+    """(step, recovery, validity): means over draws in which each row gets a random score instead of its own; the scores are hashes of
+    draw and key, so they don't change with the order of rows. Draws in which nothing is predicted count for recovery only."""
+    score = F.pmod(F.xxhash64(F.lit(seed), F.col("__draw"), F.col(key)), F.lit(1_000_000)) / 1_000_000.0
+    drawn = df.where(F.col(y).isNotNull()).withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("step", F.ceil(score / width).cast("int") - 1)
+    per = drawn.groupBy("__draw", F.least("step", F.lit(steps - 1)).alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos"))
+    total = df.where(F.col(y).isNotNull()).agg(F.sum(F.col(y).cast("bigint")).alias("__all"))
+    grid = df_range(df, steps)
+    up = per.join(F.broadcast(grid), F.col("at") >= F.col("step")).groupBy("__draw", "step").agg(F.sum("n").alias("said"), F.sum("pos").alias("tp"))  # draws times steps rows
+    c = up.crossJoin(F.broadcast(total))
+    return c.groupBy("step").agg((F.sum(F.try_divide(F.col("tp"), F.col("__all"))) / draws).alias("recovery"), F.avg(F.try_divide(F.col("tp"), F.col("said"))).alias("validity"))
+
+
+def noise_sensitivity(df: DataFrame, p: str, y: str, key: str, levels: Sequence[float], trials: int, bins: int = 10, seed: int = 342) -> DataFrame:
+    """(noise, mean, std, n): calibration error over trials in which each label is flipped with the probability noise, by a hash of trial and key."""
+    noise = F.explode(F.array(*(F.lit(float(x)) for x in levels)))
+    drawn = df.withColumn("noise", noise).withColumn("__trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    flip = F.pmod(F.xxhash64(F.lit(seed), F.col("__trial"), F.col(key)), F.lit(1_000_000)) / 1_000_000.0 < F.col("noise")
+    errors = ece(drawn.withColumn(y, F.when(flip, 1 - F.col(y)).otherwise(F.col(y))), p, y, bins, ["noise", "__trial"])
+    return mean_and_deviation(errors, "ece", ["noise"])
+
+
+def rescaled_by_em(df: DataFrame, p: str, pi_tr: float, rounds: int = 1000, tolerance: float = 1e-8) -> tuple[DataFrame, list[float]]:
+    """(df with <p>_rescaled, the priors of all rounds): probabilities under the prior that EM finds for df, the training prior first.
+
+    Null probabilities stay null. The training prior must lie between 0 and 1.
+    """
+    if not 0 < pi_tr < 1:
+        raise ValueError("the training prior must lie between 0 and 1")
+    scores = df.select(F.col(p).alias("__p")).where("__p is not null").persist()
+    history = [pi_tr]
+    try:
+        for _ in range(rounds):
+            a, b = F.col("__p") * (history[-1] / pi_tr), (1 - F.col("__p")) * ((1 - history[-1]) / (1 - pi_tr))
+            now = scores.agg(F.avg(a / (a + b))).first()[0]
+            if now is None:
+                break
+            history.append(now)
+            if abs(now - history[-2]) < tolerance:
+                break
+    finally:
+        scores.unpersist()
+    a, b = F.col(p) * (history[-1] / pi_tr), (1 - F.col(p)) * ((1 - history[-1]) / (1 - pi_tr))
+    return df.withColumn(f"{p}_rescaled", a / (a + b)), history
+
+
+def settings_metrics(predictions: DataFrame, setting: Sequence[str], p: dict[str, str], y: str) -> DataFrame:
+    """probe_metrics of every setting and every kind of prediction in one table: p gives the column of each kind."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("type"), F.col(c).cast("double").alias("p")) for k, c in p.items())))
+    long = predictions.select(*setting, y, kinds.alias("k")).select(*setting, y, "k.type", "k.p")
+    return probe_metrics(long, "p", y, [*setting, "type"])

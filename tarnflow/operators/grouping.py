@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -145,3 +146,116 @@ def weighted_kmeans(df: DataFrame, features: str, weight: str | None, k: int, se
     data = df.withColumn("__v", array_to_vector(F.col(features).cast("array<double>")))
     model = KMeans(featuresCol="__v", k=k, seed=seed, **({"weightCol": weight} if weight else {}))
     return model.fit(data)
+
+
+def best_columns(wide: DataFrame, columns: Sequence[str], key: str, sizes: Sequence[int] = (2, 3, 4, 5), most_missing: float = 0.2) -> DataFrame:
+    """(columns, rows, score) of every combination of columns with as many as one of sizes: rows that dense_rows keeps, score = rows times
+    columns; the best first, ties by the names.
+
+    Rows are counted by which of the columns they lack, so combinations are tried on at most 2 ** len(columns) counts, on 16 columns at most.
+    """
+    if len(columns) > 16:
+        raise ValueError("more than 16 columns have too many combinations")
+    mask = sum((F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(columns)), F.lit(0))
+    counts = {r.m: r.n for r in wide.groupBy(mask.alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = []
+    for d in sizes:
+        for chosen in combinations(range(len(columns)), d):
+            by_nulls: dict[int, int] = {}
+            for m, n in counts.items():
+                k = sum(m >> i & 1 for i in chosen)
+                by_nulls[k] = by_nulls.get(k, 0) + n
+            kept = _kept(by_nulls, d, most_missing)
+            out.append(([columns[i] for i in chosen], kept, kept * d))
+    out.sort(key=lambda x: (-x[2], x[0]))
+    return wide.sparkSession.createDataFrame(out, "columns array<string>, rows bigint, score bigint")
+
+
+def _kept(counts: dict[int, int], columns: int, most_missing: float) -> int:
+    """How many rows stay when those with most nulls are dropped one by one until few enough cells are missing; one always stays."""
+    left, missing = sum(counts.values()), sum(k * n for k, n in counts.items())
+    for k in sorted(counts, reverse=True):
+        over = missing - most_missing * left * columns
+        if left <= 1 or over <= 0:
+            break
+        gain = k - most_missing * columns
+        need = min(counts[k], left - 1, int(-(-over // gain)) if gain > 0 else counts[k])
+        left, missing = left - need, missing - need * k
+    return left
+
+
+def largest(scored: DataFrame, score: str, ties: Sequence[str]) -> DataFrame:
+    """The one row of the greatest score, ties by ties."""
+    return scored.orderBy(F.col(score).desc(), *ties).limit(1)
+
+
+def elbow(df: DataFrame, features: str, ks: Sequence[int], seed: int = 342) -> DataFrame:
+    """(k, cost): the sum of squared distances to the nearest of k fitted centres, for each k."""
+    costs = [(k, float(weighted_kmeans(df, features, None, k, seed).summary.trainingCost)) for k in ks]
+    return df.sparkSession.createDataFrame(costs, "k int, cost double")
+
+
+def principal_components(df: DataFrame, key: str, features: str, k: int = 2) -> DataFrame:
+    """(key, components array): the first k principal components of centred features, each with its greatest loading positive."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    data = df.where(F.col(features).isNotNull()).select(key, array_to_vector(F.col(features).cast("array<double>")).alias("v"))
+    model = PCA(k=k, inputCol="v", outputCol="p").fit(data)
+    loadings = model.pc.toArray()
+    means = df.select(F.posexplode(features).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m")).collect()  # one row per feature
+    centre = np.zeros(loadings.shape[0])
+    for r in means:
+        centre[r.i] = r.m
+    shift, sign = centre @ loadings, np.sign(loadings[np.abs(loadings).argmax(0), range(k)])
+    parts = vector_to_array("p")
+    return model.transform(data).select(key, F.array(*((parts[i] - float(shift[i])) * float(sign[i]) for i in range(k))).alias("components"))
+
+
+def gamma_sweep(df: DataFrame, features: str, probability: str, truth: np.ndarray, gammas: Sequence[float], seeds: Sequence[int], k: int = 5, rounds: int = 50) -> DataFrame:
+    """(gamma, mean, std, n): distance of weighted k-means centres to true ones, weights probability ** gamma, over seeds.
+
+    The features are a labelled set of bounded size, at most 200,000 rows, sent to every task; each (gamma, seed) is a row of its own.
+    """
+    rows = bounded_rows(df.select(features, probability), 200_000, "the table to be clustered")
+    x, p = np.array([r[features] for r in rows], float), np.array([r[probability] for r in rows], float)
+    shared = df.sparkSession.sparkContext.broadcast((x, p))
+    grid = df.sparkSession.createDataFrame([(float(g), int(s)) for g in gammas for s in seeds], "gamma double, seed int").repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+    def solve(frames):
+        points, chance = shared.value
+        for f in frames:
+            yield pd.DataFrame({"gamma": f["gamma"], "distance": [centroid_distance(lloyd(points, chance**g, k, s, rounds), truth) for g, s in zip(f["gamma"], f["seed"])]})
+
+    return grid.mapInPandas(solve, "gamma double, distance double").groupBy("gamma").agg(F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+def lloyd(points: np.ndarray, weights: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
+    """Centres of weighted k-means, started by distance-weighted draws; a centre without points stays where it was."""
+    rng = np.random.default_rng(seed)
+    centres = points[[rng.choice(len(points), p=weights / weights.sum() if weights.sum() > 0 else None)]]
+    while len(centres) < k:
+        d = ((points[:, None] - centres[None]) ** 2).sum(2).min(1) * weights
+        centres = np.r_[centres, points[[rng.choice(len(points), p=d / d.sum() if d.sum() > 0 else None)]]]
+    for _ in range(rounds):
+        near = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        new = np.array([np.average(points[near == j], axis=0, weights=weights[near == j]) if weights[near == j].sum() > 0 else centres[j] for j in range(k)])
+        if np.allclose(new, centres):
+            break
+        centres = new
+    return centres
+
+
+def random_baseline_distance(df: DataFrame, columns: Sequence[str], truth: np.ndarray, k: int, trials: int = 100, seed: int = 342) -> tuple[float, float]:
+    """Mean and population deviation of the distance to true centres of k uniform points in the box that holds the rows."""
+    ends = df.agg(*(F.min(c).alias(f"lo_{c}") for c in columns), *(F.max(c).alias(f"hi_{c}") for c in columns)).first()
+    low, high = np.array([ends[f"lo_{c}"] for c in columns], float), np.array([ends[f"hi_{c}"] for c in columns], float)
+    rng = np.random.default_rng(seed)
+    distances = [centroid_distance(rng.uniform(low, high, (k, len(columns))), truth) for _ in range(trials)]
+    return float(np.mean(distances)), float(np.std(distances))
+
+
+def label_share(pivoted: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, label): the mean of the labels a row has, 0 where it has none."""
+    known = F.filter(F.array(*(F.col(c).cast("double") for c in columns)), lambda x: x.isNotNull())
+    return pivoted.select(key, F.coalesce(F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known)), F.lit(0.0)).alias("label"))

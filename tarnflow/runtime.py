@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -10,12 +11,16 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where that is unset a temporary one is made, but only on a local master: a
+    folder of one machine can't be read by executors on others. Set spark.cleaner.referenceTracking.cleanCheckpoints to have
+    checkpoints deleted with the results that read them."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         named = sc.getCheckpointDir()
     if named is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tarnflow-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
