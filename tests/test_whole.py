@@ -119,3 +119,44 @@ def test_every_coordinate_is_filled(spark, small):
     filled = reference.QUERIES["q48_knn_fill"](spark, small)
     assert filled.columns == ["vec_id", *(f"x{i}" for i in range(size))]
     assert filled.where(" or ".join(f"x{i} is null" for i in range(size))).count() == 0
+
+
+def _papers(spark):
+    text = '<page number="0">deep water here</page><page number="1">deep water <table number="3"><tr><th>index</th><th>TN</th></tr><tr><td>Tarn</td><td>4.5</td></tr></table></page><page number="2">nothing</page>'
+    return spark.createDataFrame([(1, "W1", text)], "doc_id long, document_id string, text string"), spark.createDataFrame([("tn", "Nitrogen", "mg/L"), ("tp", "Phosphorus", "mg/L")], "attribute string, description string, unit_options string")
+
+
+def _answers(prompts):
+    entity = {"name": "Tarn", "identifiers": None, "location": None, "ecosystem": None}
+    out = []
+    for p in prompts:
+        task = p.partition("Task: ")[2].partition("\n")[0]
+        replies = {
+            "entities": {"items": [entity]}, "attributes": {"items": [{"attribute_name": "tn", "detected": True}]}, "events": {"items": []}, "standardise": {"value": None},
+            "values": {"has_value": True, "value": "2", "units": "mg"}, "cells": {"has_value": True, "row_index": "Tarn", "column_index": "TN", "units": "mg"},
+            "triples": {"items": [{**entity, "attribute": "tn", "value": "7", "units": "mg"}, {**entity, "attribute": "tp", "value": None}]}, "pairs": {"items": [{**entity, "attribute": "tn"}, {**entity, "attribute": "other"}]},
+            "places": {"items": [{"page_number": 0, "table_number": None}]}, "provenance": {"has_data": "deep water" in p, "in_table": "<table" in p},
+        }
+        out.append(json.dumps(replies[task]))
+    return out
+
+
+def test_variants_of_the_pipeline(spark):
+    documents, attributes = _papers(spark)
+    got = {k: sorted((r.entity_id, r.attribute, r.page_number, r.source, r.value) for r in extraction.run_variant(v, None, attributes, documents, _answers).collect()) for k, v in {**extraction.ABLATIONS, "0": extraction.BASELINE}.items() if not v.triples}
+    prose, direct, cell = ("doc_W1_entity_0", "tn", 0, "text", "2"), ("doc_W1_entity_0", "tn", 1, "table", "2"), ("doc_W1_entity_0", "tn", 1, "table", "4.5")
+    assert got == {"0": [prose, cell], "2": [prose, direct], "3": [prose], "4": [prose, direct], "5": [prose, direct], "6": [prose, direct]}
+    triples = extraction.run_variant(extraction.ABLATIONS["1"], None, attributes, documents, _answers).collect()
+    assert [(r.document_id, r.name, r.attribute, r.value) for r in triples] == [("W1", "Tarn", "tn", "7")]
+
+
+def test_model_stages_that_fail_give_nothing(spark):
+    documents, attributes = _papers(spark)
+    _, _, wholes = extraction.paper_texts(documents)
+    silent = lambda prompts: ["" for _ in prompts]
+    assert extraction.extracted_entities(wholes, silent).count() == 0 and extraction.direct_triples(wholes, silent).count() == 0 and extraction.extracted_pairs(wholes, attributes, silent).count() == 0
+    pages, _, _ = extraction.paper_texts(documents)
+    assert sorted(r.text for r in extraction.cleaned_tables(pages, silent).collect()) == sorted(r.text for r in pages.collect())
+    cleaned = extraction.cleaned_tables(pages, lambda ps: [json.dumps({"text": "<table>new</table>"}) for _ in ps]).collect()
+    assert {r.page_number: r.text for r in cleaned}[1] == "<table>new</table>" and "nothing" in {r.page_number: r.text for r in cleaned}[2]
+    assert extraction.attribute_list(attributes).first().listed == "1. tn: Nitrogen\n2. tp: Phosphorus"
