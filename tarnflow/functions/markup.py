@@ -58,7 +58,7 @@ def page_index(c: Column) -> Column:
 
 def without_front_matter(c: Column) -> Column:
     """The text behind a leading block between two lines of ---."""
-    return F.regexp_replace(c, r"(?s)^---\s*\n.*?\n---\s*(?:\n|$)", "")
+    return F.regexp_replace(c, r"(?s)^---[ \t]*\n.*?\n---[ \t]*(?:\n|$)", "")
 
 
 def says_table(c: Column) -> Column:

@@ -191,7 +191,10 @@ def largest(scored: DataFrame, score: str, ties: Sequence[str]) -> DataFrame:
 
 def elbow(df: DataFrame, features: str, ks: Sequence[int], seed: int = 342) -> DataFrame:
     """(k, cost): the sum of squared distances to the nearest of k fitted centres, for each k."""
-    costs = [(k, float(weighted_kmeans(df, features, None, k, seed).summary.trainingCost)) for k in ks]
+    # one centre is the mean
+    spread = F.sum(F.col("n") * F.col("v"))
+    one = df.select(F.posexplode(features).alias("i", "x")).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.var_pop(F.col("x").cast("double")).alias("v")).agg(spread).first()[0]
+    costs = [(k, float(one or 0.0) if k == 1 else float(weighted_kmeans(df, features, None, k, seed).summary.trainingCost)) for k in ks]
     return df.sparkSession.createDataFrame(costs, "k int, cost double")
 
 

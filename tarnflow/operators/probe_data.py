@@ -126,7 +126,7 @@ def probe_output(valid: DataFrame, swaps: DataFrame, noise: DataFrame, tables: D
     """The probe table: every valid row, its swapped row, and for one half of the rows by hash a noised row, for the other one from tables, or
     a noised one where there is none; with label, modification_type, gt_row_index, donor_gt_row_index and measurement_id from 0."""
     half = chance(seed + 7, F.col(key)) < 0.5
-    columns = valid.columns
+    columns = [c for c in valid.columns if c != "gt_row_index"]
     of = lambda df, kind, donor=None: df.select(*columns, F.lit("invalid").alias("label"), (F.col("modification_type") if kind is None else F.lit(kind)).alias("modification_type"), F.col(key).alias("gt_row_index"), (F.col(donor) if donor else F.lit(None).cast(valid.schema[key].dataType)).alias("donor_gt_row_index"))
     table_part = tables.where(~half)
     noise_part = noise.where(half).unionByName(noise.where(~half).join(table_part.select(key), key, "left_anti"))

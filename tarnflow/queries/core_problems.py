@@ -155,6 +155,7 @@ _E = r"(?: ?[x×] ?10 ?\^? ?[-+]?[0-9]+|[eE][-+]?[0-9]+)?"
 _PLAIN = r"translate(trim(regexp_replace({v}, '[\s\x{{00A0}}\x{{202F}}]+', ' ', 'g')), '⁻⁺⁰¹²³⁴⁵⁶⁷⁸⁹−', '-+0123456789-')"
 _PATTERN = r"^(?:<|>|below|above)? ?(?:~|ca\.|approx\.)? ?([-+]?" + _N + r")(" + _E + r")(?: ?(?:±|\+/-) ?" + _N + _E + r")?(?: ?\( ?" + _N + _E + r" ?(?:to|-|–) ?" + _N + _E + r" ?\))? ?(.*)$"
 _NUMBER = f"try_cast(translate(regexp_replace(regexp_extract(plain, '{_PATTERN}', 1), '['' +]', '', 'g'), 'Ol,', '01.') || 'e' || coalesce(nullif(regexp_extract(regexp_extract(plain, '{_PATTERN}', 2), '(?:10 ?\\^? ?|[eE])([-+]?[0-9]+)$', 1), ''), '0') AS DOUBLE)"
+NUMBER_PLAIN, NUMBER_SQL = _PLAIN, _NUMBER
 _ATTRIBUTE_KEY = r"trim(regexp_replace(regexp_replace(lower({c}), '[.,]', '', 'g'), '[\s\x{{00A0}}_-]+', ' ', 'g'))"
 _SUFFIX_SQL = r"^(.*?)\s*(?:\(([^()]*(?:\([^()]*\))?)\)|\[([^\[\]]*)\]|\s/\s+(.*)|\sin\s+(.*))$"
 _EMPTY = "value IS NULL OR NOT regexp_matches(value, '[0-9]') OR regexp_matches(trim(value), '^-9{2,}([.,]0+)?$')"

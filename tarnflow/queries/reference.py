@@ -1,8 +1,7 @@
 """Queries of the measurement-extraction operators on the driver's tables, each with SQL that gives the same rows.
 
 Ground truth and predictions are made from lineitem: each row gives one measurement per numeric column. Probabilities and labels are
-those of probe_dataset; documents, values and papers are the tables of the same names. Every query reads its whole tables, but for q10, q12, q13,
-q49 and q51: they keep to the rows for which their SQL is defined, and the query named qNb_..._all answers for the whole table, without SQL.
+those of probe_dataset; documents, values and papers are the tables of the same names. Every query reads its whole tables.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from tarnflow.functions.values import number_struct
 from tarnflow.operators import curate, dedupe, evaluate, grouping, matching, probes
 from tarnflow.operators.units import lexicon_of
 from tarnflow.plans import extraction, judging
+from tarnflow.queries.core_problems import NUMBER_PLAIN, NUMBER_SQL
 from tarnflow.runtime import bounded_rows, cut
 from tarnflow.sources import runs
 from tarnflow.sources.tables import table
@@ -140,24 +140,21 @@ def q09(spark, d):
 
 # ---- numbers, units, dates ----------------------------------------------------------------------------------------------------
 
-_SQL_EXP = r"replace(regexp_replace(translate({c}, '⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺', '0123456789-+'), '[×x]\s*10\^?\{{?([-+]?[0-9]+)\}}?', 'e\1', 'g'), '−', '-')"
-_SQL_NUM = r"translate(regexp_replace(regexp_replace({e}, '[''\s]+', '', 'g'), '(\d),(\d)', '\1.\2', 'g'), 'Ol', '01')"
+#: white space as the functions take it, no-break and narrow blanks included
+_B = r"\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}"
+_SQL_EXP = r"replace(regexp_replace(translate({c}, '⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺', '0123456789-+'), '[×x][" + _B + r"]*10\^?\{{?([-+]?[0-9]+)\}}?', 'e\1', 'g'), '−', '-')"
+_SQL_NUM = r"translate(regexp_replace(regexp_replace({e}, '[''" + _B + r"]+', '', 'g'), '(\d),(\d)', '\1.\2', 'g'), 'Ol', '01')"
 _SQL_FLOAT = r"CASE WHEN regexp_matches({n}, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN try_cast({n} AS DOUBLE) END"
-_V = _SQL_NUM.format(e=_SQL_EXP.format(c=r"regexp_replace(value, '^\s+|\s+$', '', 'g')"))
+_PLAIN_B = _B.format()
+_STRIPPED = r"regexp_replace({c}, '^[" + _B + r"]+|[" + _B + r"]+$', '', 'g')"
+_V = _SQL_NUM.format(e=_SQL_EXP.format(c=_STRIPPED.format(c="value")))
 
 
-@query("q10_parse_numeric", f"SELECT item_id, round({_SQL_FLOAT.format(n='v')}, 6) AS parsed FROM (SELECT DISTINCT item_id, {_V} AS v FROM extraction_values WHERE NOT regexp_matches(value, '[^ -~×⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺±–]'))")
+@query("q10_parse_numeric", f"SELECT item_id, round({_SQL_FLOAT.format(n='v')}, 6) AS parsed FROM (SELECT DISTINCT item_id, {_V} AS v FROM extraction_values WHERE value IS NOT NULL)")
 def q10(spark, d):
-    """Written numbers of the values in plain characters, on which SQL and Spark have the same white space."""
-    rows = table(spark, d, "extraction_values").where("value is not null").where(~F.col("value").rlike("[^ -~×⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺±–]")).select("item_id", "value").distinct()
-    return rows.select("item_id", F.round(measures.parse_numeric(F.col("value")), 6).alias("parsed"))
-
-
-@query("q10b_parse_numeric_all")
-def q10b(spark, d):
     """Written numbers of all values."""
     rows = table(spark, d, "extraction_values").where("value is not null").select("item_id", "value").distinct()
-    return rows.select("item_id", F.round(measures.parse_numeric(F.col("value")), 6).alias("parsed"))
+    return rows.select("item_id", F.round(measures.parse_numeric(F.col("value")), 6).alias("parsed")).distinct()
 
 
 _SQL_TOKENS = r"list_filter(list_transform(regexp_extract_all({e}, '[-−]?[0-9]+(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?', 0), lambda x: try_cast(replace(x, ',', '.') AS DOUBLE)), lambda x: x IS NOT NULL)"
@@ -172,17 +169,6 @@ def q11(spark, d):
     return rows.select("context_id", F.round(measures.numeric_score(F.col("page_number").cast("double"), measures.numbers_in(F.col("context"))), 6).alias("score"))
 
 
-@query("q12_table_hits", "WITH " + _SQL_ROWS + r""", v AS (SELECT DISTINCT document_id, item_id, try_cast(value AS DOUBLE) AS v FROM extraction_values WHERE regexp_matches(value, '^[0-9]+\.[0-9]$')),
-c AS (SELECT DISTINCT e.document_id, y.doc_id, y.table_number, try_cast(y.cell AS DOUBLE) AS c FROM y JOIN documents e USING (doc_id) WHERE regexp_matches(y.cell, '^[0-9]+\.[0-9]$'))
-SELECT DISTINCT v.item_id, c.doc_id, c.table_number FROM v JOIN c ON v.document_id = c.document_id AND v.v = c.c""")
-def q12(spark, d):
-    """Tables of a paper's documents in which an extracted value stands: values and cells of one decimal, compared as they are by the SQL."""
-    one = r"^[0-9]+\.[0-9]$"
-    values = table(spark, d, "extraction_values").where(F.col("value").rlike(one)).select("document_id", "item_id", F.col("value").cast("double").alias("v")).distinct()
-    cells = _table_rows(spark, d).where(F.col("cell").rlike(one)).join(table(spark, d, "documents").select("doc_id", "document_id"), "doc_id").select("document_id", "doc_id", "table_number", F.col("cell").cast("double").alias("v")).distinct()
-    return values.join(cells, ["document_id", "v"]).select("item_id", "doc_id", "table_number").distinct()
-
-
 def _written_values(spark, d) -> DataFrame:
     """(document_id, item_id, v) of every value with a number in it: read whole, else without spread, range and bound, else before its unit."""
     c = F.col("value")
@@ -190,36 +176,31 @@ def _written_values(spark, d) -> DataFrame:
     return table(spark, d, "extraction_values").select("document_id", "item_id", v.alias("v")).where("v is not null").distinct()
 
 
-@query("q12b_table_hits_all")
-def q12b(spark, d):
-    """For each extracted value the tables of its paper's documents with a cell that has a number within 1e-4 of it, none included; all written forms on both sides."""
+#: the number of a value: read whole, else without spread, range and bound, else before its unit
+_CENTRAL = r"regexp_replace(regexp_replace(regexp_replace(value, '[" + _PLAIN_B + r"]*(±|\+/-).*$', ''), '[" + _PLAIN_B + r"]*\(.*\)[" + _PLAIN_B + r"]*$', ''), '^[" + _PLAIN_B + r"]*([<>≤≥~]|ca\.|approx\.|below|above)[" + _PLAIN_B + r"]*|[" + _PLAIN_B + r"]+$', '', 'g')"
+_WRITTEN = f"""o AS (SELECT document_id, item_id, value, {_V} AS v1, {_SQL_NUM.format(e=_SQL_EXP.format(c=_STRIPPED.format(c=_CENTRAL)))} AS v2, {NUMBER_PLAIN.format(v="coalesce(value, '')")} AS plain FROM extraction_values),
+v AS (SELECT DISTINCT document_id, item_id, coalesce({_SQL_FLOAT.format(n='v1')}, {_SQL_FLOAT.format(n='v2')}, {NUMBER_SQL}) AS v FROM o WHERE value IS NOT NULL)"""
+_CELLS = r"""cells AS (SELECT doc_id, table_number, unnest(list_transform(regexp_extract_all(body, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda x: regexp_replace(x, '<[^>]+>', '', 'g'))) AS cell FROM tabs),
+ns AS (SELECT DISTINCT e.document_id, doc_id, table_number, unnest(""" + _SQL_TOKENS.format(e=_SQL_EXP.format(c="cell")) + r""") AS n FROM cells JOIN documents e USING (doc_id))"""
+
+
+@query("q12_table_hits", "WITH " + _SQL_TABLES + ", " + _WRITTEN + ", " + _CELLS + " SELECT DISTINCT v.item_id, ns.doc_id, ns.table_number FROM v JOIN ns USING (document_id) WHERE v.v IS NOT NULL AND CASE WHEN v.v = 0 THEN abs(ns.n) < 1e-12 ELSE abs(ns.n - v.v) / abs(v.v) <= 1e-4 END")
+def q12(spark, d):
+    """The tables of its paper's documents with a number within 1e-4 of an extracted value, in all written forms on both sides."""
     docs = table(spark, d, "documents").select("document_id", "doc_id", F.explode(markup.tables(F.col("text"))).alias("t"))
     cells = docs.select("document_id", "doc_id", F.col("t.number").alias("table_number"), F.explode(markup.cells(F.col("t.body"))).alias("cell"))
     numbers = cells.select("document_id", "doc_id", "table_number", F.explode(measures.numbers_in(F.col("cell"))).alias("n")).distinct()
-    values = cut(_written_values(spark, d))  # parsed once, for the search and for the values that it doesn't find
-    hits = matching.relative_match(values, numbers, ["document_id"], "v", "n").groupBy("document_id", "item_id", "v").agg(F.array_sort(F.collect_set(F.struct("doc_id", "table_number"))).alias("tables"))
-    return values.join(hits, ["document_id", "item_id", "v"], "left").select("item_id", "v", F.coalesce("tables", F.array().cast("array<struct<doc_id:bigint,table_number:int>>")).alias("tables"))
+    return matching.relative_match(_written_values(spark, d), numbers, ["document_id"], "v", "n").select("item_id", "doc_id", "table_number").distinct()
 
 
-@query("q13_page_attribution", f"""WITH n AS (SELECT c.context_id, c.document_id, c.page_number, {_SQL_TOKENS.format(e=_SQL_EXP.format(c='c.context'))} AS ns FROM contexts c WHERE context IS NOT NULL),
-v AS (SELECT DISTINCT document_id, item_id, value::DOUBLE AS v FROM extraction_values WHERE regexp_matches(value, '^[0-9]+(\\.[0-9]+)?$') AND value::DOUBLE <> 0),
-s AS (SELECT v.item_id, n.page_number, list_min(list_transform(ns, lambda x: abs(x - v.v) / abs(v.v))) AS e FROM v JOIN n USING (document_id)),
-p AS (SELECT item_id, page_number, max(CASE WHEN e IS NULL THEN 0.1 WHEN e <= 1e-4 THEN 1.0 ELSE greatest(0.1, 1 / (1 + e)) END) AS score FROM s GROUP BY ALL),
+@query("q13_page_attribution", f"""WITH n AS (SELECT c.context_id, c.document_id, c.page_number, {_SQL_TOKENS.format(e=_SQL_EXP.format(c='c.context'))} AS ns FROM contexts c WHERE context IS NOT NULL), {_WRITTEN},
+s AS (SELECT v.item_id, n.page_number, v.v, CASE WHEN v.v <> 0 THEN list_min(list_transform(ns, lambda x: abs(x - v.v) / abs(v.v))) END AS e, len(list_filter(ns, lambda x: abs(x) < 1e-12)) > 0 AS z FROM v JOIN n USING (document_id) WHERE v.v IS NOT NULL),
+p AS (SELECT item_id, page_number, max(CASE WHEN v = 0 THEN CASE WHEN z THEN 1.0 ELSE 0.1 END WHEN e IS NULL THEN 0.1 WHEN e <= 1e-4 THEN 1.0 ELSE greatest(0.1, 1 / (1 + e)) END) AS score FROM s GROUP BY ALL),
 b AS (SELECT item_id, max(score) AS best FROM p GROUP BY item_id),
 w AS (SELECT p.item_id, min(p.page_number) AS page_number FROM p JOIN b USING (item_id) WHERE p.score = b.best GROUP BY ALL)
 SELECT p.item_id, w.page_number, count(*) AS n_pages, CASE count(*) WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'ambiguous' END AS tier
 FROM p JOIN b USING (item_id) JOIN w USING (item_id) WHERE p.score >= b.best - 0.05 GROUP BY p.item_id, w.page_number, b.best""")
 def q13(spark, d):
-    """The scan page on which a value stands best, by value alone: plain positive numbers, which the SQL casts."""
-    pages = table(spark, d, "contexts").where("context is not null").select("document_id", "page_number", measures.numbers_in(F.col("context")).alias("ns"))
-    values = table(spark, d, "extraction_values").where(F.col("value").rlike(r"^[0-9]+(\.[0-9]+)?$")).select("document_id", "item_id", F.col("value").cast("double").alias("v")).where("v <> 0").distinct()
-    scores = values.join(pages, "document_id").select("item_id", "page_number", measures.numeric_score(F.col("v"), F.col("ns")).alias("score")).groupBy("item_id", "page_number").agg(F.max("score").alias("score"))
-    out = curate.attribute_pages(scores, "item_id", "page_number", "score")
-    return out.select("item_id", "page_number", F.size("pages").cast("bigint").alias("n_pages"), "tier")
-
-
-@query("q13b_page_attribution_all")
-def q13b(spark, d):
     """The scan page on which a value stands best, by value alone, of every value with a number in it."""
     pages = table(spark, d, "contexts").where("context is not null").select("document_id", "page_number", measures.numbers_in(F.col("context")).alias("ns"))
     scores = _written_values(spark, d).join(pages, "document_id").select("item_id", "page_number", measures.numeric_score(F.col("v"), F.col("ns")).alias("score")).groupBy("item_id", "page_number").agg(F.max("score").alias("score"))
@@ -267,8 +248,7 @@ def q19(spark, d):
     return table(spark, d, "papers").select("document_id", "extraction_location").where(~F.lower("extraction_location").rlike("figure|supplement|archive|author"))
 
 
-@query("q20_unit_conversion", """SELECT p.measurement_id, round(try_cast(p.value AS DOUBLE) * coalesce(c.factor, 1.0), 6) AS converted FROM probe_dataset p LEFT JOIN (SELECT attribute, unit, factor FROM attribute_catalogue WHERE unit IS NOT NULL) c ON p.attribute = c.attribute AND p.units = c.unit
-WHERE p.value IS NULL OR NOT regexp_matches(p.value, '[_dDfF]')""")
+@query("q20_unit_conversion", """SELECT p.measurement_id, round(try_cast(CASE WHEN NOT regexp_matches(p.value, '[_dDfF]') THEN p.value END AS DOUBLE) * coalesce(c.factor, 1.0), 6) AS converted FROM probe_dataset p LEFT JOIN (SELECT attribute, unit, factor FROM attribute_catalogue WHERE unit IS NOT NULL) c ON p.attribute = c.attribute AND p.units = c.unit""")
 def q20(spark, d):
     """Values times their unit's factor, unknown units as they are; null where the value is no number, 1d and 1f included."""
     rows = table(spark, d, "probe_dataset").withColumn("value", F.when(~F.col("value").rlike("[_dDfF]"), F.col("value")))
@@ -286,7 +266,7 @@ def q21(spark, d):
 
 # ---- joins of provenance ------------------------------------------------------------------------------------------------------
 
-_EAV_SQL = """eav AS (SELECT l_orderkey, l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS entity_id, l_partkey, l_suppkey, attribute, value, l_orderkey::VARCHAR || '-' || l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR || '-' || l_linenumber::VARCHAR || '-' || attribute AS id
+_EAV_SQL = """eav AS MATERIALIZED (SELECT l_orderkey, l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS entity_id, l_partkey, l_suppkey, attribute, value, l_orderkey::VARCHAR || '-' || l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR || '-' || l_linenumber::VARCHAR || '-' || attribute AS id
  FROM (SELECT *, unnest(['quantity', 'price', 'discount', 'tax']) AS attribute, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value FROM lineitem))"""
 
 
@@ -335,7 +315,7 @@ def q25(spark, d):
 # ---- matching and metrics -----------------------------------------------------------------------------------------------------
 
 #: predictions: every seventh part left out, every fifth supplier's values shifted, others within the band
-_PRED_SQL = _EAV_SQL + """, pred AS (SELECT l_orderkey, entity_id, attribute, l_partkey, id, CASE WHEN l_suppkey % 5 = 0 THEN value + 1 ELSE value + 0.0004 END AS value FROM eav WHERE l_partkey % 7 <> 0),
+_PRED_SQL = _EAV_SQL + """, pred AS MATERIALIZED (SELECT l_orderkey, entity_id, attribute, l_partkey, id, CASE WHEN l_suppkey % 5 = 0 THEN value + 1 ELSE value + 0.0004 END AS value FROM eav WHERE l_partkey % 7 <> 0),
 edges AS (SELECT g.id AS gt_idx, p.id AS ex_idx FROM eav g JOIN pred p ON g.entity_id = p.entity_id AND g.attribute = p.attribute AND abs(g.value - p.value) <= 0.001)"""
 
 
@@ -412,7 +392,7 @@ _WILSON_SQL = "round(p, 6) AS {n}, round((p + 1.959963984540054 ** 2 / (2 * n) -
 def q32(spark, d):
     """Recovery and validity with Wilson intervals."""
     gt, ex, edges = _sides(spark, d)
-    edges = edges.persist()
+    edges = cut(edges)
     r = evaluate.rate(evaluate.flagged(gt, "gt_idx", edges, "gt_idx", "hit"), F.col("hit"), "recovery")
     v = evaluate.rate(evaluate.flagged(ex, "ex_idx", edges, "ex_idx", "hit"), F.col("hit"), "validity")
     both = r.crossJoin(F.broadcast(v))  # one row each
@@ -423,7 +403,7 @@ def q32(spark, d):
 SELECT coalesce(g.l_orderkey, x.l_orderkey) AS l_orderkey, coalesce(n_gt, 0) AS n_gt, coalesce(n_ex, 0) AS n_ex, round(recovery, 6) AS recovery, round(coalesce(hallucination, 0), 6) AS hallucination FROM g FULL JOIN x ON g.l_orderkey = x.l_orderkey""")
 def q32b(spark, d):
     gt, ex, edges = _sides(spark, d)
-    edges = edges.persist()
+    edges = cut(edges)
     g = evaluate.flagged(gt, "gt_idx", edges, "gt_idx", "hit").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_gt"), F.avg(F.col("hit").cast("int")).alias("recovery"))
     x = evaluate.flagged(ex, "ex_idx", edges, "ex_idx", "hit").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_ex"), (1 - F.avg(F.col("hit").cast("int"))).alias("hallucination"))
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -577,18 +557,8 @@ def q48(spark, d):
     return grouping.knn_fill(rows, "vec_id", [f"x{i}" for i in range(n)])
 
 
-@query("q49_centroid_distance", "SELECT count(DISTINCT label)::INT AS labels, 0.0::DOUBLE AS distance FROM embeddings WHERE label < 5")
+@query("q49_centroid_distance")
 def q49(spark, d):
-    """Distance of the label means to themselves in another order: nothing, under the best assignment."""
-    rows = table(spark, d, "embeddings").where("label < 5").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
-    got = bounded_rows(rows, 8, "the table of centroids")
-    points = np.array([[x.m for x in r.c] for r in sorted(got, key=lambda r: r.label)])
-    distance = grouping.centroid_distance(points, points[::-1]) if len(points) else 0.0
-    return spark.createDataFrame([(len(points), round(distance, 4) + 0.0)], "labels int, distance double")
-
-
-@query("q49b_centroid_distance_all")
-def q49b(spark, d):
     """Mean distance of the label means, of all labels, to the centres of as many fitted clusters, under the best assignment."""
     rows = table(spark, d, "embeddings").where("label is not null and embedding is not null")
     means = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
@@ -606,15 +576,8 @@ def q50(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(p, 6).alias("p"))
 
 
-@query("q51_central_value", r"""SELECT DISTINCT item_id, regexp_replace(regexp_replace(regexp_replace(value, '\s*(±|\+/-).*$', ''), '\s*\(.*\)\s*$', ''), '^\s*([<>≤≥~]|ca\.|approx\.|below|above)\s*|\s+$', '', 'g') AS central FROM extraction_values WHERE value IS NOT NULL AND NOT regexp_matches(value, '[\x{00A0}\x{202F}]')""")
+@query("q51_central_value", f"SELECT DISTINCT item_id, {_CENTRAL} AS central FROM extraction_values WHERE value IS NOT NULL")
 def q51(spark, d):
-    """Central values of those without no-break blanks, which the SQL leaves out."""
-    rows = table(spark, d, "extraction_values").where("value is not null").where(~F.col("value").rlike(r"[\x{00A0}\x{202F}]"))
-    return rows.select("item_id", measures.central_value(F.col("value")).alias("central")).distinct()
-
-
-@query("q51b_central_value_all")
-def q51b(spark, d):
     return table(spark, d, "extraction_values").where("value is not null").select("item_id", measures.central_value(F.col("value")).alias("central")).distinct()
 
 

@@ -1,10 +1,10 @@
 import pytest
 
-from tarnflow.queries import core_problems, reference
+from tarnflow.queries import core_problems, curation, reference
 from tests.oracle import both
 
-ALL = {**reference.QUERIES, **core_problems.QUERIES}
-SQL = {**reference.SQL, **core_problems.SQL}
+ALL = {**reference.QUERIES, **curation.QUERIES, **core_problems.QUERIES}
+SQL = {**reference.SQL, **curation.SQL, **core_problems.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -13,9 +13,12 @@ def test_query_gives_the_rows_of_its_sql(spark, small, name):
     assert left == right
 
 
-@pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL) - {"q44_probe_calibrated"}))
-def test_query_without_sql_gives_rows(spark, small, name):
-    assert ALL[name](spark, small).count() > 0
+@pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL)))
+def test_query_without_sql_gives_the_same_rows_again(spark, small, name):
+    first = sorted(map(str, ALL[name](spark, small).collect()))
+    assert first
+    if name != "q52_pipeline":  # slow, and its stub answers by the prompt
+        assert sorted(map(str, ALL[name](spark, small).collect())) == first
 
 
 def test_entry(spark, small):
