@@ -1,8 +1,8 @@
 """Duplicates hidden by formatting: Merkle-style hashing of nested records.
 
 Leaves are normalised and hashed, the digests of an unordered node's children are sorted before they are hashed in turn, and rows are
-grouped by the root digest. Every group is confirmed by comparing its normalised records in full; where two different records share a
-digest, that group is parted by the records themselves.
+grouped by the root digest. Every group of more than one row is confirmed by comparing its normalised records in full, which also parts
+different records that share a digest.
 """
 
 from __future__ import annotations
@@ -36,14 +36,14 @@ def copy_classes(rows: DataFrame, key: str, fields: Mapping[str, str]) -> DataFr
     their own. An empty table gives an empty one; other columns, whatever their names, play no part.
     """
     digest, whole = record(fields)
-    hashed = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), digest.alias("__digest"), whole.alias("__whole"))
-    groups = hashed.groupBy("__digest").agg(F.min("__key").alias("__first"), F.count(F.lit(1)).alias("__copies"), F.min("__whole").alias("__low"), F.max("__whole").alias("__high"))
-    groups = groups.select("__digest", "__first", "__copies", (F.col("__low") != F.col("__high")).alias("__clash"))
-    joined = hashed.join(groups, "__digest")
-    sure = joined.where("not __clash").select(F.col("__key").alias(key), F.col("__first").alias("first"), F.col("__copies").alias("copies"))
-    clashing = joined.where("__clash").select("__key", "__whole")
-    parted = clashing.groupBy("__whole").agg(F.min("__key").alias("__first"), F.count(F.lit(1)).alias("__copies"))
-    return sure.unionByName(clashing.join(parted, "__whole").select(F.col("__key").alias(key), F.col("__first").alias("first"), F.col("__copies").alias("copies")))
+    usable = rows.where(F.col(key).isNotNull())
+    groups = usable.select(F.col(key).alias("__key"), digest.alias("__digest")).groupBy("__digest").agg(F.min("__key").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    alone = groups.where("__n = 1").select(F.col("__first").alias(key), F.col("__first").alias("first"), F.lit(1).cast("bigint").alias("copies"))
+    # only rows that share a digest are compared in full, by their normalised records
+    shared = usable.select(F.col(key).alias("__key"), digest.alias("__digest"), whole.alias("__whole")).join(groups.where("__n > 1").select("__digest"), "__digest", "left_semi")
+    sets = shared.groupBy("__digest", "__whole").agg(F.min("__key").alias("__first"), F.count(F.lit(1)).alias("__copies"))
+    joined = shared.join(sets, ["__digest", "__whole"])
+    return alone.unionByName(joined.select(F.col("__key").alias(key), F.col("__first").alias("first"), F.col("__copies").alias("copies")))
 
 
 def collapsed(rows: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:

@@ -37,7 +37,7 @@ def p2_split(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     classes = copies.copy_classes(table(spark, d, "entities"), "row_id", ENTITY_FIELDS)
-    return classes.where("row_id <> first").select(F.col("first").alias("row_id"), F.col("row_id").alias("copy_row_id"))
+    return classes.where("copies > 1 and row_id <> first").select(F.col("first").alias("row_id"), F.col("row_id").alias("copy_row_id"))
 
 
 def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
