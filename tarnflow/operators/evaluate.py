@@ -72,6 +72,11 @@ def ece(df: DataFrame, p: str, y: str, bins: int = 10, by: Sequence[str] = ()) -
     return joined.select(*by, (F.col("__gap") / F.col("__all")).alias("ece"))
 
 
+def _range(p: Column) -> Column:
+    """One of 66 ranges of scores, in order; scores outside of [0, 1) are in the first and the last."""
+    return F.least(F.greatest(F.floor(p * 64), F.lit(-1)), F.lit(64))
+
+
 def auroc(df: DataFrame, p: str, y: str) -> DataFrame:
     """One row auroc, by the rank sum over distinct scores; ties count half.
 
@@ -79,7 +84,7 @@ def auroc(df: DataFrame, p: str, y: str) -> DataFrame:
     parallel, each offset by the negatives before it.
     """
     per = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("neg", F.col("n") - F.col("pos")).withColumn("__r", F.floor(F.col("__p") * 64))
+    per = per.withColumn("neg", F.col("n") - F.col("pos")).withColumn("__r", _range(F.col("__p")))
     ranges = per.groupBy("__r").agg(F.sum("neg").alias("__neg"))
     before = ranges.withColumn("__before", F.coalesce(F.sum("__neg").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__r", "__before")
     below = F.coalesce(F.sum("neg").over(Window.partitionBy("__r").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__before")
@@ -90,7 +95,7 @@ def auroc(df: DataFrame, p: str, y: str) -> DataFrame:
 def pr_curve(df: DataFrame, p: str, y: str) -> DataFrame:
     """(threshold, precision, recall) at each distinct score, rows at or over it predicted true."""
     per = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).alias("threshold")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("__r", F.floor(F.col("threshold") * 64))
+    per = per.withColumn("__r", _range(F.col("threshold")))
     ranges = per.groupBy("__r").agg(F.sum("pos").alias("__pos"), F.sum("n").alias("__n"))
     over = Window.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)  # over ranges of scores
     above = ranges.select("__r", F.coalesce(F.sum("__pos").over(over), F.lit(0)).alias("__pos"), F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__n"))
@@ -202,7 +207,7 @@ def auroc_by(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame
     if not keys:
         return auroc(df, p, y)
     per = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(p).alias("__p")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("neg", F.col("n") - F.col("pos")).withColumn("__r", F.floor(F.col("__p") * 64))
+    per = per.withColumn("neg", F.col("n") - F.col("pos")).withColumn("__r", _range(F.col("__p")))
     ranges = per.groupBy(*keys, "__r").agg(F.sum("neg").alias("__neg"))
     before = ranges.withColumn("__before", F.coalesce(F.sum("__neg").over(Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__neg")
     below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys, "__r").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__before")

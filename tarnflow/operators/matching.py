@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.functions.fuzzy import similarity
+from tarnflow.runtime import cut
 
 
 def normal(c: Column) -> Column:
@@ -101,26 +102,44 @@ def assignment(weights: list[list[float]]) -> list[int]:
     return out
 
 
-def best_matching(edges: DataFrame, group: Sequence[str]) -> DataFrame:
+def best_matching(edges: DataFrame, group: Sequence[str], rounds: int = 100) -> DataFrame:
     """(group, gt_idx, ex_idx, weight): the one-to-one edges of greatest total weight within each group.
 
-    Groups are those of the strict keys (a document's attribute); one group must fit a task.
+    A group falls into components that share no end, and only a component meets in a task, where it is solved exactly. Components are found by
+    passing the least end along the edges until nothing changes. Of repeated edges the heaviest counts; null ends and weights that aren't over 0 are no edges.
     """
-    packed = edges.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("gt_idx", "ex_idx", "weight"))).alias("__edges"))
+    keys = list(group)
+    usable = edges.where(F.col("gt_idx").isNotNull() & F.col("ex_idx").isNotNull() & (F.col("weight") > 0)).groupBy(*keys, "gt_idx", "ex_idx").agg(F.max("weight").alias("weight"))
+    rows = cut(usable.withColumn("__c", F.xxhash64(*keys, "gt_idx")))
+    last = None
+    for _ in range(rounds):
+        rows = rows.withColumn("__c", F.min("__c").over(Window.partitionBy(*keys, "ex_idx")))
+        rows = cut(rows.withColumn("__c", F.min("__c").over(Window.partitionBy(*keys, "gt_idx"))))
+        state = rows.agg(F.sum(F.col("__c").cast("decimal(38,0)"))).first()[0]
+        if state == last:
+            break
+        last = state
+    else:
+        raise RuntimeError(f"components not found after {rounds} rounds")
     kind = {c: edges.schema[c].dataType.simpleString() for c in ("gt_idx", "ex_idx")}
-    schema = ", ".join(f"`{g}` {edges.schema[g].dataType.simpleString()}" for g in group) + f", gt_idx {kind['gt_idx']}, ex_idx {kind['ex_idx']}, weight double"
+    schema = ", ".join(f"`{g}` {edges.schema[g].dataType.simpleString()}" for g in keys) + f", gt_idx {kind['gt_idx']}, ex_idx {kind['ex_idx']}, weight double"
+    # most components are a single edge, which needs no solving
+    sizes = rows.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__n"))
+    sized = rows.join(sizes, [*keys, "__c"])
+    alone = sized.where("__n = 1").select(*keys, "gt_idx", "ex_idx", F.col("weight").cast("double").alias("weight"))
+    packed = sized.where("__n > 1").groupBy(*keys, "__c").agg(F.sort_array(F.collect_list(F.struct("gt_idx", "ex_idx", "weight"))).alias("__edges"))
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for keys, found in zip(zip(*(f[g] for g in group)), f["__edges"]):
+            for *ids, found in zip(*(f[g] for g in keys), f["__edges"]):
                 triples = [(e["gt_idx"], e["ex_idx"], e["weight"]) for e in found]
-                rows, cols = list(dict.fromkeys(a for a, _, _ in triples)), sorted({b for _, b, _ in triples})
-                at_r, at_c = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
-                w = [[0.0] * len(cols) for _ in rows]
+                left, right = list(dict.fromkeys(a for a, _, _ in triples)), sorted({b for _, b, _ in triples})
+                at_l, at_r = {x: i for i, x in enumerate(left)}, {x: i for i, x in enumerate(right)}
+                w = [[0.0] * len(right) for _ in left]
                 for a, b, x in triples:
-                    w[at_r[a]][at_c[b]] = max(w[at_r[a]][at_c[b]], x)
-                out += [(*keys, rows[i], cols[j], w[i][j]) for i, j in enumerate(assignment(w)) if j >= 0]
-            yield pd.DataFrame(out, columns=[*group, "gt_idx", "ex_idx", "weight"])
+                    w[at_l[a]][at_r[b]] = x
+                out += [(*ids, left[i], right[j], w[i][j]) for i, j in enumerate(assignment(w)) if j >= 0]
+            yield pd.DataFrame(out, columns=[*keys, "gt_idx", "ex_idx", "weight"])
 
-    return packed.mapInPandas(solve, schema)
+    return alone.unionByName(packed.mapInPandas(solve, schema))

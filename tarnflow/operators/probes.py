@@ -42,7 +42,7 @@ def calibrated_probabilities(df: DataFrame, key: str, features: str, label: str,
 
     Groups never straddle folds if fold comes from a grouped split, so neither the probe nor its calibration sees the group it scores.
     """
-    data = df.select(key, F.col(label).cast("double").alias("__y"), F.col(fold).alias("__fold"), array_to_vector(F.col(features).cast("array<double>")).alias("__raw")).persist()
+    data = df.select(key, F.col(label).cast("double").alias("__y"), F.col(fold).alias("__fold"), array_to_vector(F.col(features).cast("array<double>")).alias("__raw"))
     out = None
     for i in range(folds):
         held, tune = data.where(F.col("__fold") == i), data.where(F.col("__fold") == (i + 1) % folds)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import markup
 from tarnflow.operators import tables as table_operators
-from tarnflow.runtime import cut
+from tarnflow.runtime import cut, small
 
 Client = Callable[[list[str]], list[str]]
 
@@ -192,7 +192,7 @@ def extracted_pairs(wholes: DataFrame, attributes: DataFrame, client: Client) ->
     listed = F.broadcast(attributes.agg(F.array_join(F.array_sort(F.collect_list("attribute")), ", ").alias("listed")))  # one row
     rows = wholes.crossJoin(listed).select("document_id", _prompt("pairs", F.col("text"), ("Attributes", F.col("listed"))).alias("prompt"))
     got = complete(rows, "prompt", f"struct<items:array<struct<{fields}>>>", client, ["items"], retries=4, keep_prompt=False).where("ok")
-    pairs = got.select("document_id", F.posexplode("parsed.items").alias("n", "i")).select("document_id", "n", "i.*").join(F.broadcast(attributes.select("attribute")), "attribute")
+    pairs = got.select("document_id", F.posexplode("parsed.items").alias("n", "i")).select("document_id", "n", "i.*").join(small(attributes.select("attribute")), "attribute")
     first = pairs.groupBy("document_id", F.struct(*_ENTITY).alias("e")).agg(F.min("n").alias("first"))
     keyed = pairs.withColumn("e", F.struct(*_ENTITY)).join(first, ["document_id", "e"])
     return keyed.select("document_id", F.concat(F.lit("doc_"), "document_id", F.lit("_entity_"), F.col("first").cast("string")).alias("entity_id"), *_ENTITY, "attribute").distinct()
@@ -294,7 +294,7 @@ def detected_attributes(wholes: DataFrame, attributes: DataFrame, client: Client
     rows = wholes.crossJoin(listed).select("document_id", _prompt("attributes", F.col("text"), ("Attributes", F.col("listed"))).alias("prompt"))
     got = complete(rows, "prompt", "struct<items:array<struct<attribute_name:string,detected:boolean>>>", client, ["items"], retries=4, keep_prompt=False).where("ok")
     items = got.select("document_id", F.explode("parsed.items").alias("i")).where("i.detected").select("document_id", F.col("i.attribute_name").alias("attribute"))
-    return items.join(F.broadcast(attributes.select("attribute")), "attribute").select("document_id", "attribute").distinct()
+    return items.join(small(attributes.select("attribute")), "attribute").select("document_id", "attribute").distinct()
 
 
 def run(entities: DataFrame, attributes: DataFrame, documents: DataFrame, entity_known: DataFrame, attribute_known: DataFrame, events_known: DataFrame, client: Client, variant: Variant = Variant(), search: bool = True) -> DataFrame:
@@ -307,7 +307,7 @@ def run(entities: DataFrame, attributes: DataFrame, documents: DataFrame, entity
     named = entities.groupBy("document_id", "entity_id").agg(F.min(F.struct(*_ENTITY)).alias("e")).select("document_id", "entity_id", "e.*")
     keys = named.select("document_id", "entity_id").unionByName(entity_known.select("document_id", "entity_id")).distinct()
     named = keys.join(named, ["document_id", "entity_id"], "left")
-    described = F.broadcast(attributes)  # the fixed catalogue
+    described = small(attributes)
     columns = ["page_number", "table_number"]
     e_prov, a_prov = entity_known.select("document_id", "entity_id", *columns), attribute_known.select("document_id", "attribute", *columns)
     if search:

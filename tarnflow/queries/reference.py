@@ -20,7 +20,7 @@ from tarnflow.operators import curate, dedupe, evaluate, grouping, matching, pro
 from tarnflow.operators.units import lexicon_of
 from tarnflow.plans import extraction, judging
 from tarnflow.queries.core_problems import NUMBER_PLAIN, NUMBER_SQL
-from tarnflow.runtime import bounded_rows, cut
+from tarnflow.runtime import bounded_rows, cut, small
 from tarnflow.sources import runs
 from tarnflow.sources.tables import table
 
@@ -252,14 +252,14 @@ def q19(spark, d):
 def q20(spark, d):
     """Values times their unit's factor, unknown units as they are; null where the value is no number, 1d and 1f included."""
     rows = table(spark, d, "probe_dataset").withColumn("value", F.when(~F.col("value").rlike("[_dDfF]"), F.col("value")))
-    factors = F.broadcast(table(spark, d, "attribute_catalogue").where("unit is not null").select("attribute", F.col("unit").alias("units"), "factor"))  # the fixed catalogue
+    factors = small(table(spark, d, "attribute_catalogue").where("unit is not null").select("attribute", F.col("unit").alias("units"), "factor"))
     return rows.join(factors, ["attribute", "units"], "left").select("measurement_id", F.round(F.col("value").try_cast("double") * F.coalesce("factor", F.lit(1.0)), 6).alias("converted"))
 
 
 @query("q21_unit_candidates", "SELECT p.measurement_id, count(*) AS n, min(c.unit) AS first_unit FROM probe_dataset p JOIN attribute_catalogue c ON p.attribute = c.attribute WHERE c.unit IS NOT NULL AND lower(c.unit) <> lower(coalesce(p.units, '')) GROUP BY ALL")
 def q21(spark, d):
     """Other units of the same attribute."""
-    units = F.broadcast(table(spark, d, "attribute_catalogue").where("unit is not null").groupBy("attribute").agg(F.collect_list("unit").alias("all_units")))
+    units = small(table(spark, d, "attribute_catalogue").where("unit is not null").groupBy("attribute").agg(F.collect_list("unit").alias("all_units")))
     rows = table(spark, d, "probe_dataset").join(units, "attribute").withColumn("others", F.filter("all_units", lambda u: F.lower(u) != F.lower(F.coalesce("units", F.lit("")))))
     return rows.where(F.size("others") > 0).select("measurement_id", F.size("others").cast("bigint").alias("n"), F.array_min("others").alias("first_unit"))
 

@@ -41,6 +41,11 @@ def bounded_rows(df: DataFrame, bound: int, what: str) -> list:
     return rows
 
 
+def small(df: DataFrame, bound: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has at most bound rows, else as it is, to be joined by shuffle; df should be cheap to count."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Partitions an explicit repartition should use: the session's setting, at least the cluster's parallelism."""
     spark = df.sparkSession
