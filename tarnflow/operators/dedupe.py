@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,7 +13,8 @@ def first_fit(df: DataFrame, group: Sequence[str], value: str, units: str, order
 
     Two values are equal if both are numbers with |a - kept| <= atol + rtol |kept|, else if their texts are equal without case and outer
     white space; units must be equal the same way. Equality of numbers isn't transitive, so the order counts. Equal texts are merged before
-    rows of a group meet; a group then holds its distinct written values with their provenance.
+    rows of a group meet, and a group is parted where two neighbouring numbers are too far apart for any values across the gap to be equal;
+    only such a part, or the rows of one text, meet in a task.
     """
     norm = lambda c: F.lower(F.trim(c.cast("string")))
     keys = list(group)
@@ -21,8 +22,16 @@ def first_fit(df: DataFrame, group: Sequence[str], value: str, units: str, order
     texts = df.groupBy(*keys, norm(F.col(value)).alias("__v"), norm(F.col(units)).alias("__u")).agg(
         F.min(F.struct(*order, F.col(value).alias("value"), F.col(units).alias("units"))).alias("__first"), F.collect_list(row).alias("__rows")
     )
+    number = F.col("__v").try_cast("double")
+    texts = texts.withColumn("__x", F.when(~F.isnan(number), number))
+    # equal values lie within the tolerance of the kept one; neighbours further apart than that of the greater part a group
+    near = Window.partitionBy(*keys, "__u").orderBy("__x")
+    gap = F.col("__x") - F.lag("__x").over(near)
+    opens = F.when(gap <= 1.001 * (atol + rtol * F.greatest(F.abs("__x"), F.abs(F.lag("__x").over(near)))), 0).otherwise(1)
+    numbers = texts.where("__x is not null").withColumn("__open", opens).withColumn("__part", F.sum("__open").over(near.rowsBetween(Window.unboundedPreceding, 0)).cast("string")).drop("__open")
+    texts = numbers.unionByName(texts.where("__x is null").withColumn("__part", F.concat(F.lit("t"), F.coalesce("__v", F.lit("")), F.col("__v").isNull().cast("string"))))
     item = F.struct(F.col("__first"), F.col("__v").alias("v"), F.col("__u").alias("u"), F.col("__v").try_cast("double").alias("n"), F.col("__rows").alias("rows"))
-    folded = texts.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    folded = texts.groupBy(*keys, "__u", "__part").agg(F.array_sort(F.collect_list(item)).alias("__items"))
 
     def same(kept: Column, x: Column) -> Column:
         numbers = kept["n"].isNotNull() & x["n"].isNotNull()

@@ -7,24 +7,18 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.operators.matching import assignment
-from tarnflow.runtime import bounded_rows, ranked
+from tarnflow.runtime import bounded_rows, ranked, running
 
 
-def holdout(df: DataFrame, group: str, order: Column, train: float, calibration: float, max_groups: int = 1_000_000) -> DataFrame:
-    """(group, n, split): groups in order fill train, then calibration, up to the rounded share of rows; the rest is test.
-
-    Only the groups' sizes are ordered in one window, at most max_groups rows; more is an error.
-    """
+def holdout(df: DataFrame, group: str, order: Column, train: float, calibration: float) -> DataFrame:
+    """(group, n, split): groups in order, ties by name, fill train, then calibration, up to the rounded share of rows; the rest is test."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.count() > max_groups:
-        raise ValueError(f"more than {max_groups} groups")
-    w = Window.orderBy(order)
     total = sizes.agg(F.sum("n").alias("__all"))
-    run = sizes.withColumn("__before", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).crossJoin(F.broadcast(total))
+    run = running(sizes, [order, F.col(group)], "n", "__before").crossJoin(F.broadcast(total))  # one row
     first, second = F.round(F.col("__all") * train), F.round(F.col("__all") * (train + calibration))
     return run.select(group, "n", F.when(F.col("__before") < first, "train").when(F.col("__before") < second, "calibration").otherwise("test").alias("split"))
 

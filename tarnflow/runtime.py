@@ -63,3 +63,17 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")  # one row per range
+
+
+def running(df: DataFrame, order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """df with the sum of value over all rows before each in order, without sorting it in one task; order should be total.
+
+    Rows are split by ranges of order and summed within; only one sum per range is added up in order.
+    """
+    placed = df.repartitionByRange(shuffle_width(df), *order).sortWithinPartitions(*order)
+    placed = cut(placed.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    sums = placed.groupBy("__part").agg(F.sum(value).alias("__n"))
+    before = sums.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumn("__in", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return inside.join(F.broadcast(before), "__part").withColumn(name, F.col("__base") + F.col("__in")).drop("__part", "__at", "__base", "__in")  # one row per range
