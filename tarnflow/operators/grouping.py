@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.operators.matching import assignment
-from tarnflow.runtime import bounded_rows, ranked, running
+from tarnflow.runtime import bounded_rows, cut, ranked, running
 
 
 def holdout(df: DataFrame, group: str, order: Column, train: float, calibration: float) -> DataFrame:
@@ -83,44 +83,56 @@ def standardized(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}")), F.when(F.col(c).isNotNull(), 0.0)) for c in columns}).drop(*(f"__{x}_{c}" for c in columns for x in "ms"))
 
 
-def knn_fill(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, max_rows: int = 200_000) -> DataFrame:
-    """df with nulls of columns filled by the k nearest rows that have the value, weighted by the inverse of the distance.
+def knn_fill(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, block_rows: int = 50_000) -> DataFrame:
+    """(key, columns as doubles) with nulls filled by the k nearest other rows that have the value, weighted by the inverse of the distance.
 
-    The distance leaves out coordinates that either row lacks and is scaled up for them; rows at distance 0 count alone. Without a donor the
-    column's mean is used. Donors are a bounded, checked table, sent to every task; the rows to fill stream past it.
+    The distance leaves out coordinates that either row lacks and is scaled up for them; rows at distance 0 count alone, ties go to the lesser
+    key. Without a donor the column's mean is used. Donors are sent to the rows to fill in blocks by hash, each of about block_rows rows; a row
+    keeps k neighbours of each block, so the result doesn't depend on the blocks. Keys must be unique and not null.
     """
-    donors = bounded_rows(df.select(key, *columns), max_rows, "the table of donors")
-    matrix = np.array([[np.nan if r[c] is None else float(r[c]) for c in columns] for r in donors], float).reshape(len(donors), len(columns))
-    keys = [r[key] for r in donors]
-    shared = df.sparkSession.sparkContext.broadcast((matrix, {x: i for i, x in enumerate(keys)}))
-    schema = df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).schema
-
-    def fill(frames):
-        m, at = shared.value
-        has = ~np.isnan(m)
-        means = np.array([m[has[:, j], j].mean() if has[:, j].any() else np.nan for j in range(m.shape[1])])
-        for f in frames:
-            x = f[list(columns)].to_numpy(float)
-            for i in np.flatnonzero(np.isnan(x).any(1)):
-                both = has & ~np.isnan(x[i])
-                count = both.sum(1)
-                d = np.sqrt(np.where(both, (m - np.where(np.isnan(x[i]), 0, x[i])) ** 2, 0).sum(1) * np.divide(m.shape[1], count, out=np.full(len(m), np.inf), where=count > 0))
-                d[count == 0] = np.inf
-                me = at.get(f[key].iloc[i])
-                if me is not None:
-                    d[me] = np.inf
-                for j in np.flatnonzero(np.isnan(x[i])):
-                    cand = np.flatnonzero(has[:, j] & np.isfinite(d))
-                    near = cand[np.argsort(d[cand], kind="stable")[:k]]
-                    if not len(near):
-                        x[i, j] = means[j]
-                    elif (d[near] == 0).any():
-                        x[i, j] = m[near[d[near] == 0], j].mean()
-                    else:
-                        x[i, j] = np.average(m[near, j], weights=1 / d[near])
-            yield pd.DataFrame({key: f[key].array, **{c: x[:, j] for j, c in enumerate(columns)}})
-
-    return df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).mapInPandas(fill, schema)
+    wide = cut(df.where(F.col(key).isNotNull()).select(key, *(F.col(c).cast("double").alias(c) for c in columns)))
+    lacks = F.lit(False)
+    for c in columns:
+        lacks = lacks | F.col(c).isNull()
+    open_ = wide.where(lacks)
+    blocks = max(1, -(-wide.count() // block_rows))
+    spark, kind = df.sparkSession, wide.schema[key].dataType.simpleString()
+    found = None
+    for b in range(blocks):
+        rows = bounded_rows(wide.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), 4 * block_rows, "a block of donors")
+        rows.sort(key=lambda r: r[key])
+        matrix = np.array([[np.nan if r[c] is None else r[c] for c in columns] for r in rows], float).reshape(len(rows), len(columns))
+        shared = spark.sparkContext.broadcast((matrix, [r[key] for r in rows]))
+
+        def near(frames, shared=shared):
+            m, keys = shared.value
+            has, at = ~np.isnan(m), {x: i for i, x in enumerate(keys)}
+            full = np.where(has, m, 0)
+            for f in frames:
+                out, x = [], f[list(columns)].to_numpy(float)
+                for row, me in zip(x, f[key].tolist()):
+                    both = has & ~np.isnan(row)
+                    count = both.sum(1)
+                    d = (np.where(both, full - np.nan_to_num(row), 0) ** 2).sum(1)
+                    d = np.where(count > 0, np.sqrt(d * len(columns) / np.maximum(count, 1)), np.inf)
+                    if me in at:
+                        d[at[me]] = np.inf
+                    for j in np.flatnonzero(np.isnan(row)):
+                        some = np.flatnonzero(has[:, j] & np.isfinite(d))
+                        out += [(me, int(j), float(d[i]), keys[i], float(m[i, j])) for i in some[np.argsort(d[some], kind="stable")[:k]]]
+                yield pd.DataFrame(out, columns=[key, "j", "d", "donor", "v"])
+
+        part = open_.mapInPandas(near, f"`{key}` {kind}, j int, d double, donor {kind}, v double")
+        found = part if found is None else found.unionByName(part)
+    best = F.slice(F.array_sort(F.collect_list(F.struct("d", "donor", "v"))), 1, k)
+    cells = found.groupBy(key, "j").agg(best.alias("n"))
+    equal = F.filter("n", lambda x: x["d"] == 0)
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
+    value = F.when(F.size(equal) > 0, total(equal, lambda x: x["v"]) / F.size(equal)).otherwise(total(F.col("n"), lambda x: x["v"] / x["d"]) / total(F.col("n"), lambda x: 1 / x["d"]))
+    filled = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("j", value.alias("v")))).alias("__m"))
+    means = wide.agg(*(F.avg(c).alias(f"__mean_{c}") for c in columns))
+    done = open_.join(filled, key, "left").crossJoin(F.broadcast(means))  # one row
+    return wide.where(~lacks).unionByName(done.select(key, *(F.coalesce(c, F.try_element_at("__m", F.lit(j)), f"__mean_{c}").alias(c) for j, c in enumerate(columns))))
 
 
 def centroid_distance(a: np.ndarray, b: np.ndarray) -> float:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import os
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -148,6 +149,16 @@ def write_stage(df: DataFrame, root: str, stage: str, resume: bool = True) -> Da
     return spark.read.parquet(path)
 
 
+def cached(spark: SparkSession, root: str, name: str, build: Callable[[], DataFrame], arguments: dict) -> DataFrame:
+    """The result of build, written once for each set of arguments and read afterwards; other arguments never give a stale result."""
+    digest = hashlib.sha256(json.dumps(arguments, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    path = f"{root}/{name}-{digest}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def provenance_key(text: str) -> tuple[int | str, ...]:
     """'doc|item' of stored provenance or 'doc|entity|attribute|page' of events, document and page as numbers where they are ones."""
     doc, *rest = text.split("|", 3) if text.count("|") >= 3 else text.split("|", 1)

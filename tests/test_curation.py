@@ -112,17 +112,17 @@ def test_best_columns_agree_with_dropping_row_by_row(spark):
 
 def test_probes_find_the_head_that_tells(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, head, i % 2, i % 5, (rng.normal(size=4) + (3 * (i % 2) if head == 1 else 0)).tolist()) for i in range(200) for head in range(3)]
+    rows = [(i, head, i % 2, i % 3, (rng.normal(size=4) + (3 * (i % 2) if head == 1 else 0)).tolist()) for i in range(120) for head in range(3)]
     df = spark.createDataFrame(rows, "id int, head int, y int, fold int, x array<double>")
-    scores = probes.head_scores(df, ["head"], "x", "y", "fold", 5)
+    scores = probes.head_scores(df, ["head"], "x", "y", "fold", 3)
     top = probes.top_heads(scores, 1, "f1", ["head"]).collect()
     assert top[0]["head"] == 1 and top[0].f1 > 0.95 and probes.best_layer(scores, "head", "f1").first()["head"] == 1
     one = df.where("head = 1")
-    p = {r.id: r.p for r in probes.calibrated_ensemble(one, one, "id", "x", "y", "fold", 5).collect()}
-    assert np.mean([(p[i] > 0.5) == (i % 2 == 1) for i in range(200)]) > 0.95
+    p = {r.id: r.p for r in probes.calibrated_ensemble(one, one, "id", "x", "y", "fold", 3).collect()}
+    assert np.mean([(p[i] > 0.5) == (i % 2 == 1) for i in range(120)]) > 0.95
     both = probes.joined_features(df, scores.where("head <> 0"), "id", ["head"], "x").first()
     assert len(both.x) == 8
-    assert probes.cv_scores(one, "x", "y", "fold", 5).where("f1 > 0.9").count() == 5
+    assert probes.cv_scores(one, "x", "y", "fold", 3).where("f1 > 0.9").count() == 3
 
 
 def test_standardised_columns_and_components(spark):
@@ -222,3 +222,42 @@ def test_human_judge_resumes(spark):
     assert sorted(r.k for r in rest.collect()) == [1, 3, 4]
     c = counts.first()
     assert (c.total, c.valid, c.invalid, c["skip"], c.open, c.deviation, c.hallucination) == (5, 0, 1, 1, 3, 1, 0)
+
+
+def test_nearest_neighbours_fill_alike_in_any_number_of_blocks(spark):
+    rng = random.Random(8)
+    rows = [(i, *(None if rng.random() < 0.25 else float(rng.randint(0, 4)) for _ in range(3))) for i in range(40)] + [(99, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double")
+
+    def brute(i, j):
+        me = next(r for r in rows if r[0] == i)
+        near = []
+        for r in rows:
+            both = [(x, y) for x, y in zip(me[1:], r[1:]) if x is not None and y is not None]
+            if r[0] != i and r[j] is not None and both:
+                near.append((((sum((x - y) ** 2 for x, y in both)) * 3 / len(both)) ** 0.5, r[0], r[j]))
+        near = sorted(near)[:5]
+        if not near:
+            known = [r[j] for r in rows if r[j] is not None]
+            return sum(known) / len(known)
+        same = [v for d, _, v in near if d == 0]
+        return sum(same) / len(same) if same else sum(v / d for d, _, v in near) / sum(1 / d for d, _, v in near)
+
+    for block in (1000, 7):
+        got = {r.k: r for r in grouping.knn_fill(df, "k", ["a", "b", "c"], block_rows=block).collect()}
+        assert len(got) == 41
+        for r in rows:
+            for j, c in enumerate("abc", 1):
+                assert got[r[0]][c] == pytest.approx(r[j] if r[j] is not None else brute(r[0], j))
+
+
+def test_cached_results_are_keyed_by_what_made_them(spark, tmp_path):
+    made = []
+
+    def build(n):
+        made.append(n)
+        return spark.range(n)
+
+    first = runs.cached(spark, str(tmp_path), "r", lambda: build(3), {"n": 3})
+    assert first.count() == 3 and runs.cached(spark, str(tmp_path), "r", lambda: build(3), {"n": 3}).count() == 3 and made == [3]
+    assert runs.cached(spark, str(tmp_path), "r", lambda: build(4), {"n": 4}).count() == 4 and made == [3, 4]
