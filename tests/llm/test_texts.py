@@ -171,3 +171,63 @@ def test_linkage_finds_planted_pairs(spark):
     got = {(x.entity_id, x.site_no) for x in linkage.link(e, v, r).collect()}
     assert len(got & truth) / len(truth) > 0.95 and len(got & truth) / len(got) > 0.95
     assert linkage.link(e.where("false"), v.where("false"), r.where("false")).count() == 0
+
+
+def test_other_items_never_change_a_leak(spark):
+    rng = random.Random(11)
+    items = [(i, passage(rng)) for i in range(6)]
+    docs = spark.createDataFrame([(i, "Some words before. " + t[: int(len(t) * 0.8)] + " and after.") for i, t in items], "doc_id bigint, text string")
+    alone = {}
+    for i, t in items:
+        for r in leaks.find_leaks(docs, spark.createDataFrame([(i, t)], "item_id bigint, text string")).collect():
+            alone[r.doc_id, r.item_id] = (r.item_start, r.share)
+    for chars in (10**9, 0):
+        got = leaks.find_leaks(docs, spark.createDataFrame([*items, (99, "lake pond may according sampled")], "item_id bigint, text string"), settings=leaks.Settings(broadcast_chars=chars)).collect()
+        assert {(r.doc_id, r.item_id): (r.item_start, r.share) for r in got} == alone and len(alone) == 6
+
+
+def test_the_bound_keeps_every_run_that_extension_finds():
+    rng = random.Random(12)
+    s = leaks.Settings()
+    for _ in range(60):
+        item = leaks.Item(1, passage(rng), s)
+        words = passage(rng).split() + item_text(item, rng) + passage(rng).split()
+        doc = leaks.normalised(" ".join(words))
+        h, at = leaks.fingerprints(doc, s.k, s.w)
+        hits = [(n, d) for n, x in enumerate(item.hashes.tolist()) for y, d in zip(h.tolist(), at.tolist()) if x == y]
+        if not hits:
+            continue
+        number, dpos = (leaks.np.array(x) for x in zip(*hits))
+        whole = item.leak(doc, number, dpos)
+        index = leaks.Index([item])
+        got = index.leaks(doc, h, at)
+        if whole and len({d - item.at[n] for n, d in hits}) == 1:  # on one diagonal the bound may not lose anything
+            assert got and got[0][2] == whole[1]
+
+
+def item_text(item, rng):
+    """A stretch of the item, of any length."""
+    a = rng.randint(0, max(0, len(item.text) - 20))
+    return [item.text[a : a + rng.randint(15, len(item.text))]]
+
+
+def test_running_lines_are_alike_and_page_numbers_run_on(spark):
+    keys = spark.createDataFrame([("snifusuleyetal", 9), ("snifusuleyetel", 1), ("snlfusuleyetal", 1), ("favusoeksenetal", 5), ("short", 3), ("shart", 1)], "key string, n bigint")
+    got = {r.key: r.like for r in scans.alike_keys(keys).collect()}
+    assert got["snifusuleyetel"] == got["snlfusuleyetal"] == got["snifusuleyetal"] == "snifusuleyetal"
+    assert got["favusoeksenetal"] == "favusoeksenetal" and got["shart"] == "shart"
+    # printed numbers are 100 ahead of the pages; a number alone on a line that fits no sequence is text
+    pages = [(i, "W1", i, f"Text of the page\n\nmore text here\n{100 + i}") for i in range(4)] + [(9, "W2", 5, "text\n\n1998\n\nmore text")]
+    df = spark.createDataFrame(pages, "context_id bigint, document_id string, page_number double, context string")
+    assert {r.document_id: r.offset for r in scans._offsets(df).collect()} == {"W1": 100}
+    kinds = {(r.context_id, r.line_no): r.kind for r in scans._lines(df.withColumn("page_number", df.page_number.cast("int"))).collect()}
+    assert all(kinds[i, 4] == "page_no" for i in range(4)) and kinds[9, 3] == "text"
+
+
+def test_very_long_words_and_lines_are_read(spark):
+    word = "sedimentation" * 10
+    broken = word.replace("m", "rn", 1)
+    lines = ["\n".join([f"The {word} was long and {'very ' * 60}long."] * 4)] * 5 + [f"The {broken} was seen."]
+    df = spark.createDataFrame([(i, f"W{i}", 1, t) for i, t in enumerate(lines)], "context_id bigint, document_id string, page_number int, context string")
+    found = {(r.context_id, r.kind, r.word) for r in scans.repair(df)[0].collect()}
+    assert (5, "misread", word) in found
