@@ -217,7 +217,7 @@ def test_running_lines_are_alike_and_page_numbers_run_on(spark):
     assert got["snifusuleyetel"] == got["snlfusuleyetal"] == got["snifusuleyetal"] == "snifusuleyetal"
     assert got["favusoeksenetal"] == "favusoeksenetal" and got["shart"] == "shart"
     # printed numbers are 100 ahead of the pages; a number alone on a line that fits no sequence is text
-    pages = [(i, "W1", i, f"Text of the page\n\nmore text here\n{100 + i}") for i in range(4)] + [(9, "W2", 5, "text\n\n1998\n\nmore text")]
+    pages = [(i, "W1", float(i), f"Text of the page\n\nmore text here\n{100 + i}") for i in range(4)] + [(9, "W2", 5.0, "text\n\n1998\n\nmore text")]
     df = spark.createDataFrame(pages, "context_id bigint, document_id string, page_number double, context string")
     assert {r.document_id: r.offset for r in scans._offsets(df).collect()} == {"W1": 100}
     kinds = {(r.context_id, r.line_no): r.kind for r in scans._lines(df.withColumn("page_number", df.page_number.cast("int"))).collect()}
