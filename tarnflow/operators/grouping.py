@@ -154,7 +154,7 @@ def weighted_kmeans(df: DataFrame, features: str, weight: str | None, k: int, se
     return model.fit(data)
 
 
-def best_columns(wide: DataFrame, columns: Sequence[str], key: str, sizes: Sequence[int] = (2, 3, 4, 5), most_missing: float = 0.2) -> DataFrame:
+def best_columns(wide: DataFrame, columns: Sequence[str], sizes: Sequence[int] = (2, 3, 4, 5), most_missing: float = 0.2) -> DataFrame:
     """(columns, rows, score) of every combination of columns with as many as one of sizes: rows that dense_rows keeps, score = rows times
     columns; the best first, ties by the names.
 

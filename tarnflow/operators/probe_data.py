@@ -98,7 +98,7 @@ def noised(valid: DataFrame, key: str, value: str, name: str, seed: int = 342, s
     }).drop("__new")
 
 
-def from_tables(valid: DataFrame, numbers: DataFrame, key: str, doc: str, pages: str, value: str, seed: int = 342) -> DataFrame:
+def from_tables(valid: DataFrame, numbers: DataFrame, doc: str, pages: str, value: str, seed: int = 342) -> DataFrame:
     """Records whose value is another number of their page's tables, else of their page's text, else of the paper's tables, else of its text.
 
     numbers: doc, page, source ('table' or 'text'), number (text). The number is chosen by hash among those that differ from the value;

@@ -55,7 +55,7 @@ def calibrated_probabilities(df: DataFrame, key: str, features: str, label: str,
     return out
 
 
-def _folds(df: DataFrame, features: str, label: str, fold: str, c: float, i: int):
+def _fitted_without(df: DataFrame, label: str, fold: str, c: float, i: int):
     """(scaler, model) fitted on all folds but i, over df with the column __raw."""
     return fit_probe(df.where(F.col(fold) != i), label, c)
 
@@ -69,7 +69,7 @@ def cv_scores(df: DataFrame, features: str, label: str, fold: str, folds: int, c
     data = with_vector(df, features).withColumn("__y", F.col(label).cast("double"))
     out = None
     for i in range(folds):
-        scaler, model = _folds(data, features, "__y", fold, c, i)
+        scaler, model = _fitted_without(data, "__y", fold, c, i)
         scored = model.transform(scaler.transform(data.where(F.col(fold) == i))).select(F.lit(i).alias("fold"), F.col("__y").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
         out = scored if out is None else out.unionByName(scored)
     return evaluate.probe_metrics(out, "p", "y", ["fold"]).select("fold", "n", "f1", "ece", "auroc")
@@ -153,7 +153,7 @@ def calibrated_ensemble(df: DataFrame, scored: DataFrame, key: str, features: st
     one = lambda d, scaler, model: _margin(model, scaler.transform(d)).withColumn("__m", array_to_vector(F.array("__margin")))
     parts = None
     for i in range(folds):
-        scaler, model = _folds(data, features, "__y", fold, c, i)
+        scaler, model = _fitted_without(data, "__y", fold, c, i)
         platt = LogisticRegression(featuresCol="__m", labelCol="__y", maxIter=100).fit(one(data.where(F.col(fold) == i), scaler, model))
         part = platt.transform(one(new, scaler, model)).select(key, vector_to_array("probability")[1].alias("p"))
         parts = part if parts is None else parts.unionByName(part)

@@ -392,7 +392,7 @@ def q94(spark, d):
     options = {r.attribute: r.u for r in units.collect()}  # the fixed catalogue
     swaps = probe_data.swapped(valid, "gt_row_index", "document_id", "page_number", ["value", "name"], options)
     noise = probe_data.noised(valid, "gt_row_index", "value", "name")
-    found = probe_data.from_tables(valid, _numbers(spark, d), "gt_row_index", "document_id", "page_number", "value")
+    found = probe_data.from_tables(valid, _numbers(spark, d), "document_id", "page_number", "value")
     return probe_data.probe_output(valid, swaps, noise, found, "gt_row_index").drop("page_number")
 
 
@@ -451,7 +451,7 @@ def q101(spark, d):
 @query("q102_best_columns")
 def q102(spark, d):
     """Every combination of two to four measured columns with the rows it keeps."""
-    return grouping.best_columns(_wide(spark, d), ["discount", "price", "quantity", "tax"], "l_orderkey", (2, 3, 4))
+    return grouping.best_columns(_wide(spark, d), ["discount", "price", "quantity", "tax"], (2, 3, 4))
 
 
 @query("q103_elbow")

@@ -70,7 +70,7 @@ def test_probe_records_differ_from_their_rows_and_stay_the_same(spark):
     assert all((got[k].value != r[4] and len(got[k].value.split(".")[1]) == 1) if r[4] != "n/a" else (got[k].value == "n/a" and got[k].name != r[2] and got[k].modification_type == "noise_name") for k, r in old.items())
     assert {r.k: r.value for r in probe_data.noised(valid.repartition(5), "k", "value", "name").collect()} == {k: r.value for k, r in got.items()}
     numbers = spark.createDataFrame([("d0", 0, "table", "5"), ("d0", 0, "table", "6"), ("d0", 1, "text", "7"), ("d1", 9, "text", "8"), ("d2", 9, "table", "9")], "doc string, page int, source string, number string")
-    tiers = {r.k: (r.value, r.modification_type) for r in probe_data.from_tables(valid, numbers, "k", "doc", "page_number", "value").collect()}
+    tiers = {r.k: (r.value, r.modification_type) for r in probe_data.from_tables(valid, numbers, "doc", "page_number", "value").collect()}
     assert set(tiers) == {k for k, r in old.items() if r[1] != "d3"}
     for k, (value, tier) in tiers.items():
         doc, page = old[k][1], old[k][6][0]
@@ -78,7 +78,7 @@ def test_probe_records_differ_from_their_rows_and_stay_the_same(spark):
     sample = probe_data.valid_sample(valid, "doc").collect()
     papers = {r.doc for r in sample}
     assert len(sample) >= 40 and len(sample) == sum(r[1] in papers for r in rows) and len(sample) < 80
-    out = probe_data.probe_output(valid, probe_data.swapped(valid, "k", "doc", "page_number", ["value"]), noise, probe_data.from_tables(valid, numbers, "k", "doc", "page_number", "value"), "k").collect()
+    out = probe_data.probe_output(valid, probe_data.swapped(valid, "k", "doc", "page_number", ["value"]), noise, probe_data.from_tables(valid, numbers, "doc", "page_number", "value"), "k").collect()
     assert sorted(r.measurement_id for r in out) == list(range(len(out))) and sum(r.label == "valid" for r in out) == 80 and all(sum(r.gt_row_index == k for r in out) == 3 for k in old)
 
 
@@ -105,7 +105,7 @@ def test_best_columns_agree_with_dropping_row_by_row(spark):
             left.pop(0)
         return len(left)
 
-    got = {tuple(r["columns"]): r["rows"] for r in grouping.best_columns(df, ["a", "b", "c", "d"], "k", (2, 3)).collect()}
+    got = {tuple(r["columns"]): r["rows"] for r in grouping.best_columns(df, ["a", "b", "c", "d"], (2, 3)).collect()}
     assert got == {tuple("abcd"[j - 1] for j in c): kept(c) for d in (2, 3) for c in combinations((1, 2, 3, 4), d)}
     assert grouping.dense_rows(df.select("k", "a", "b"), ["a", "b"], "k").count() == got["a", "b"]
 
