@@ -37,6 +37,24 @@ def strict_match(left: DataFrame, right: DataFrame, keys: Sequence[str], band: t
     return l.join(r, [*on, F.col("__lb").eqNullSafe(F.col("__rb"))]).where(exact).select(*ids)
 
 
+def band_hits(sides: DataFrame, keys: Sequence[str], value: str, band: float, name: str = "hit") -> DataFrame:
+    """sides, whose column right tells which of two sides a row belongs to, with name: whether a row of the other side has equal keys and a
+    value that differs by at most band. Null values and nan hit nothing.
+
+    Of each group the nearest value of the other side is looked up below and above, in order of the values: neither pairs nor ids are made, and
+    a group with many values costs its sorting. What sides is already partitioned by, if among the keys, is enough.
+    """
+    seen = lambda right, value: F.when(F.col("right") == right, F.col(value))
+    up = Window.partitionBy(*keys).orderBy(F.col(value).asc())
+    down = Window.partitionBy(*keys).orderBy(F.col(value).desc())
+    out = sides.withColumns({"__b0": F.max(seen(True, value)).over(up), "__b1": F.max(seen(False, value)).over(up)})
+    out = out.withColumn("__b", F.when(F.col("right"), F.col("__b1")).otherwise(F.col("__b0"))).drop("__b0", "__b1")
+    out = out.withColumns({"__a0": F.min(seen(True, value)).over(down), "__a1": F.min(seen(False, value)).over(down)})
+    out = out.withColumn("__a", F.when(F.col("right"), F.col("__a1")).otherwise(F.col("__a0"))).drop("__a0", "__a1")
+    close = lambda c: F.coalesce(F.abs(F.col(value) - F.col(c)) <= band, F.lit(False))
+    return out.withColumn(name, close("__b") | close("__a")).drop("__b", "__a")
+
+
 def relative_match(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, number: str, rtol: float = 1e-4) -> DataFrame:
     """left joined to the rows of right with equal keys whose number is within rtol of value; a value of 0 needs a number under 1e-12.
 
