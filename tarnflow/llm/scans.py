@@ -145,11 +145,13 @@ def _folded(c: str) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda x: line_key(x) if isinstance(x, str) else ""), "string")(c)
 
 
-def alike_keys(counted: DataFrame, share: float = 0.2) -> DataFrame:
-    """(key, like) from (key, n): each key and the more frequent key that it differs from by at most share of its letters, or itself.
+def alike_keys(counted: DataFrame, share: float = 0.2, hot: int = 1_000_000) -> DataFrame:
+    """(key, like) from (key, n): each key and the most frequent of the more frequent keys that differ from it by at most share of its letters
+    and have two of its three parts, or itself.
 
-    A key is cut into three parts; keys that have two parts alike are compared, each only with the most frequent one of those, so a
-    part that many keys have costs one comparison for each.
+    Of the keys that have two parts alike the most frequent one is tried first: a key that it is near to needs no other of them. Those that it
+    isn't near to are compared with all others that are more frequent. Where these are more than hot pairs they are compared in cells of about that
+    many; the result doesn't depend on hot.
     """
     third = F.ceil(F.length("key") / 3).cast("int")
     parts = [F.substring("key", F.lit(1), third), F.substring("key", third + 1, third), F.substring("key", 2 * third + 1, third)]
@@ -157,9 +159,24 @@ def alike_keys(counted: DataFrame, share: float = 0.2) -> DataFrame:
     back = [F.substring("key", F.length("key") - third + 1, third)]
     signs = F.array(F.concat_ws("1", parts[0], parts[1]), F.concat_ws("2", parts[0], parts[2]), F.concat_ws("3", parts[1], parts[2]), F.concat_ws("4", parts[0], back[0]))
     signed = counted.where(F.length("key") >= 6).select("key", "n", F.explode(F.array_distinct(signs)).alias("sign"))
-    best = signed.groupBy("sign").agg(F.max(F.struct("n", "key")).alias("b"))
-    near = signed.join(best, "sign").where((F.col("b.key") != F.col("key")) & (F.col("b.n") > F.col("n")) & (F.levenshtein("key", F.col("b.key")) <= F.greatest(F.lit(1), (F.length("key") * share).cast("int"))))
-    chosen = near.groupBy("key").agg(F.max("b")["key"].alias("like"))
+    top = signed.groupBy("sign").agg(F.max(F.struct("n", "key")).alias("b"), F.min("n").alias("least")).where("b.n > least")
+    blocks = cut(signed.join(top, "sign").drop("least"))
+
+    def near(b: str) -> Column:
+        return F.call_function("levenshtein", F.col("key"), F.col(b), F.greatest(F.lit(1), (F.length("key") * share).cast("int"))) >= 0
+
+    tried = blocks.where("b.n > n").withColumn("near", near("b.key"))
+    left = tried.where(~F.col("near")).select("sign", "key", "n")
+    others = blocks.where("b.key <> key and n > 1").select("sign", F.struct("n", "key").alias("b"))
+    sizes = left.groupBy("sign").agg(F.count(F.lit(1)).alias("nl")).join(others.groupBy("sign").agg(F.count(F.lit(1)).alias("no")), "sign")
+    cells = lambda n: F.when(F.col("nl") * F.col("no") > hot, F.ceil(F.col(n) / F.sqrt(F.lit(hot)))).otherwise(1).cast("int")
+    sizes = sizes.select("sign", cells("nl").alias("x"), cells("no").alias("y"))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(sizes, "sign").select("sign", "key", "n", place("key", "x").alias("i"), every("y").alias("j"))
+    others = others.join(sizes, "sign").select("sign", "b", place("b.key", "y").alias("j"), every("x").alias("i"))
+    further = left.join(others, ["sign", "i", "j"]).where((F.col("b.n") > F.col("n")) & near("b.key"))
+    chosen = tried.where("near").select("key", "b").unionByName(further.select("key", "b")).groupBy("key").agg(F.max("b")["key"].alias("like"))
     return counted.select("key").join(chosen, "key", "left").select("key", F.coalesce("like", "key").alias("like"))
 
 

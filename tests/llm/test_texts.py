@@ -224,6 +224,35 @@ def test_running_lines_are_alike_and_page_numbers_run_on(spark):
     assert all(kinds[i, 4] == "page_no" for i in range(4)) and kinds[9, 3] == "text"
 
 
+def test_keys_are_compared_with_all_more_frequent_ones_of_two_equal_parts(spark):
+    # the most frequent key of the two parts is too far, the next one near
+    rows = [("aaaaabbbbbvwxyz", 9), ("aaaaabbbbbccccc", 5), ("aaaaabbbbbccccd", 1)]
+    got = {r.key: r.like for r in scans.alike_keys(spark.createDataFrame(rows, "key string, n bigint")).collect()}
+    assert got == {"aaaaabbbbbvwxyz": "aaaaabbbbbvwxyz", "aaaaabbbbbccccc": "aaaaabbbbbccccc", "aaaaabbbbbccccd": "aaaaabbbbbccccc"}
+
+    def signs(k):
+        t = -(-len(k) // 3)
+        return {(1, k[: 2 * t]), (2, k[:t], k[2 * t :]), (3, k[t : 2 * t], k[2 * t :]), (4, k[:t], k[len(k) - t :])}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    rng = random.Random(3)
+    keys = {"".join(rng.choice(["abcde", "fghij"]) for _ in range(2)) + "".join(rng.choice("klm") for _ in range(rng.randint(3, 6))): rng.randint(1, 4) for _ in range(250)}
+    want = {}
+    for k, n in keys.items():
+        fit = [(m, o) for o, m in keys.items() if m > n and signs(o) & signs(k) and distance(k, o) <= max(1, int(len(k) * 0.2))]
+        want[k] = max(fit)[1] if fit else k
+    df = spark.createDataFrame(list(keys.items()), "key string, n bigint")
+    for hot in (4, 10**9):
+        assert {r.key: r.like for r in scans.alike_keys(df, hot=hot).collect()} == want
+
+
 def test_very_long_words_and_lines_are_read(spark):
     word = "sedimentation" * 10
     broken = word.replace("m", "rn", 1)
